@@ -5,9 +5,9 @@ passes ``most`` times its source's size; what is over goes to the rest by weight
 (a common level, found in closed form from the sources sorted by cap over
 weight). Equal-token blocks are then allotted to sources, and in each source to
 its shards, by the highest quotients weight / (2 seats + 1). In a shard,
-documents lie in a seeded order, and a seeded systematic draw picks the blocks,
-as often as the quota says; a document takes those of its words that lie in
-picked blocks.
+documents lie in a seeded order, cut into blocks; the quota takes all blocks as
+often as it can and then the first ones once more, so the seed selects blocks and
+at most one document of a shard is cut. A document takes its words in the blocks.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, last in order; repeated rows are mixed row by row; an empty
@@ -94,13 +94,11 @@ def mix(docs: DataFrame, *, seed: int = 7, cycle: tuple = CYCLE, most: int = MOS
     y = x.join(quota, x["source"].eqNullSafe(quota["q_source"]) & (x["shard"] == quota["q_shard"])).drop("q_source", "q_shard")
     lie = Window.partitionBy("source", "shard").orderBy("at", "k_0", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.greatest(F.col("n"), F.lit(1))
-    y = y.withColumn("end", F.sum("size").over(lie)).withColumn("u", F.pmod(F.xxhash64("source", "shard", F.lit(seed)), n))
+    y = y.withColumn("end", F.sum("size").over(lie)).withColumn("times", F.call_function("div", F.col("q"), n)).withColumn("more", F.pmod(F.col("q"), n) * F.col("block"))
 
     def before(offset: Column) -> Column:
-        """Words taken before an offset in the shard."""
-        i = F.call_function("div", offset, F.col("block"))
-        drawn = lambda k: F.call_function("div", k * F.col("q") + F.col("u"), n)
-        return drawn(i) * F.col("block") + (drawn(i + 1) - drawn(i)) * (offset - i * F.col("block"))
+        """Words taken before an offset in the shard: all of them ``times`` over, and those of the first ``more`` once more."""
+        return F.col("times") * offset + F.least(offset, F.col("more"))
 
     taken = F.when(F.col("size") > 0, before(F.col("end")) - before(F.col("end") - F.col("size"))).otherwise(F.lit(0)).cast("long")
     return y.select(*[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)], "size", "source_size", "target", taken.alias("taken"))
