@@ -13,8 +13,8 @@ Classes. Equal texts are one node (by a 128-bit digest). Nodes that share a band
 are compared with that band's smallest node, never with each other: candidates
 grow with the rows of a band, not their square. Each candidate's multisets are
 compared exactly. Bands that still hold several components are compared again,
-with another node of the band as the centre, until a round adds no link. The
-components are the classes.
+with ``CENTERS`` other nodes of the band, until a round adds no link. The components
+are the classes.
 
 Edge cases: null and empty texts count as equal; texts under five words are one
 shingle of all their words; null ids keep their rows, and sort last for a class's
@@ -25,6 +25,7 @@ result; other columns aren't read.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,11 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Members of a band that are compared in one task with their centre.
 TOGETHER = 256
+#: Centres of a band in each later turn.
+CENTERS = 8
 PIECE = 400_000  # words signed at once
+#: Odd multipliers of a shingle's words.
+ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 % 2**64 | 1 for k in range(WORDS)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,7 +70,7 @@ def shingle_hashes(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray
     """Shingle hashes of all texts, and the index of the text that each is of."""
     words = [t.lower().split() for t in texts]
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    flat = np.fromiter((memo[w] for ws in words for w in ws), dtype=np.uint64, count=int(n.sum()))
+    flat = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(n.sum()))
     starts = np.cumsum(n) - n
     long, at, of = np.nonzero(n >= WORDS)[0], [], []
     counts = n[long] - (WORDS - 1)
@@ -74,8 +79,8 @@ def shingle_hashes(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray
         base = np.repeat(starts[long] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         h = np.zeros(len(base), dtype=np.uint64)
         for k in range(WORDS):
-            h = mix(h + flat[base + k] + np.uint64(0x9E3779B97F4A7C15))
-        at.append(h)
+            h += flat[base + k] * ODD[k]
+        at.append(mix(h))
     short = np.nonzero(n < WORDS)[0]
     if len(short):
         of.append(short)
@@ -90,59 +95,56 @@ def shingle_hashes(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray
 
 
 def bags(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) with counts, in order of text."""
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    at = np.nonzero(first)[0]
-    return h[at], of[at], np.diff(np.append(at, len(h)))
+    """Distinct (text, shingle) with counts; only shingles that occur twice in a text are sorted with it."""
+    key = mix(h + of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.sort(key)
+    twice = np.unique(order[1:][order[1:] == order[:-1]])
+    if not len(twice):
+        return h, of, np.ones(len(h), dtype=np.int64)
+    at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
+    many = twice[at] == key
+    i = np.nonzero(many)[0]
+    _, first, count = np.unique(at[i], return_index=True, return_counts=True)
+    return np.concatenate([h[~many], h[i[first]]]), np.concatenate([of[~many], of[i[first]]]), np.concatenate([np.ones(int((~many).sum()), dtype=np.int64), count])
 
 
 def signatures(h: np.ndarray, of: np.ndarray, count: np.ndarray, texts: int, m: int = M) -> np.ndarray:
     """BagMinHash signatures, a row a text: in each component the hash of its earliest point."""
-    sig = np.zeros((texts, m), dtype=np.uint64)
-    best = np.full((texts, m), np.inf)
+    sig, best = np.zeros(texts * m, dtype=np.uint64), np.full(texts * m, np.inf)
     # a row for each dyadic range that a weight reaches into
     levels = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64) + 1
     row = np.repeat(np.arange(len(h)), levels)
     level = np.arange(len(row)) - np.repeat(np.cumsum(levels) - levels, levels)
-    low = np.where(level == 0, 0, 2.0 ** (level - 1))
-    rate = np.where(level == 0, 1.0, low)
-    seed, doc, weight = mix(h[row] + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), of[row], count[row]
+    low = np.where(level == 0, 0.0, 2.0 ** (level - 1))
+    rate = np.maximum(low, 1.0)
+    doc, weight = of[row], count[row]
+    seed = mix(h[row] + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     total = np.bincount(doc, weights=rate, minlength=texts)
-    limit = m * (np.log(m) + 3.0) / np.maximum(total, 1e-9)
+    limit = m * np.log(m) / np.maximum(total, 1e-9)
     step = np.ones(len(seed), dtype=np.uint64)
     t = -np.log(unit(mix(seed + np.uint64(1)))) / rate
     while len(seed):
-        now = t <= limit[doc]  # rows whose next point is within the limit
-        if not now.any():
-            open_ = np.isinf(best).any(axis=1) & (total > 0)
-            if not open_.any():
-                break
-            limit = np.where(open_, limit * 2, limit)
-            stay = open_[doc]
-            seed, doc, weight, low, rate, t, step = (v[stay] for v in (seed, doc, weight, low, rate, t, step))
-            continue
-        i = np.nonzero(now)[0]
-        point = mix(seed[i] ^ mix(step[i] + np.uint64(0x632BE59BD9B4E019)))
-        height = low[i] + rate[i] * unit(mix(point + np.uint64(3)))
-        inside = height <= weight[i]
-        j, p, when = i[inside], point[inside], t[i][inside]
-        part = (p % np.uint64(m)).astype(np.int64)
-        # the earliest of each (text, component) in this step
-        cell = doc[j] * m + part
-        order = np.lexsort((when, cell))
-        cell, when, p = cell[order], when[order], p[order]
-        first = np.ones(len(cell), dtype=bool)
-        first[1:] = cell[1:] != cell[:-1]
-        cell, when, p = cell[first], when[first], p[first]
-        better = when < best.ravel()[cell]
-        best.ravel()[cell[better]] = when[better]
-        sig.ravel()[cell[better]] = mix(p[better] + np.uint64(5))
-        step[i] += np.uint64(1)
-        t[i] += -np.log(unit(mix(seed[i] + mix(step[i])))) / rate[i]
-    return sig
+        now = np.nonzero(t <= limit[doc])[0]  # rows whose next point is within their text's limit
+        while len(now):
+            s, d, r = seed[now], doc[now], rate[now]
+            point = mix(s ^ mix(step[now] + np.uint64(0x632BE59BD9B4E019)))
+            inside = low[now] + r * unit(mix(point + np.uint64(3))) <= weight[now]
+            cell = (d * m + (point % np.uint64(m)).astype(np.int64))[inside]
+            when = t[now][inside]
+            np.minimum.at(best, cell, when)
+            mine = best[cell] == when
+            sig[cell[mine]] = mix(point[inside][mine] + np.uint64(5))
+            step[now] += np.uint64(1)
+            t[now] += -np.log(unit(mix(s + mix(step[now])))) / r
+            now = now[t[now] <= limit[d]]
+        # a signature is final once every component has a point: later points are never earlier
+        open_ = np.isinf(best.reshape(texts, m)).any(axis=1) & (total > 0)
+        stay = open_[doc]
+        if not stay.any():
+            break
+        limit = limit * 1.6
+        seed, doc, weight, low, rate, t, step = (v[stay] for v in (seed, doc, weight, low, rate, t, step))
+    return sig.reshape(texts, m)
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -256,10 +258,10 @@ def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataF
     roots, links, tried, turn = None, None, None, 0
     while True:
         x = bands.withColumn("root", F.col("key")) if roots is None else bands.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # another centre in each turn: first the smallest key, then the smallest by a hash of the turn
-        rank = F.col("key") if turn == 0 else F.unhex(F.md5(F.concat(F.col("key"), F.lit(str(turn)).cast("binary"))))
-        x = x.select("band", "key", "root", rank.alias("rank"))
-        center = x.groupBy("band").agg(F.min(F.struct("rank", "key", "root")).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("band", F.col("c.key").alias("center"), F.col("c.root").alias("c_root"))
+        # first the band's smallest key is its centre; later, keys that hashes of the turn put first, several at once
+        ranks = [F.col("key")] if turn == 0 else [F.unhex(F.md5(F.concat(F.col("key"), F.lit(f"{turn} {i}").cast("binary")))) for i in range(CENTERS)]
+        x = x.select("band", "key", "root")
+        center = x.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(F.struct("key", "root"), r) for r in ranks])).alias("cs"), F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("band", F.explode("cs").alias("c")).select("band", F.col("c.key").alias("center"), F.col("c.root").alias("c_root"))
         pairs = x.join(center, "band").filter(F.col("root") != F.col("c_root")).select("center", F.col("key").alias("member")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["center", "member"], "left_anti")

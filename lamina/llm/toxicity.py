@@ -38,6 +38,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 MARKS = " .-_*~'`,·\t"
 SIGN_COST, WILD_COST, DROP_COST, REPEAT_COST, KEEP_COST = -1.5, -2.5, -0.7, -1.0, -4.0
 ODD = re.compile(r"[^\W\d_](?=.*[0-9@$!|+(¡€£*#.\-_~'`·])|[0-9@$!|+(¡€£*#](?=.*[^\W\d_])|([^\W\d_])\1\1", re.S)
+PLAIN = re.compile(r"[^\W\d_]+[.,;:?\"')]*\Z")
+THRICE = re.compile(r"(.)\1\1")
 APART = re.compile(r"(?<!\S)[^\s](?:[ .\-_*][^\s]){2,}(?!\S)")
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZE = 64
@@ -133,6 +135,8 @@ class CharModel:
 
 def token_words(token: str, model: CharModel) -> list[str]:
     """Words of a lower-case token, as it is and as restored."""
+    if PLAIN.match(token) and not THRICE.search(token):
+        return [token.rstrip(".,;:?\"')")]
     words = LETTERS.findall(token)
     if ODD.search(token):
         words += LETTERS.findall(model.restore(token.strip(".,;:?\"'()[]{}")))
@@ -148,14 +152,13 @@ def tokens(text: str) -> set[str]:
 
 
 def parts(word: str) -> list[str]:
-    """Features of a word: itself, its beginnings and ends, and what is inside."""
+    """Features of a word: itself, its beginnings and its ends."""
     w = f"^{word}$"
     n = len(w)
     out = {w}
     for k in range(4, min(n, 10)):
         out.add(w[:k])
         out.add(w[-k:])
-    out.update(w[i : i + 5] for i in range(1, n - 5))
     return list(out)
 
 
@@ -164,11 +167,16 @@ class Scorer:
 
     def __init__(self, model: CharModel, features: dict[str, float], weights: list[float] | None):
         self.model, self.features, self.weights, self.memo = model, features, weights, None
+        self.starts = {f[:4] for f in features if f[0] == "^"}
+        self.ends = {f[-4:] for f in features if f[-1] == "$"}
 
     def __getstate__(self):
         return self.__dict__ | {"memo": None}
 
     def word(self, word: str) -> float:
+        w = f"^{word}$"
+        if w[:4] not in self.starts and w[-4:] not in self.ends:
+            return 0.0
         return max([0.0, *(self.features.get(f, 0.0) for f in parts(word))])
 
     def token(self, token: str) -> float:
@@ -176,7 +184,7 @@ class Scorer:
 
     def text_features(self, text: str | None) -> tuple[float, float, float]:
         if self.memo is None:
-            self.memo = Memo(self.token)
+            self.memo = Memo(self.token, 700_000)
         high = sorted((s for s in map(self.memo.__getitem__, tokens(text)) if s), reverse=True) if text else []
         return (high[0] if high else 0.0, high[1] if len(high) > 1 else 0.0, float(np.log1p(len(high))))
 
