@@ -2,10 +2,318 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry, markup, text
+from ..operators import export, layout, reread, usage
+from ..schema import COUNTERS, VISUAL_TYPES, box_ok
+from ..sources.readers import HtmlReader
+from .fixtures import BLOCKS_SQL, SOURCES_SQL, blocks, quoted, read, sources
 
-def oracle_sql() -> dict:
-    return {}
+BOX = ("xmin", "ymin", "xmax", "ymax")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def sha(c) -> F.Column:
+    return F.sha2(c, 256)
+
+
+SUFFIX_SQL = r"lower(regexp_extract(filename, '^.+(\.[^.]+)$', 1))"
+
+
+@query(rf"""WITH {SOURCES_SQL} SELECT doc_id, filename, {SUFFIX_SQL} AS suffix, CASE
+  WHEN filename = '' OR contains(filename, '/') THEN 'NOT_A_FILE_NAME'
+  WHEN length(filename) > 255 OR regexp_matches(filename, '[\x00-\x1f<>:"/\\|?*]') THEN 'UNSAFE_NAME'
+  WHEN {SUFFIX_SQL} NOT IN ('.pdf', '.png', '.jpg', '.jpeg', '.webp', '.tif', '.tiff', '.bmp') THEN 'UNSUPPORTED_TYPE'
+  WHEN length <= 0 THEN 'EMPTY' WHEN length > 209715200 THEN 'TOO_LARGE' ELSE 'ok' END AS verdict FROM sources""")
+def input_verdict(spark, d):
+    f = F.col("filename")
+    return sources(spark, d).select("doc_id", "filename", text.suffix(f).alias("suffix"), text.input_verdict(f, F.col("length")).alias("verdict"))
+
+
+@query(r"""WITH s AS (SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document') AS s FROM pages)
+SELECT page_id, s || '.md' AS markdown_name, s || '.json' AS json_name, s || '.html' AS html_name, s || '.annotated.pdf' AS pdf_name, s || '.outputs.zip' AS zip_name FROM s""")
+def artifact_names(spark, d):
+    return read(spark, d, "pages").select("page_id", *[c.alias(k) for k, c in text.artifact_names(F.concat("url", F.lit(".pdf"))).items()])
+
+
+ITEMS_SQL = rf"""{SOURCES_SQL}, i0 AS (SELECT doc_id, page_spec, page_count AS n, unnest(string_split(page_spec, ',')) AS item, unnest(range(len(string_split(page_spec, ',')))) AS k FROM sources),
+i1 AS (SELECT *, TRY_CAST(regexp_extract(item, '^\s*([0-9]+)', 1) AS BIGINT) AS low, coalesce(TRY_CAST(nullif(regexp_extract(item, '-\s*([0-9]+)\s*$', 1), '') AS BIGINT), TRY_CAST(regexp_extract(item, '^\s*([0-9]+)', 1) AS BIGINT)) AS high FROM i0),
+i2 AS (SELECT *, CASE WHEN trim(page_spec) = '' THEN NULL WHEN trim(item) = '' THEN 'EMPTY_ITEM'
+  WHEN NOT regexp_full_match(item, '\s*[0-9]+\s*(-\s*[0-9]+\s*)?') THEN CASE WHEN contains(item, '-') THEN 'BAD_RANGE' ELSE 'BAD_PAGE' END
+  WHEN contains(item, '-') AND low > high THEN 'REVERSED' WHEN low < 1 OR high > n THEN 'OUT_OF_RANGE' END AS code FROM i1),
+e AS (SELECT doc_id, any_value(page_spec) AS page_spec, any_value(n) AS n, coalesce(min_by(code, k) FILTER (code <> 'OUT_OF_RANGE'), max(code) FILTER (code = 'OUT_OF_RANGE')) AS code FROM i2 GROUP BY doc_id)"""
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT DISTINCT i2.doc_id, CAST(unnest(CASE WHEN trim(e.page_spec) = '' THEN range(1, e.n + 1) ELSE range(low, high + 1) END) AS INTEGER) AS page
+FROM i2 JOIN e USING (doc_id) WHERE e.code IS NULL""")
+def page_selection(spark, d):
+    return layout.select_pages(sources(spark, d))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT doc_id, page_spec, coalesce(code, 'ok') AS code FROM e")
+def page_selection_errors(spark, d):
+    s = sources(spark, d)
+    return s.select("doc_id", "page_spec", F.coalesce(text.page_range_error(F.col("page_spec"), F.col("page_count")), F.lit("ok")).alias("code"))
+
+
+@query("""WITH p AS (SELECT event_id, 100 + event_id % 5000 AS w, 100 + (event_id * 7) % 7000 AS h FROM events), q AS (SELECT *, (w * (300 / 72.0::DOUBLE)) * h * (300 / 72.0::DOUBLE) AS px FROM p)
+SELECT event_id, CAST(round(CASE WHEN px > 20000000 THEN 300 / 72.0::DOUBLE * sqrt(20000000 / px) ELSE 300 / 72.0::DOUBLE END, 6) AS DECIMAL(18, 6)) AS scale, w * h <= 20000000 AS image_ok FROM q""")
+def render_scale(spark, d):
+    w, h = 100 + F.pmod("event_id", F.lit(5000)), 100 + F.pmod(F.col("event_id") * 7, F.lit(7000))
+    return read(spark, d, "events").select("event_id", F.round(geometry.render_scale(w, h), 6).cast("decimal(18,6)").alias("scale"), geometry.image_ok(w, h).alias("image_ok"))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page, seq, id, type, sha256(markdown) AS md_sha256 FROM blocks")
+def segment_blocks(spark, d):
+    return blocks(spark, d).select("doc_id", "page", "seq", "id", "type", sha("markdown").alias("md_sha256"))
+
+
+@query(f"""WITH {BLOCKS_SQL}, p AS (SELECT DISTINCT doc_id, page FROM blocks WHERE page % 4 <> 2),
+w AS (SELECT doc_id, page, lag(page) OVER o AS previous_page, lead(page) OVER o AS next_page, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS selected_page_count FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY page))
+SELECT *, CASE WHEN previous_page IS NOT NULL AND next_page IS NOT NULL THEN 'previous_next' WHEN previous_page IS NOT NULL THEN 'previous' WHEN next_page IS NOT NULL THEN 'next' ELSE 'target' END AS variant,
+  concat_ws(',', previous_page, page, next_page) AS images FROM w""")
+def page_context(spark, d):
+    p = blocks(spark, d).filter(F.pmod("page", F.lit(4)) != 2).select("doc_id", "page").distinct()
+    return layout.context(p).withColumn("images", F.array_join(F.col("images").cast("array<string>"), ","))
+
+
+BOXES_SQL = f"""{BLOCKS_SQL}, b AS (SELECT doc_id, pos, (doc_id % 9) / 8.0::DOUBLE AS xmin, (pos % 9) / 8.0::DOUBLE AS ymin, (doc_id % 9 + pos % 4 - 1) / 8.0::DOUBLE AS xmax, (pos % 9 + doc_id % 3) / 8.0::DOUBLE AS ymax FROM blocks)"""
+
+
+def boxes(spark, d):
+    i, p = F.col("doc_id"), F.col("pos")
+    m = lambda c, n: F.pmod(c, F.lit(n))
+    return blocks(spark, d).select("doc_id", "pos", (m(i, 9) / 8.0).alias("xmin"), (m(p, 9) / 8.0).alias("ymin"), ((m(i, 9) + m(p, 4) - 1) / 8.0).alias("xmax"), ((m(p, 9) + m(i, 3)) / 8.0).alias("ymax"))
+
+
+@query(f"WITH {BOXES_SQL} SELECT doc_id, CAST(pos AS INTEGER) AS pos, xmin BETWEEN 0 AND 1 AND ymin BETWEEN 0 AND 1 AND xmax BETWEEN 0 AND 1 AND ymax BETWEEN 0 AND 1 AND xmax > xmin AND ymax > ymin AS valid FROM b")
+def block_validity(spark, d):
+    return boxes(spark, d).select("doc_id", "pos", box_ok(*map(F.col, BOX)).alias("valid"))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page, id, 'assets/page-' || page || '-' || id || '.png' AS asset FROM blocks WHERE type IN ({quoted(VISUAL_TYPES)[1:-1]})")
+def visual_assets(spark, d):
+    return layout.name_assets(blocks(spark, d)).filter(F.col("asset").isNotNull()).select("doc_id", "page", "id", "asset")
+
+
+@query(f"""WITH {BLOCKS_SQL}, r AS (SELECT doc_id, page, seq AS req, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS INTEGER) AS turn FROM blocks WHERE length(markdown) % 3 <> 0) SELECT * FROM r WHERE turn <= 2""")
+def zoom_budget(spark, d):
+    r = blocks(spark, d).filter(F.pmod(F.char_length("markdown"), F.lit(3)) != 0).select("doc_id", "page", F.col("seq").alias("req"))
+    return layout.zoom_budget(r, 2)
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, page, seq, round(greatest(0, xmin - 0.02), 6) AS xmin, round(greatest(0, ymin - 0.02), 6) AS ymin, round(least(1, xmax + 0.02), 6) AS xmax, round(least(1, ymax + 0.02), 6) AS ymax FROM blocks")
+def expand_box(spark, d):
+    got = geometry.expand({c: F.col(c) for c in BOX})
+    return blocks(spark, d).select("doc_id", "page", "seq", *[F.round(c, 6).alias(k) for k, c in got.items()])
+
+
+@query(f"""WITH {BLOCKS_SQL}, s AS (SELECT *, 20 + doc_id % 50 AS w, 10 + doc_id % 30 AS h FROM blocks) SELECT doc_id, page, seq, CAST(round_even(xmin * w, 0) AS INTEGER) AS xmin, CAST(round_even(ymin * h, 0) AS INTEGER) AS ymin,
+  CAST(round_even(xmax * w, 0) AS INTEGER) AS xmax, CAST(round_even(ymax * h, 0) AS INTEGER) AS ymax FROM s""")
+def crop_pixels(spark, d):
+    w, h = 20 + F.pmod("doc_id", F.lit(50)), 10 + F.pmod("doc_id", F.lit(30))
+    return blocks(spark, d).select("doc_id", "page", "seq", *[c.alias(k) for k, c in geometry.crop_pixels({c: F.col(c) for c in BOX}, w, h).items()])
+
+
+@query(f"""WITH {BLOCKS_SQL}, s AS (SELECT *, 800 + doc_id % 100 AS w, 600 + page AS h FROM blocks) SELECT doc_id, page, seq, xmin * w AS x0, ymin * h AS y0, xmax * w AS x1, ymax * h AS y1, xmin * w + 2 AS label_x, greatest(10.0::DOUBLE, ymin * h + 10) AS label_y, id || ' · ' || type AS label FROM s""")
+def overlay_geometry(spark, d):
+    b = blocks(spark, d)
+    rendered = b.select("doc_id", "page").distinct().select("doc_id", "page", (800 + F.pmod("doc_id", F.lit(100))).alias("width"), (600 + F.col("page")).alias("height"))
+    return export.overlay(rendered, b)
+
+
+@query(f"""WITH {BLOCKS_SQL}, m AS (SELECT doc_id, page, 'paragraph-' || (length(markdown) % 2) AS id, seq, markdown, type FROM blocks)
+SELECT doc_id, page, id, min(seq) AS first_seq, max_by(type, seq) AS type, sha256(max_by(markdown, seq)) AS md_sha256 FROM m GROUP BY doc_id, page, id""")
+def merge_blocks(spark, d):
+    b = blocks(spark, d).select("doc_id", "page", F.concat(F.lit("paragraph-"), F.pmod(F.char_length("markdown"), F.lit(2)).cast("string")).alias("id"), "seq", "markdown", "type")
+    return layout.merge_blocks(b).select("doc_id", "page", "id", "first_seq", "type", sha("markdown").alias("md_sha256"))
+
+
+def replay(spark, d):
+    """Recorded answers derived from documents: all outcomes of pages, fallbacks and crops."""
+    p = read(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
+    h = lambda *c: F.pmod(F.xxhash64("doc_id", "page", *map(F.lit, c)), F.lit(100))
+    zero = {c: F.lit(10 * i).cast("bigint") for i, c in enumerate(COUNTERS)}
+    rows = lambda x, kind, ok, has: x.select("doc_id", "page", "round", "req", "attempt", F.lit(kind).alias("kind"), ok.alias("ok"), *[(v + h(k)).alias(k) for k, v in zero.items()], has.alias("has_usage"))
+    first = p.withColumns({"round": F.lit(0), "req": F.lit(0), "attempt": F.lit(1)})
+    out = rows(first, "page", h("p") >= 20, h("u") >= 5)
+    out = out.unionByName(rows(first.filter(h("p") < 20), "fallback", h("f") >= 40, F.lit(True)))
+    crops = p.withColumn("round", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("req", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
+    v = F.pmod(F.xxhash64("doc_id", "page", "round", "req"), F.lit(100))
+    out = out.unionByName(rows(crops, "crop", F.when(F.col("attempt") == 1, v >= 30).otherwise(v >= 10), F.lit(True)))
+    answers = out.filter("ok").groupBy("doc_id", "page", "round", "req").agg(F.count(F.lit(1)).alias("n"))
+    n = F.pmod(F.xxhash64("doc_id", "page", "round", "req", F.lit("z")), F.lit(5)).cast("int")
+    asked = answers.filter(F.col("round") >= 0).withColumn("i", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))).select("doc_id", "page", "round", "req", "i")
+    made = answers.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("id", F.concat(F.lit("paragraph-"), F.pmod(F.xxhash64("round", "req", "pos", "page"), F.lit(5)).cast("string")))
+    made = made.select("doc_id", "page", "round", "req", "pos", "id", F.concat_ws(" ", F.lit("text"), "round", "req", "pos").alias("markdown"))
+    return out, made, asked
+
+
+@query()
+def reread_outcome(spark, d):
+    x = reread.reread(*replay(spark, d))["pages"]
+    return x.withColumn("codes", F.array_join("codes", ","))
+
+
+@query()
+def reread_blocks(spark, d):
+    x = reread.reread(*replay(spark, d))["blocks"]
+    return x.select("doc_id", "page", "id", F.concat_ws(".", "first_seq.round", "first_seq.req", "first_seq.pos").alias("first_seq"), "markdown")
+
+
+STATUS_SQL = "s AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' ELSE 'ok' END AS status FROM events)"
+
+
+def statuses(spark, d):
+    kind = F.col("event_type")
+    return read(spark, d, "events").select("user_id", "event_id", "event_type", F.when(kind == "error", "failed").when(kind == "click", "partial").otherwise("ok").alias("status"))
+
+
+@query(f"WITH {STATUS_SQL} SELECT event_id, status FROM s")
+def page_status(spark, d):
+    e = read(spark, d, "events")
+    warned = F.when(F.col("event_type") == "click", F.array(F.lit("MODEL_NOTE"))).otherwise(F.array().cast("array<string>"))
+    return e.select("event_id", usage.page_status(F.col("event_type") == "error", warned).alias("status"))
+
+
+@query(f"""WITH {STATUS_SQL} SELECT user_id, CAST(CASE WHEN bool_or(status = 'failed') THEN 1 WHEN bool_or(status = 'partial') THEN 2 ELSE 0 END AS INTEGER) AS exit_code, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM s GROUP BY user_id""")
+def run_exit_code(spark, d):
+    return usage.exit_code(statuses(spark, d), "user_id")
+
+
+USAGE_SQL = """u AS (SELECT conv_id, turn, length(text) AS input_tokens, length(text) // 4 AS cached_input_tokens, length(text) // 8 AS cache_write_tokens, length(text) // 2 AS output_tokens, length(text) // 16 AS reasoning_tokens, 1 AS calls, turn % 7 <> 6 AS complete FROM conversations),
+t AS (SELECT conv_id, """ + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in (*COUNTERS, "calls")) + ", coalesce(bool_and(complete), true) AS complete FROM u GROUP BY conv_id)"
+
+
+def turns(spark, d):
+    n = F.char_length("text").cast("bigint")
+    div = lambda k: F.call_function("div", n, F.lit(k).cast("bigint"))
+    return read(spark, d, "conversations").select("conv_id", "turn", n.alias("input_tokens"), div(4).alias("cached_input_tokens"), div(8).alias("cache_write_tokens"), div(2).alias("output_tokens"), div(16).alias("reasoning_tokens"), F.lit(1).cast("bigint").alias("calls"), (F.pmod("turn", F.lit(7)) != 6).alias("complete"))
+
+
+@query(f"WITH {USAGE_SQL} SELECT conv_id, turn, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in (*COUNTERS, "calls")) + ", bool_and(complete) AS complete FROM u GROUP BY conv_id, turn")
+def usage_by_page(spark, d):
+    return usage.totals(turns(spark, d), "conv_id", "turn")
+
+
+@query(f"WITH {USAGE_SQL} SELECT * FROM t")
+def usage_by_document(spark, d):
+    return usage.totals(turns(spark, d), "conv_id")
+
+
+@query(f"""WITH {USAGE_SQL} SELECT conv_id, input_tokens - cached_input_tokens - cache_write_tokens AS uncached, CASE WHEN complete THEN CAST(((input_tokens - cached_input_tokens - cache_write_tokens)::DECIMAL(20,0) * 2.00::DECIMAL(4,2) + cached_input_tokens::DECIMAL(20,0) * 0.20::DECIMAL(4,2)
+ + cache_write_tokens::DECIMAL(20,0) * 2.50::DECIMAL(4,2) + output_tokens::DECIMAL(20,0) * 10.00::DECIMAL(4,2))::DECIMAL(24,2) * 0.000001::DECIMAL(7,6) AS DECIMAL(18,8)) END AS cost FROM t""")
+def document_cost(spark, d):
+    t = usage.totals(turns(spark, d), "conv_id")
+    c = {k: F.col(k) for k in (*COUNTERS, "complete")}
+    return t.select("conv_id", usage.uncached(c["input_tokens"], c["cached_input_tokens"], c["cache_write_tokens"]).alias("uncached"), usage.cost(c).alias("cost"))
+
+
+STRIP_SQL = r"regexp_replace({}, '^[\s\x1c-\x1f\x0b\x85\p{{Z}}]+|[\s\x1c-\x1f\x0b\x85\p{{Z}}]+$', '', 'g')"
+
+
+@query(f"""WITH {BLOCKS_SQL}, m AS (SELECT *, {STRIP_SQL.format("markdown")} || CASE WHEN type IN ({quoted(VISUAL_TYPES)[1:-1]}) THEN chr(10) || chr(10) || '![' || type || ' ' || id || '](assets/page-' || page || '-' || id || '.png)' ELSE '' END
+  || CASE WHEN coalesce(description, '') <> '' THEN chr(10) || chr(10) || '*Generated description: ' || description || '*' ELSE '' END AS md FROM blocks),
+p AS (SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY seq) AS md, count(*) AS n FROM m GROUP BY doc_id, page),
+d AS (SELECT doc_id, string_agg(md, chr(10) || chr(10) || '<!-- PAGE BREAK -->' || chr(10) || chr(10) ORDER BY page) AS md, CAST(count(*) AS INTEGER) AS n_pages, CAST(sum(n) AS BIGINT) AS n_blocks FROM p GROUP BY doc_id)
+SELECT doc_id, sha256({STRIP_SQL.format("md")} || chr(10)) AS md_sha256, n_pages, n_blocks FROM d""")
+def document_markdown(spark, d):
+    b = layout.name_assets(blocks(spark, d))
+    x = layout.document_markdown(b.select("doc_id", "page").distinct(), b)
+    return x.select("doc_id", sha("markdown").alias("md_sha256"), "n_pages", "n_blocks")
+
+
+@query(f"""WITH {BLOCKS_SQL}, p AS (SELECT doc_id, page, list(id ORDER BY seq) FILTER (length(markdown) % 5 = 0) AS w FROM blocks GROUP BY doc_id, page)
+SELECT doc_id, coalesce(string_agg(array_to_string(w, ','), ',' ORDER BY page) FILTER (w IS NOT NULL), '') AS warnings FROM p GROUP BY doc_id""")
+def document_warnings(spark, d):
+    b = blocks(spark, d)
+    warned = F.array_sort(F.collect_list(F.when(F.pmod(F.char_length("markdown"), F.lit(5)) == 0, F.struct("seq", "id"))))
+    p = b.groupBy("doc_id", "page").agg(F.transform(warned, lambda x: x["id"]).alias("warnings"))
+    return layout.document_warnings(p).select("doc_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, text || ' ![a](assets/page-1-figure-0.png) ![b ' || doc_id || '](https://x.org/i.png) [c](javascript:alert) [d](HTTP://up.org) [e](/local) [f](data:x)' AS md FROM documents)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\(assets/[^)]+\)', '', 'g'), '!\[([^\]]*)\]\((?:https?|data|javascript):[^)]*\)', '[image: \1]', 'g'), '\[([^\]]+)\]\((?:https?|data|javascript):[^)]*\)', '\1', 'g')) AS md_sha256 FROM x""")
+def safe_markdown(spark, d):
+    links = [F.lit(" ![a](assets/page-1-figure-0.png) ![b "), F.col("doc_id").cast("string"), F.lit("](https://x.org/i.png) [c](javascript:alert) [d](HTTP://up.org) [e](/local) [f](data:x)")]
+    return read(spark, d, "documents").select("doc_id", sha(text.safe_markdown(F.concat("text", *links))).alias("md_sha256"))
+
+
+@query()
+def html_blocks(spark, d):
+    return HtmlReader().read(read(spark, d, "pages")).select("page_id", "seq", "type", sha("markdown").alias("md_sha256"))
+
+
+@query()
+def sanitized_html(spark, d):
+    return read(spark, d, "pages").select("page_id", markup.clean_html(F.col("html")).alias("html"))
+
+
+@query()
+def html_export(spark, d):
+    b = layout.name_assets(blocks(spark, d))
+    x = layout.document_markdown(b.select("doc_id", "page").distinct(), b)
+    return x.select("doc_id", markup.html_document(F.col("markdown"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("html"))
+
+
+KEY_SQL = "k AS (SELECT doc_id, sha256(text || CASE doc_id % 3 WHEN 0 THEN '(1,)' WHEN 1 THEN '(1, 2)' ELSE '(1, 2, 3)' END) AS cache_key FROM documents)"
+
+
+def keyed(spark, d):
+    pages = F.sequence(F.lit(1), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", text.content_key(F.col("text"), pages).alias("cache_key"))
+
+
+@query(f"WITH {KEY_SQL} SELECT * FROM k")
+def content_key(spark, d):
+    return keyed(spark, d)
+
+
+@query(f"WITH {KEY_SQL} SELECT * FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE doc_id < 500)")
+def uncached_sources(spark, d):
+    k = keyed(spark, d)
+    return layout.not_in_memo(k, k.filter("doc_id < 500")).select("doc_id", "cache_key")
+
+
+@query(f"WITH {SOURCES_SQL} SELECT doc_id, filename AS name FROM sources WHERE filename IN (SELECT filename FROM sources WHERE doc_id % 5 = 0)")
+def output_conflicts(spark, d):
+    s = sources(spark, d).select("doc_id", F.col("filename").alias("name"))
+    return layout.conflicts(s, s.filter("doc_id % 5 = 0")).select("doc_id", "name")
+
+
+@query("""SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS files, CAST(sum(b - a + 1) AS BIGINT) AS pages FROM (SELECT o_orderstatus, o_orderkey % 5 + 1 AS a, o_orderkey % 5 + 1 + o_orderkey % 4 AS b FROM orders) GROUP BY 1""")
+def batch_pages(spark, d):
+    o = read(spark, d, "orders")
+    a = F.pmod("o_orderkey", F.lit(5)) + 1
+    o = o.select(F.col("o_orderstatus").alias("status"), a.alias("a"), (a + F.pmod("o_orderkey", F.lit(4))).alias("b"))
+    return o.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("b") - F.col("a") + 1).cast("bigint").alias("pages"))
+
+
+@query()
+def json_export(spark, d):
+    b = layout.name_assets(blocks(spark, d))
+    pages = b.groupBy("doc_id", "page").agg(F.lit(800).alias("width"), F.lit(600).alias("height"), F.lit("ok").alias("status"))
+    return export.json_view(pages, b)
