@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import escape_html
 
@@ -132,12 +133,12 @@ def markdown_html(text: str | None) -> str:
     return "\n".join(out)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def clean_html(x: pa.Array) -> pa.Array:
     return pa.array([sanitise(t) for t in x.to_pylist()], type=pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def markdown_to_clean_html(x: pa.Array) -> pa.Array:
     return pa.array([sanitise(markdown_html(t)) for t in x.to_pylist()], type=pa.string())
 

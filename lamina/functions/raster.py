@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def png_bytes(pixels: np.ndarray) -> bytes:
@@ -42,7 +43,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return x.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data").withColumn("page_count", (F.col("width") > 0).cast("int"))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _crop_png(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array, xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array, rotate: pa.Array) -> pa.Array:
     out = []
     for d, h, w, c, a, b, e, f, r in zip(*(x.to_pylist() for x in (data, height, width, channels, xmin, ymin, xmax, ymax, rotate)), strict=True):
