@@ -12,9 +12,9 @@ that is likely to fill all components are made, and later ones if it did not.
 Classes. Equal texts are one node (by a 128-bit digest). Nodes that share a band
 are compared with that band's smallest node, never with each other: candidates
 grow with the rows of a band, not their square. Each candidate's multisets are
-compared exactly. Bands that still hold several components are compared again,
-with ``CENTERS`` other nodes of the band, until a round adds no link. The components
-are the classes.
+compared exactly. Then one node, another in each turn, stands for every component of a band, and
+these are compared with one of them, until a turn adds no link. The components are
+the classes.
 
 Edge cases: null and empty texts count as equal; texts under five words are one
 shingle of all their words; null ids keep their rows, and sort last for a class's
@@ -39,8 +39,6 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Members of a band that are compared in one task with their centre.
 TOGETHER = 256
-#: Centres of a band in each later turn.
-CENTERS = 8
 PIECE = 400_000  # words signed at once
 #: Odd multipliers of a shingle's words.
 ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 % 2**64 | 1 for k in range(WORDS)], dtype=np.uint64)
@@ -255,25 +253,23 @@ def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataF
     wanted = bands.select("key").distinct()
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
     texts = materialise(texts.groupBy("key").agg(F.any_value("text").alias("text")), "dup-texts")
-    roots, links, tried, turn = None, None, None, 0
-    while True:
-        x = bands.withColumn("root", F.col("key")) if roots is None else bands.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # first the band's smallest key is its centre; later, keys that hashes of the turn put first, several at once
-        ranks = [F.col("key")] if turn == 0 else [F.unhex(F.md5(F.concat(F.col("key"), F.lit(f"{turn} {i}").cast("binary")))) for i in range(CENTERS)]
-        x = x.select("band", "key", "root")
-        center = x.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by(F.struct("key", "root"), r) for r in ranks])).alias("cs"), F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("band", F.explode("cs").alias("c")).select("band", F.col("c.key").alias("center"), F.col("c.root").alias("c_root"))
-        pairs = x.join(center, "band").filter(F.col("root") != F.col("c_root")).select("center", F.col("key").alias("member")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["center", "member"], "left_anti")
-        pairs = materialise(pairs, "dup-pairs")
-        if pairs.isEmpty():
-            break
-        found = materialise(compare(pairs, texts, like), "dup-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
+    # first turn: the band's smallest key is its centre
+    center = bands.groupBy("band").agg(F.min("key").alias("center"))
+    pairs = bands.join(center, "band").filter(F.col("key") != F.col("center")).select("center", F.col("key").alias("member")).distinct()
+    links = found = materialise(compare(materialise(pairs, "dup-pairs"), texts, like), "dup-links")
+    roots, turn = None, 0
+    while not found.isEmpty() or turn == 0:
+        # later turns: one node stands for each component of a band, and one of those is the centre
         roots, turn = components(links), turn + 1
+        x = bands.join(roots, "key", "left").select("band", F.coalesce("root", "key").alias("root"), "key")
+        draw = lambda c, t=turn: F.xxhash64(c, F.lit(t))
+        x = materialise(x.groupBy("band", "root").agg(F.min_by("key", draw(F.col("key"))).alias("key")), "dup-open")
+        center = x.groupBy("band").agg(F.min_by(F.struct("key", "root"), draw(F.col("root"))).alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band", F.col("c.key").alias("center"), F.col("c.root").alias("c_root"))
+        if turn == 1:  # bands that one component fills stay so
+            bands = materialise(bands.join(center.select("band"), "band", "left_semi"), "dup-bands")
+        pairs = x.join(center, "band").filter(F.col("root") != F.col("c_root")).select("center", F.col("key").alias("member")).distinct()
+        found = materialise(compare(materialise(pairs, "dup-pairs"), texts, like), "dup-links")
+        links = links.unionByName(found)
     x = signed.select("doc_id", "key")
     if roots is None:
         return x.withColumn("root", F.col("key"))
