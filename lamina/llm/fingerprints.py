@@ -240,7 +240,7 @@ def near_pairs(docs: DataFrame, *, like: float = 0.8, text: str = "text", band:
     x = x.groupBy("key").agg(F.any_value("text").alias("text"))
     x = materialise(x.withColumn("fp", fingerprint(F.col("text"))), "fp-texts")
     width = 2 * band
-    bands = x.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("fp") / width - 1), lambda i: F.substring(F.col("fp"), (i * width + 1).cast("int"), F.lit(width)))).alias("i", "v"))
+    bands = x.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("fp") / width - 1).cast("int")), lambda i: F.substring(F.col("fp"), (i * width + 1).cast("int"), F.lit(width)))).alias("i", "v"))
     bands = bands.filter(F.col("v") != "0" * width)
     center = bands.groupBy("i", "v").agg(F.min("key").alias("center"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
     pairs = bands.join(center, ["i", "v"]).filter(F.col("key") != F.col("center")).groupBy("center", F.col("key").alias("member")).agg(F.count(F.lit(1)).alias("shared"))

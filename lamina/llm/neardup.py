@@ -13,8 +13,8 @@ Classes. Equal texts are one node (by a 128-bit digest). Nodes that share a band
 are compared with that band's smallest node, never with each other: candidates
 grow with the rows of a band, not their square. Each candidate's multisets are
 compared exactly. Then one node, another in each turn, stands for every component of a band, and
-these are compared with one of them, until a turn adds no link. The components are
-the classes.
+these are compared with ``CENTERS`` of them, for ``TURNS`` turns or until one adds no
+link. The components are the classes.
 
 Edge cases: null and empty texts count as equal; texts under five words are one
 shingle of all their words; null ids keep their rows, and sort last for a class's
@@ -39,6 +39,8 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Members of a band that are compared in one task with their centre.
 TOGETHER = 256
+#: Later turns, and the centres of a band in each of them.
+TURNS, CENTERS = 2, 4
 PIECE = 400_000  # words signed at once
 #: Odd multipliers of a shingle's words.
 ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 % 2**64 | 1 for k in range(WORDS)], dtype=np.uint64)
@@ -258,18 +260,20 @@ def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataF
     pairs = bands.join(center, "band").filter(F.col("key") != F.col("center")).select("center", F.col("key").alias("member")).distinct()
     links = found = materialise(compare(materialise(pairs, "dup-pairs"), texts, like), "dup-links")
     roots, turn = None, 0
-    while not found.isEmpty() or turn == 0:
-        # later turns: one node stands for each component of a band, and one of those is the centre
+    while turn < TURNS and (turn == 0 or not found.isEmpty()):
+        # later turns: one node stands for each component of a band, and some of those are the centres
         roots, turn = components(links), turn + 1
         x = bands.join(roots, "key", "left").select("band", F.coalesce("root", "key").alias("root"), "key")
         draw = lambda c, t=turn: F.xxhash64(c, F.lit(t))
         x = materialise(x.groupBy("band", "root").agg(F.min_by("key", draw(F.col("key"))).alias("key")), "dup-open")
-        center = x.groupBy("band").agg(F.min_by(F.struct("key", "root"), draw(F.col("root"))).alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band", F.col("c.key").alias("center"), F.col("c.root").alias("c_root"))
+        firsts = F.array_distinct(F.array(*[F.min_by(F.struct("key", "root"), F.xxhash64("root", F.lit(turn), F.lit(i))) for i in range(CENTERS)]))
+        center = x.groupBy("band").agg(firsts.alias("cs"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band", F.explode("cs").alias("c")).select("band", F.col("c.key").alias("center"), F.col("c.root").alias("c_root"))
         if turn == 1:  # bands that one component fills stay so
-            bands = materialise(bands.join(center.select("band"), "band", "left_semi"), "dup-bands")
+            bands = materialise(bands.join(center.select("band").distinct(), "band", "left_semi"), "dup-bands")
         pairs = x.join(center, "band").filter(F.col("root") != F.col("c_root")).select("center", F.col("key").alias("member")).distinct()
         found = materialise(compare(materialise(pairs, "dup-pairs"), texts, like), "dup-links")
         links = links.unionByName(found)
+    roots = components(links)
     x = signed.select("doc_id", "key")
     if roots is None:
         return x.withColumn("root", F.col("key"))
