@@ -133,14 +133,15 @@ class CharModel:
         return "".join(reversed(out))
 
 
-def token_words(token: str, model: CharModel) -> list[str]:
-    """Words of a lower-case token, as it is and as restored."""
-    if PLAIN.match(token) and not THRICE.search(token):
-        return [token.rstrip(".,;:?\"')")]
-    words = LETTERS.findall(token)
-    if ODD.search(token):
-        words += LETTERS.findall(model.restore(token.strip(".,;:?\"'()[]{}")))
-    return words
+def plain_words(token: str) -> list[str]:
+    return LETTERS.findall(token)
+
+
+def restored_words(token: str, model: CharModel) -> list[str]:
+    """Words of a lower-case token as restored, if anything about it is odd."""
+    if PLAIN.match(token) and not THRICE.search(token) or not ODD.search(token):
+        return []
+    return LETTERS.findall(model.restore(token.strip(".,;:?\"'()[]{}")))
 
 
 def tokens(text: str) -> set[str]:
@@ -156,7 +157,7 @@ def parts(word: str) -> list[str]:
     w = f"^{word}$"
     n = len(w)
     out = {w}
-    for k in range(4, min(n, 10)):
+    for k in range(5, min(n, 10)):
         out.add(w[:k])
         out.add(w[-k:])
     return list(out)
@@ -167,20 +168,22 @@ class Scorer:
 
     def __init__(self, model: CharModel, features: dict[str, float], weights: list[float] | None):
         self.model, self.features, self.weights, self.memo = model, features, weights, None
-        self.starts = {f[:4] for f in features if f[0] == "^"}
-        self.ends = {f[-4:] for f in features if f[-1] == "$"}
+        self.starts = {f[:5] for f in features if f[0] == "^"}
+        self.ends = {f[-5:] for f in features if f[-1] == "$"}
 
     def __getstate__(self):
         return self.__dict__ | {"memo": None}
 
-    def word(self, word: str) -> float:
+    def word(self, word: str, whole: bool = False) -> float:
+        """A word's score; ``whole``: by itself and its beginnings alone."""
         w = f"^{word}$"
-        if w[:4] not in self.starts and w[-4:] not in self.ends:
+        if w[:5] not in self.starts and (whole or w[-5:] not in self.ends):
             return 0.0
-        return max([0.0, *(self.features.get(f, 0.0) for f in parts(word))])
+        return max([0.0, *(self.features.get(f, 0.0) for f in parts(word) if f[0] == "^" or not whole)])
 
     def token(self, token: str) -> float:
-        return max([0.0, *map(self.word, token_words(token, self.model))])
+        # a number at a word's end can read as many endings, so restored words are held to more
+        return max([0.0, *map(self.word, plain_words(token)), *(self.word(w, True) for w in restored_words(token, self.model))])
 
     def text_features(self, text: str | None) -> tuple[float, float, float]:
         if self.memo is None:
@@ -255,7 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> S
     sent = Sent(spark, model)
 
     def make():
-        memo = Memo(lambda t: token_words(t, sent.value))
+        memo = Memo(lambda t: plain_words(t) + restored_words(t, sent.value))
 
         def run(x: dict) -> dict:
             return {"toxic": x["toxic"], "words": [" ".join(sorted({w for t in tokens(text or "") for w in memo[t]})) for text in x["text"]]}
