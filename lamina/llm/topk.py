@@ -30,8 +30,10 @@ from .common import Sent, map_batches, materialise, table
 
 K = 5
 SEEDS = 2048
-QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
-STEP = 1024
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+STEP = 512
+#: Pairs multiplied out at once.
+PAIRS = 32_768
 HEAD = 16
 
 
@@ -52,6 +54,11 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b).astype(np.int64)
 
 
+def exact_pairs(q: np.ndarray, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``exact`` for rows i of q and j of x, some at a time: copies of the rows stay small."""
+    return np.concatenate([exact(q[i[a : a + PAIRS]], x[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)])
+
+
 def second_moments(rows: DataFrame) -> dict[int, np.ndarray]:
     """By dimension, the sum of outer products: one dim x dim matrix a task reaches the driver's sum."""
 
@@ -106,7 +113,7 @@ def search_block(queries: tuple, vectors: tuple, beat: np.ndarray, turn: np.ndar
         i, j = np.nonzero(may)
         if not len(i):
             continue
-        scores = exact(q[live[i]], x[a + j])
+        scores = exact_pairs(q, live[i], x, a + j)
         cuts = np.nonzero(np.diff(i))[0] + 1
         for part in np.split(np.arange(len(i)), cuts):
             at = live[i[part[0]]]
