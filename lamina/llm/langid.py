@@ -33,10 +33,14 @@ KEPT_RATE = 0.15
 CHUNK = 1 << 20
 
 
+#: Letters have code points below this; all beyond are marks, private or unassigned.
+LETTERS_END = 0x34000
+
+
 def letters() -> np.ndarray:
-    """For code points below 0x10000: lower-case letters as they are, all else a space."""
-    out = np.full(0x10000, 32, dtype=np.uint32)
-    for c in range(0x10000):
+    """For code points up to ``LETTERS_END``: letters as they are, all else a space."""
+    out = np.full(LETTERS_END + 1, 32, dtype=np.uint32)
+    for c in range(LETTERS_END):
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
             out[c] = c
     return out
@@ -46,7 +50,7 @@ def grams(texts: list[str], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams with a letter inside, and the index of the text each is of."""
     pad = " " * (N - 1)
     codes = utf32(pad + pad.join(t.lower() for t in texts) + pad)
-    codes = np.where(codes < 0x10000, kept[np.minimum(codes, 0xFFFF)], codes)
+    codes = kept[np.minimum(codes, LETTERS_END)]
     lengths = np.fromiter((len(t.lower()) + N - 1 for t in texts), dtype=np.int64, count=len(texts))
     h = codes[: len(codes) - N + 1].astype(np.uint64)
     some = codes[: len(codes) - N + 1] != 32

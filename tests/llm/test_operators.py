@@ -149,6 +149,8 @@ def test_language(spark, odd, none):
     assert by[3].lang == by[2].lang == by[4].lang == "und" and by[5].lang != "und" and by[6].lang == by[7].lang
     empty = langid.learn(none)
     assert odd.select(langid.predict(empty, F.col("text"), spark).alias("p")).filter("p.lang <> 'und'").count() == 0
+    assert model.score(["\U0001f600 \U0001f680", "12 ...", None], langid.letters()) == (["und"] * 3, [0.0] * 3)
+    assert model.score(["\U00020000"], langid.letters())[0] != ["und"]
 
 
 def test_filter_returns_all_languages_of_a_gram():
