@@ -132,9 +132,10 @@ def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most: int = NGRA
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Filter([], (np.zeros(0, np.uint64), np.zeros((0, 1), np.uint8)), None)
-    parts = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / v)) for k, v in counts.items()], "of string, part double")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(20_011)), F.lit(1_000_003)) <= F.col("part") * 1_000_003
-    rows = rows.join(parts, rows["lang"] == parts["of"]).filter(drawn).select("lang", "text")
+    # as many entries as there are languages; a map needs no shuffle of the texts
+    part = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, per_language / n))])[F.col("lang")]
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(20_011)), F.lit(1_000_003)) <= part * 1_000_003
+    rows = rows.filter(drawn).select("lang", "text")
 
     def make():
         kept = letters()
