@@ -9,12 +9,18 @@ signature is its earliest point there, so two documents agree in a component wit
 probability equal to their weighted Jaccard similarity. Only points up to a time
 that is likely to fill all components are made, and later ones if it did not.
 
-Classes. Equal texts are one node (by a 128-bit digest). Nodes that share a band
-are compared with that band's smallest node, never with each other: candidates
-grow with the rows of a band, not their square. Each candidate's multisets are
-compared exactly. Then one node, another in each turn, stands for every component of a band, and
-these are compared with ``CENTERS`` of them, for ``TURNS`` turns or until one adds no
-link. The components are the classes.
+Classes. Equal texts are one node (by a 128-bit digest). In the first turn nodes
+that share a band are compared with that band's smallest node: a group of copies
+becomes one component at a cost linear in its rows. Every other pair of a band is
+then settled by signatures: whoever agrees in fewer than ``AGREE`` of ``M``
+components is no candidate (a pair at 0.8 falls below that about once in a
+million). Of the pairs across components that agree in more, the second turn
+compares the most alike, a spanning forest of each band's components, and the
+last turn all that still lie across components. So no pair of a band is left
+unsettled, and pairs inside a component, which add nothing, are never made.
+Bands larger than ``BLOCK`` are dealt in blocks of about that many nodes, each
+two blocks to a task. Candidates' multisets are compared exactly; the components
+of the links are the classes.
 
 Edge cases: null and empty texts count as equal; texts under five words are one
 shingle of all their words; null ids keep their rows, and sort last for a class's
@@ -39,8 +45,14 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 #: Members of a band that are compared in one task with their centre.
 TOGETHER = 256
-#: Later turns, and the centres of a band in each of them.
-TURNS, CENTERS = 2, 4
+#: Components of two signatures that must agree for a candidate: 4.9 deviations under 0.8 of them.
+AGREE = 78
+#: Nodes of a band in one block.
+BLOCK = 1024
+#: Signature bytes in a word: seven of seven bits each, so that sums stay within a signed word.
+BYTES = 7
+PACKED = -(-M // BYTES)
+LOWS, HIGHS = sum(0x7F << 8 * k for k in range(BYTES)), sum(0x80 << 8 * k for k in range(BYTES))
 PIECE = 400_000  # words signed at once
 #: Odd multipliers of a shingle's words.
 ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 % 2**64 | 1 for k in range(WORDS)], dtype=np.uint64)
@@ -157,18 +169,37 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return out.view(np.int64)
 
 
+def pack(sig: np.ndarray) -> np.ndarray:
+    """Seven bits of each component, seven components a word; what is past the last is 0."""
+    v = np.zeros((len(sig), PACKED * BYTES), dtype=np.uint64)
+    v[:, : sig.shape[1]] = sig >> np.uint64(57)
+    return (v.reshape(len(sig), PACKED, BYTES) << (np.arange(BYTES, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components in which packed signatures agree."""
+    differ = np.bitwise_count(((a ^ b) + np.int64(LOWS)) & np.int64(HIGHS)).sum(axis=-1, dtype=np.int64)
+    return M - differ
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """``agreeing`` as an expression."""
+    differ = [F.bit_count((a[i].bitwiseXOR(b[i]) + F.lit(LOWS)).bitwiseAND(F.lit(HIGHS))) for i in range(PACKED)]
+    return F.lit(M) - sum(differ[1:], differ[0])
+
+
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def sign(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``key, doc_id, bands``, a row a document."""
+    """``key, doc_id, bands, sig``, a row a document."""
 
     def make():
         memo = Memo(word_hash)
 
         def run(x: dict) -> dict:
-            texts, keys, bands = [t or "" for t in x["text"]], x["key"], {}
+            texts, keys, bands, packed = [t or "" for t in x["text"]], x["key"], {}, {}
             todo = list({k: i for i, k in enumerate(keys)}.values())
             while todo:
                 part, size = [], 0
@@ -176,14 +207,15 @@ def sign(docs: DataFrame, text: str = "text") -> DataFrame:
                     part.append(todo.pop())
                     size += len(texts[part[-1]])
                 h, of = shingle_hashes([texts[i] for i in part], memo)
-                got = band_keys(signatures(*bags(h, of), len(part)))
-                bands.update((keys[i], row) for i, row in zip(part, got.tolist(), strict=True))
-            return {"key": keys, "doc_id": x["doc_id"], "bands": [bands[k] for k in keys]}
+                got = signatures(*bags(h, of), len(part))
+                bands.update((keys[i], row) for i, row in zip(part, band_keys(got).tolist(), strict=True))
+                packed.update((keys[i], row) for i, row in zip(part, pack(got).tolist(), strict=True))
+            return {"key": keys, "doc_id": x["doc_id"], "bands": [bands[k] for k in keys], "sig": [packed[k] for k in keys]}
 
         return run
 
     rows = docs.select(text_key(F.col(text)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, make, "key binary, doc_id long, bands array<long>")
+    return map_batches(rows, make, "key binary, doc_id long, bands array<long>, sig array<long>")
 
 
 def bag_of(text: str, memo: Memo) -> Counter:
@@ -228,6 +260,100 @@ def compare(pairs: DataFrame, texts: DataFrame, like: float = LIKE) -> DataFrame
     return map_batches(given, make, "center binary, member binary")
 
 
+def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Of ``center, member`` pairs those whose signatures agree in ``AGREE`` components."""
+    x = pairs.join(sigs.select(F.col("key").alias("member"), F.col("sig").alias("m_sig")), "member")
+    x = x.join(sigs.select(F.col("key").alias("center"), F.col("sig").alias("c_sig")), "center")
+    return x.filter(agreement(F.col("m_sig"), F.col("c_sig")) >= AGREE).select("center", "member")
+
+
+def forest(pairs: dict[tuple, tuple]) -> list[tuple]:
+    """Of ``{components: (agreement, a, b)}`` a spanning forest of the components, most alike first."""
+    top: dict = {}
+
+    def find(x):
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    out = []
+    for (x, y), (_, a, b) in sorted(pairs.items(), key=lambda kv: (-kv[1][0], kv[0])):
+        if (x := find(x)) != (y := find(y)):
+            top[x] = y
+            out.append((a, b))
+    return out
+
+
+def block_pairs(keys: list, roots: list, sides: list, sig: np.ndarray, every: bool) -> list[tuple]:
+    """Pairs of a block's nodes across components that agree in ``AGREE``; all, or only a forest of the components.
+
+    Where a block has two sides, pairs lie across these too. Nodes of the largest
+    component come last and are compared with none.
+    """
+    names, size = {r: i for i, r in enumerate(dict.fromkeys(roots))}, Counter(roots)
+    part = np.array([names[r] for r in roots])
+    order = np.lexsort((part, np.array([size[r] for r in roots])))
+    part, side, sig = part[order], np.array(sides)[order], sig[order]
+    two = len(set(sides)) > 1
+    ends = np.append(np.nonzero(part[1:] != part[:-1])[0] + 1, len(part))
+    end = ends[np.searchsorted(ends, np.arange(len(part)), side="right")]
+    out, best = [], {}
+    for i in range(int(ends[-2]) if len(ends) > 1 else 0):
+        count = agreeing(sig[end[i] :], sig[i])
+        good = count >= AGREE
+        if two:
+            good &= side[end[i] :] != side[i]
+        for j in np.nonzero(good)[0].tolist():
+            n, at = int(count[j]), j + int(end[i])
+            pair = (keys[order[i]], keys[order[at]])
+            if every:
+                out.append(pair)
+            elif n > best.get((key := (int(part[i]), int(part[at]))), (-1,))[0]:
+                best[key] = (n, *pair)
+    return [(min(p), max(p)) for p in (out if every else forest(best))]
+
+
+def across(bands: DataFrame, roots: DataFrame, sigs: DataFrame, every: bool) -> DataFrame:
+    """``center, member``: candidate pairs of each band that lie across components; see ``block_pairs``."""
+    x = bands.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    sizes = x.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = sizes.filter(F.col("low") != F.col("high")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    x = x.join(sizes, "band").withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "root").join(sigs, "key")
+
+    def make():
+        held: dict = {"of": None, "rows": []}
+
+        def settle(out: dict) -> None:
+            rows = held["rows"]
+            if len(rows) > 1:
+                keys, roots_, sides, sig = zip(*rows, strict=True)
+                for a, b in block_pairs(list(keys), list(roots_), list(sides), np.array(sig, dtype=np.int64), every):
+                    out["center"].append(a)
+                    out["member"].append(b)
+
+        def run(x: dict) -> dict:
+            out: dict = {"center": [], "member": []}
+            for *of, key, root, side, sig in zip(x["band"], x["i"], x["j"], x["key"], x["root"], x["side"], x["sig"], strict=True):
+                if of != held["of"]:
+                    settle(out)
+                    held.update(of=of, rows=[])
+                held["rows"].append((key, root, side, sig))
+            return out
+
+        def finish() -> dict:
+            out: dict = {"center": [], "member": []}
+            settle(out)
+            return out
+
+        run.finish = finish
+        return run
+
+    x = x.select("band", "i", "j", "key", "root", "side", "sig").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return map_batches(x, make, "center binary, member binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``key, root``: the smallest key of each connected component, by label passing with shortcuts."""
     both = links.select(F.col("center").alias("a"), F.col("member").alias("b"))
@@ -252,31 +378,25 @@ def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataF
     bands = nodes.select("key", F.posexplode("bands").alias("i", "h")).select("key", F.xxhash64("i", "h").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band")
     bands = materialise(bands.join(shared, "band"), "dup-bands")
-    wanted = bands.select("key").distinct()
+    wanted = materialise(bands.select("key").distinct(), "dup-wanted")
+    sigs = materialise(signed.groupBy("key").agg(F.any_value("sig").alias("sig")).join(wanted, "key"), "dup-sigs")
+    # first turn: the band's smallest key is its centre, and has no other pairs there after it
+    center = bands.groupBy("band").agg(F.min("key").alias("center"))
+    bands = materialise(bands.join(center, "band").filter(F.col("key") != F.col("center")), "dup-bands")
+    pairs = materialise(likely(bands.select("center", F.col("key").alias("member")).distinct(), sigs), "dup-pairs")
+    bands = bands.select("band", "key")
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
     texts = materialise(texts.groupBy("key").agg(F.any_value("text").alias("text")), "dup-texts")
-    # first turn: the band's smallest key is its centre
-    center = bands.groupBy("band").agg(F.min("key").alias("center"))
-    pairs = bands.join(center, "band").filter(F.col("key") != F.col("center")).select("center", F.col("key").alias("member")).distinct()
-    links = found = materialise(compare(materialise(pairs, "dup-pairs"), texts, like), "dup-links")
-    roots, turn = None, 0
-    while turn < TURNS and (turn == 0 or not found.isEmpty()):
-        # later turns: one node stands for each component of a band, and some of those are the centres
-        roots, turn = components(links), turn + 1
-        x = bands.join(roots, "key", "left").select("band", F.coalesce("root", "key").alias("root"), "key")
-        draw = lambda c, t=turn: F.xxhash64(c, F.lit(t))
-        x = materialise(x.groupBy("band", "root").agg(F.min_by("key", draw(F.col("key"))).alias("key")), "dup-open")
-        firsts = F.array_distinct(F.array(*[F.min_by(F.struct("key", "root"), F.xxhash64("root", F.lit(turn), F.lit(i))) for i in range(CENTERS)]))
-        center = x.groupBy("band").agg(firsts.alias("cs"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band", F.explode("cs").alias("c")).select("band", F.col("c.key").alias("center"), F.col("c.root").alias("c_root"))
-        if turn == 1:  # bands that one component fills stay so
-            bands = materialise(bands.join(center.select("band").distinct(), "band", "left_semi"), "dup-bands")
-        pairs = x.join(center, "band").filter(F.col("root") != F.col("c_root")).select("center", F.col("key").alias("member")).distinct()
-        found = materialise(compare(materialise(pairs, "dup-pairs"), texts, like), "dup-links")
-        links = links.unionByName(found)
+    links = materialise(compare(pairs, texts, like), "dup-links")
+    for every in (False, True):
+        new = across(bands, components(links), sigs, every).join(pairs, ["center", "member"], "left_anti")
+        new = materialise(new, "dup-pairs")
+        if new.isEmpty():
+            continue
+        pairs = pairs.unionByName(new)
+        links = links.unionByName(materialise(compare(new, texts, like), "dup-links"))
     roots = components(links)
     x = signed.select("doc_id", "key")
-    if roots is None:
-        return x.withColumn("root", F.col("key"))
     return x.join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 

@@ -434,3 +434,42 @@ def test_deficits_carry(spark):
         assert sum(p[2] for p in pieces if p[3] == s and p[0] == 0) == 500
     late = list(packing.pack_shard([("a", 0.5, 400.0), ("b", 0.5, -400.0)], [("a", 4000), ("b", 4000)], 0, 1000, 10))
     assert sum(p[2] for p in late if p[3] == 0 and p[0] == 0) == 900
+
+
+def test_packed_signatures_agree_as_whole_ones(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**64, (40, neardup.M), dtype=np.uint64)
+    b = np.where(rng.random(a.shape) < 0.7, a, a ^ np.uint64(1 << 63))
+    p, q = neardup.pack(a), neardup.pack(b)
+    want = (a == b).sum(axis=1).tolist()
+    assert neardup.agreeing(p, q).tolist() == want
+    x = spark.createDataFrame(list(zip(p.tolist(), q.tolist(), strict=True)), "a array<long>, b array<long>")
+    assert [r[0] for r in x.select(neardup.agreement(F.col("a"), F.col("b"))).collect()] == want
+
+
+def test_block_pairs_leave_no_pair_across_components_out():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, (5, neardup.M), dtype=np.uint64)
+    sig = np.concatenate([np.where(rng.random((12, neardup.M)) < 0.15, rng.integers(0, 2**64, (12, neardup.M), dtype=np.uint64), b) for b in base])
+    keys = [bytes([i]) for i in rng.permutation(len(sig)).tolist()]
+    roots = [keys[12 * (i // 12) + i % 12 % 3] for i in range(len(sig))]
+    packed = neardup.pack(sig)
+    for sides in ([0] * len(sig), [i % 2 for i in range(len(sig))]):
+        want = {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i in range(len(sig)) for j in range(i) if roots[i] != roots[j] and (sides[i] != sides[j] or len(set(sides)) == 1) and (sig[i] == sig[j]).sum() >= neardup.AGREE}
+        assert set(neardup.block_pairs(keys, roots, sides, packed, True)) == want
+        few = neardup.block_pairs(keys, roots, sides, packed, False)
+        assert set(few) <= want and len(few) == 10  # five groups of three components each
+
+
+def test_near_duplicates_link_texts_whose_bands_have_other_centres(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = []
+    for g in range(6):  # relatives at 0.6 or so, each with a close copy
+        common = [f"c{g}_{i}" for i in range(150)]
+        for k in range(10):
+            own = common + [f"o{g}_{k}_{i}" for i in range(40)]
+            texts += [" ".join(own), " ".join(own[:-3] + [f"z{g}_{k}_{i}" for i in range(int(rng.integers(1, 4)))])]
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    x = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {d.doc_id: d.class_id for d in neardup.near_duplicates(x).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
