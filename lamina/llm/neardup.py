@@ -14,13 +14,12 @@ that share a band are compared with that band's smallest node: a group of copies
 becomes one component at a cost linear in its rows. Every other pair of a band is
 then settled by signatures: whoever agrees in fewer than ``AGREE`` of ``M``
 components is no candidate (a pair at 0.8 falls below that about once in a
-million). Of the pairs across components that agree in more, the second turn
-compares the most alike, a spanning forest of each band's components, and the
-last turn all that still lie across components. So no pair of a band is left
-unsettled, and pairs inside a component, which add nothing, are never made.
-Bands larger than ``BLOCK`` are dealt in blocks of about that many nodes, each
-two blocks to a task. Candidates' multisets are compared exactly; the components
-of the links are the classes.
+million). Nodes that have a candidate in another component meet once more, with
+their texts, and candidates are compared exactly, most alike first, unless links
+found so far already join them. So no pair of a band is left unsettled, and what
+is written grows with nodes and links, not with pairs. Bands larger than
+``BLOCK`` are dealt in blocks of about that many nodes, each two blocks to a
+task. The components of the links are the classes.
 
 Edge cases: null and empty texts count as equal; texts under five words are one
 shingle of all their words; null ids keep their rows, and sort last for a class's
@@ -47,8 +46,10 @@ M = BANDS * ROWS
 TOGETHER = 256
 #: Components of two signatures that must agree for a candidate: 4.9 deviations under 0.8 of them.
 AGREE = 78
-#: Nodes of a band in one block.
-BLOCK = 1024
+#: Nodes of a band in one block, by signatures alone and with texts.
+BLOCK, TEXT_BLOCK = 1024, 128
+#: Shingles of the bags that a block keeps at once.
+KEPT = 1_000_000
 #: Signature bytes in a word: seven of seven bits each, so that sums stay within a signed word.
 BYTES = 7
 PACKED = -(-M // BYTES)
@@ -267,28 +268,12 @@ def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return x.filter(agreement(F.col("m_sig"), F.col("c_sig")) >= AGREE).select("center", "member")
 
 
-def forest(pairs: dict[tuple, tuple]) -> list[tuple]:
-    """Of ``{components: (agreement, a, b)}`` a spanning forest of the components, most alike first."""
-    top: dict = {}
+def crossing(roots: list, sides: list, sig: np.ndarray):
+    """Rows of a block with those after them that are candidates: ``(row, rows, agreement)``.
 
-    def find(x):
-        while (up := top.get(x, x)) != x:
-            top[x] = x = top.get(up, up)
-        return x
-
-    out = []
-    for (x, y), (_, a, b) in sorted(pairs.items(), key=lambda kv: (-kv[1][0], kv[0])):
-        if (x := find(x)) != (y := find(y)):
-            top[x] = y
-            out.append((a, b))
-    return out
-
-
-def block_pairs(keys: list, roots: list, sides: list, sig: np.ndarray, every: bool) -> list[tuple]:
-    """Pairs of a block's nodes across components that agree in ``AGREE``; all, or only a forest of the components.
-
-    Where a block has two sides, pairs lie across these too. Nodes of the largest
-    component come last and are compared with none.
+    Candidates agree in ``AGREE`` components and lie in different graph components
+    and, if the block has two sides, on different sides. Rows of the largest graph
+    component come last and begin no pair.
     """
     names, size = {r: i for i, r in enumerate(dict.fromkeys(roots))}, Counter(roots)
     part = np.array([names[r] for r in roots])
@@ -297,61 +282,114 @@ def block_pairs(keys: list, roots: list, sides: list, sig: np.ndarray, every: bo
     two = len(set(sides)) > 1
     ends = np.append(np.nonzero(part[1:] != part[:-1])[0] + 1, len(part))
     end = ends[np.searchsorted(ends, np.arange(len(part)), side="right")]
-    out, best = [], {}
     for i in range(int(ends[-2]) if len(ends) > 1 else 0):
         count = agreeing(sig[end[i] :], sig[i])
         good = count >= AGREE
         if two:
             good &= side[end[i] :] != side[i]
-        for j in np.nonzero(good)[0].tolist():
-            n, at = int(count[j]), j + int(end[i])
-            pair = (keys[order[i]], keys[order[at]])
-            if every:
-                out.append(pair)
-            elif n > best.get((key := (int(part[i]), int(part[at]))), (-1,))[0]:
-                best[key] = (n, *pair)
-    return [(min(p), max(p)) for p in (out if every else forest(best))]
-
-
-def across(bands: DataFrame, roots: DataFrame, sigs: DataFrame, every: bool) -> DataFrame:
-    """``center, member``: candidate pairs of each band that lie across components; see ``block_pairs``."""
-    x = bands.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+        if good.any():
+            yield int(order[i]), order[end[i] :][good], count[good]
+
+
+def open_rows(roots: list, sides: list, sig: np.ndarray) -> list[int]:
+    """Rows of a block with a candidate."""
+    found = np.zeros(len(roots), dtype=bool)
+    for i, others, _ in crossing(roots, sides, sig):
+        found[i] = True
+        found[others] = True
+    return np.nonzero(found)[0].tolist()
+
+
+def block_links(keys: list, roots: list, sides: list, sig: np.ndarray, first: np.ndarray, at: int, texts: list, memo: Memo, like: float) -> list[tuple]:
+    """Links between components of a block: candidates compared exactly, most alike first.
+
+    ``first`` holds each row's bands; a pair is that of the first band it shares.
+    """
+    top, bags_, size, out, todo = {}, {}, 0, [], []
+
+    def find(x):
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    for i, others, count in crossing(roots, sides, sig):
+        mine = (first[others] == first[i]).argmax(axis=1) == at
+        todo.append(np.stack([np.full(int(mine.sum()), i), others[mine], count[mine]], axis=1))
+    if not todo:
+        return out
+    todo = np.concatenate(todo)
+    for i, j, _ in todo[np.argsort(-todo[:, 2], kind="stable")].tolist():
+        if (x := find(roots[i])) == (y := find(roots[j])):
+            continue
+        for k in (i, j):
+            if k not in bags_:
+                if size > KEPT:
+                    bags_, size = {n: bags_[n] for n in (i, j) if n in bags_}, 0
+                bags_[k] = bag_of(texts[k] or "", memo)
+                size += len(bags_[k])
+        if overlap(bags_[i], bags_[j]) >= like:
+            top[x] = y
+            out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+    return out
+
+
+def blocks_of(bands: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """``band, at, i, j, side, key, root``: nodes of bands that several components share, each in every pair of blocks of its own."""
+    x = bands.join(roots, "key", "left").select("band", "at", "key", F.coalesce("root", "key").alias("root"))
     sizes = x.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    sizes = sizes.filter(F.col("low") != F.col("high")).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = sizes.filter(F.col("low") != F.col("high")).select("band", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
     x = x.join(sizes, "band").withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "root").join(sigs, "key")
+    return x.select("band", "at", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "root")
+
+
+def by_block(rows: DataFrame, settle, ddl: str) -> DataFrame:
+    """``settle(columns)`` for each ``band, i, j`` gives columns of ``ddl``; blocks are bounded, see ``blocks_of``."""
+    names, out_names = rows.columns, [f.split()[0] for f in ddl.split(", ")]
 
     def make():
         held: dict = {"of": None, "rows": []}
 
-        def settle(out: dict) -> None:
-            rows = held["rows"]
-            if len(rows) > 1:
-                keys, roots_, sides, sig = zip(*rows, strict=True)
-                for a, b in block_pairs(list(keys), list(roots_), list(sides), np.array(sig, dtype=np.int64), every):
-                    out["center"].append(a)
-                    out["member"].append(b)
+        def close(out: dict) -> None:
+            if len(held["rows"]) > 1:
+                for n, v in settle(dict(zip(names, map(list, zip(*held["rows"], strict=True)), strict=True))).items():
+                    out[n].extend(v)
 
         def run(x: dict) -> dict:
-            out: dict = {"center": [], "member": []}
-            for *of, key, root, side, sig in zip(x["band"], x["i"], x["j"], x["key"], x["root"], x["side"], x["sig"], strict=True):
+            out: dict = {n: [] for n in out_names}
+            for of, row in zip(zip(x["band"], x["i"], x["j"], strict=True), zip(*(x[n] for n in names), strict=True), strict=True):
                 if of != held["of"]:
-                    settle(out)
+                    close(out)
                     held.update(of=of, rows=[])
-                held["rows"].append((key, root, side, sig))
+                held["rows"].append(row)
             return out
 
         def finish() -> dict:
-            out: dict = {"center": [], "member": []}
-            settle(out)
+            out: dict = {n: [] for n in out_names}
+            close(out)
             return out
 
         run.finish = finish
         return run
 
-    x = x.select("band", "i", "j", "key", "root", "side", "sig").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return map_batches(x, make, "center binary, member binary").distinct()
+    return map_batches(rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), make, ddl)
+
+
+def across(bands: DataFrame, roots: DataFrame, sigs: DataFrame, texts: DataFrame, like: float = LIKE) -> DataFrame:
+    """``center, member``: links of each band across components, as few as join all that belong together."""
+
+    def opened(x: dict) -> dict:
+        rows = open_rows(x["root"], x["side"], np.array(x["sig"], dtype=np.int64))
+        return {n: [x[n][k] for k in rows] for n in ("band", "at", "key")}
+
+    def linked(x: dict) -> dict:
+        got = block_links(x["key"], x["root"], x["side"], np.array(x["sig"], dtype=np.int64), np.array(x["bands"], dtype=np.int64), x["at"][0], x["text"], Memo(word_hash), like)
+        return {"center": [a for a, _ in got], "member": [b for _, b in got]}
+
+    rows = blocks_of(bands, roots, BLOCK).join(sigs.select("key", "sig"), "key")
+    left = materialise(by_block(rows, opened, "band long, at int, key binary").distinct(), "dup-open")
+    rows = blocks_of(left, roots, TEXT_BLOCK).join(sigs, "key").join(texts, "key")
+    return by_block(rows, linked, "center binary, member binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -374,27 +412,21 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataFrame:
     """``doc_id, key, root``, a row a document; ``root`` names its class."""
     signed = materialise(sign(docs, text), "dup-signed")
-    nodes = signed.groupBy("key").agg(F.any_value("bands").alias("bands"))
-    bands = nodes.select("key", F.posexplode("bands").alias("i", "h")).select("key", F.xxhash64("i", "h").alias("band"))
+    nodes = signed.groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    bands = nodes.select("key", F.posexplode("bands").alias("at", "h")).select("key", "at", F.xxhash64("at", "h").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band")
     bands = materialise(bands.join(shared, "band"), "dup-bands")
     wanted = materialise(bands.select("key").distinct(), "dup-wanted")
-    sigs = materialise(signed.groupBy("key").agg(F.any_value("sig").alias("sig")).join(wanted, "key"), "dup-sigs")
+    sigs = materialise(nodes.join(wanted.hint("merge"), "key"), "dup-sigs")
     # first turn: the band's smallest key is its centre, and has no other pairs there after it
     center = bands.groupBy("band").agg(F.min("key").alias("center"))
     bands = materialise(bands.join(center, "band").filter(F.col("key") != F.col("center")), "dup-bands")
     pairs = materialise(likely(bands.select("center", F.col("key").alias("member")).distinct(), sigs), "dup-pairs")
-    bands = bands.select("band", "key")
-    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).join(wanted, "key", "left_semi")
+    bands = bands.select("band", "at", "key")
+    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).join(wanted.hint("merge"), "key", "left_semi")
     texts = materialise(texts.groupBy("key").agg(F.any_value("text").alias("text")), "dup-texts")
     links = materialise(compare(pairs, texts, like), "dup-links")
-    for every in (False, True):
-        new = across(bands, components(links), sigs, every).join(pairs, ["center", "member"], "left_anti")
-        new = materialise(new, "dup-pairs")
-        if new.isEmpty():
-            continue
-        pairs = pairs.unionByName(new)
-        links = links.unionByName(materialise(compare(new, texts, like), "dup-links"))
+    links = links.unionByName(materialise(across(bands, components(links), sigs, texts, like), "dup-links"))
     roots = components(links)
     x = signed.select("doc_id", "key")
     return x.join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))

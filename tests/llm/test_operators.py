@@ -447,18 +447,26 @@ def test_packed_signatures_agree_as_whole_ones(spark):
     assert [r[0] for r in x.select(neardup.agreement(F.col("a"), F.col("b"))).collect()] == want
 
 
-def test_block_pairs_leave_no_pair_across_components_out():
+def test_blocks_settle_every_candidate_across_components():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**64, (5, neardup.M), dtype=np.uint64)
     sig = np.concatenate([np.where(rng.random((12, neardup.M)) < 0.15, rng.integers(0, 2**64, (12, neardup.M), dtype=np.uint64), b) for b in base])
-    keys = [bytes([i]) for i in rng.permutation(len(sig)).tolist()]
-    roots = [keys[12 * (i // 12) + i % 12 % 3] for i in range(len(sig))]
-    packed = neardup.pack(sig)
-    for sides in ([0] * len(sig), [i % 2 for i in range(len(sig))]):
-        want = {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i in range(len(sig)) for j in range(i) if roots[i] != roots[j] and (sides[i] != sides[j] or len(set(sides)) == 1) and (sig[i] == sig[j]).sum() >= neardup.AGREE}
-        assert set(neardup.block_pairs(keys, roots, sides, packed, True)) == want
-        few = neardup.block_pairs(keys, roots, sides, packed, False)
-        assert set(few) <= want and len(few) == 10  # five groups of three components each
+    n, packed, memo = len(sig), neardup.pack(sig), Memo(neardup.word_hash)
+    keys = [bytes([i]) for i in rng.permutation(n).tolist()]
+    roots = [keys[12 * (i // 12) + i % 12 % 3] for i in range(n)]
+    bands = np.zeros((n, 2), dtype=np.int64)
+    bands[:, 0] = rng.integers(0, 2, n)
+    texts = [f"text {i // 12}" for i in range(n)]
+    for sides in ([0] * n, [i % 2 for i in range(n)]):
+        ok = lambda i, j: roots[i] != roots[j] and (sides[i] != sides[j] or len(set(sides)) == 1) and (sig[i] == sig[j]).sum() >= neardup.AGREE  # noqa: B023, E731
+        want = {(i, j) for i in range(n) for j in range(i) if ok(i, j)}
+        got = {(max(i, int(j)), min(i, int(j))) for i, js, _ in neardup.crossing(roots, sides, packed) for j in js}
+        assert got == want and neardup.open_rows(roots, sides, packed) == sorted({i for p in want for i in p})
+        place = {k: i for i, k in enumerate(keys)}
+        few = neardup.block_links(keys, roots, sides, packed, bands, 1, texts, memo, 0.8)
+        pairs = {(max(i, j), min(i, j)) for i, j in ((place[a], place[b]) for a, b in few)}
+        assert pairs <= {(i, j) for i, j in want if bands[i, 0] != bands[j, 0]} and len(few) == 10  # five groups of three components
+        assert not neardup.block_links(keys, roots, sides, packed, bands, 1, [f"text {i}" for i in range(n)], memo, 0.8)
 
 
 def test_near_duplicates_link_texts_whose_bands_have_other_centres(spark, monkeypatch):
@@ -470,6 +478,7 @@ def test_near_duplicates_link_texts_whose_bands_have_other_centres(spark, monkey
             own = common + [f"o{g}_{k}_{i}" for i in range(40)]
             texts += [" ".join(own), " ".join(own[:-3] + [f"z{g}_{k}_{i}" for i in range(int(rng.integers(1, 4)))])]
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "TEXT_BLOCK", 3)
     x = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
     got = {d.doc_id: d.class_id for d in neardup.near_duplicates(x).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
