@@ -19,7 +19,8 @@ their texts, and candidates are compared exactly, most alike first, unless links
 found so far already join them. So no pair of a band is left unsettled, and what
 is written grows with nodes and links, not with pairs. Bands larger than
 ``BLOCK`` are dealt in blocks of about that many nodes, each two blocks to a
-task. The components of the links are the classes.
+task, but for blocks of the band's largest component, which meet only the rest.
+The components of the links are the classes.
 
 Edge cases: null and empty texts count as equal; texts under five words are one
 shingle of all their words; null ids keep their rows, and sort last for a class's
@@ -46,8 +47,8 @@ M = BANDS * ROWS
 TOGETHER = 256
 #: Components of two signatures that must agree for a candidate: 4.9 deviations under 0.8 of them.
 AGREE = 78
-#: Nodes of a band in one block, by signatures alone and with texts.
-BLOCK, TEXT_BLOCK = 1024, 128
+#: Nodes of a band in one block; with their texts, a node counts once more for so many characters.
+BLOCK, CHARS = 1024, 8192
 #: Shingles of the bags that a block keeps at once.
 KEPT = 1_000_000
 #: Signature bytes in a word: seven of seven bits each, so that sums stay within a signed word.
@@ -240,7 +241,7 @@ def compare(pairs: DataFrame, texts: DataFrame, like: float = LIKE) -> DataFrame
     rows = pairs.join(size, "center").select("center", salt.alias("salt"), "member")
     asked = rows.select("center", "salt", F.lit(1).alias("kind"), F.col("member").alias("key"))
     asked = asked.unionByName(rows.select("center", "salt").distinct().select("center", "salt", F.lit(0).alias("kind"), F.col("center").alias("key")))
-    given = asked.join(texts, "key")
+    given = asked.join(texts.select("key", "text"), "key")
 
     def make():
         memo, held = Memo(word_hash), {"of": None}
@@ -333,13 +334,19 @@ def block_links(keys: list, roots: list, sides: list, sig: np.ndarray, first: np
     return out
 
 
-def blocks_of(bands: DataFrame, roots: DataFrame, most: int) -> DataFrame:
-    """``band, at, i, j, side, key, root``: nodes of bands that several components share, each in every pair of blocks of its own."""
-    x = bands.join(roots, "key", "left").select("band", "at", "key", F.coalesce("root", "key").alias("root"))
-    sizes = x.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    sizes = sizes.filter(F.col("low") != F.col("high")).select("band", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    x = x.join(sizes, "band").withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def blocks_of(bands: DataFrame, roots: DataFrame, most: int = BLOCK) -> DataFrame:
+    """``band, at, i, j, side, key, root``: nodes of bands that several components share, in each pair of blocks to be compared.
+
+    Blocks come to ``most`` by the sum of ``weight``. Those of a band's largest
+    component have the higher numbers and aren't paired with each other.
+    """
+    x = bands.join(roots, "key", "left").select("band", "at", "key", "weight", F.coalesce("root", "key").alias("root"))
+    sizes = x.groupBy("band", "root").agg(F.sum("weight").alias("w")).groupBy("band")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("all"), F.max(F.struct("w", "root")).alias("top")).filter(F.col("n") > 1)
+    sizes = sizes.select("band", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.w")) / most).cast("int").alias("rest"), F.ceil(F.col("top.w") / most).cast("int").alias("own"))
+    x, in_top, h = x.join(sizes, "band"), F.col("root") == F.col("top"), F.xxhash64("key")
+    x = x.withColumn("side", F.when(in_top, F.col("rest") + F.pmod(h, F.col("own"))).otherwise(F.pmod(h, F.col("rest"))).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(in_top, 0).otherwise(F.col("own")))))
     return x.select("band", "at", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "key", "root")
 
 
@@ -386,9 +393,10 @@ def across(bands: DataFrame, roots: DataFrame, sigs: DataFrame, texts: DataFrame
         got = block_links(x["key"], x["root"], x["side"], np.array(x["sig"], dtype=np.int64), np.array(x["bands"], dtype=np.int64), x["at"][0], x["text"], Memo(word_hash), like)
         return {"center": [a for a, _ in got], "member": [b for _, b in got]}
 
-    rows = blocks_of(bands, roots, BLOCK).join(sigs.select("key", "sig"), "key")
+    rows = blocks_of(bands.withColumn("weight", F.lit(1)), roots, BLOCK).join(sigs.select("key", "sig"), "key")
     left = materialise(by_block(rows, opened, "band long, at int, key binary").distinct(), "dup-open")
-    rows = blocks_of(left, roots, TEXT_BLOCK).join(sigs, "key").join(texts, "key")
+    left = left.join(texts.select("key", (F.lit(1) + F.floor(F.col("chars") / CHARS)).alias("weight")), "key")
+    rows = blocks_of(left, roots, BLOCK).join(sigs, "key").join(texts.select("key", "text"), "key")
     return by_block(rows, linked, "center binary, member binary").distinct()
 
 
@@ -424,7 +432,8 @@ def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataF
     pairs = materialise(likely(bands.select("center", F.col("key").alias("member")).distinct(), sigs), "dup-pairs")
     bands = bands.select("band", "at", "key")
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).join(wanted.hint("merge"), "key", "left_semi")
-    texts = materialise(texts.groupBy("key").agg(F.any_value("text").alias("text")), "dup-texts")
+    texts = texts.groupBy("key").agg(F.any_value("text").alias("text")).withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
+    texts = materialise(texts, "dup-texts")
     links = materialise(compare(pairs, texts, like), "dup-links")
     links = links.unionByName(materialise(across(bands, components(links), sigs, texts, like), "dup-links"))
     roots = components(links)

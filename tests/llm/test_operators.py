@@ -478,7 +478,7 @@ def test_near_duplicates_link_texts_whose_bands_have_other_centres(spark, monkey
             own = common + [f"o{g}_{k}_{i}" for i in range(40)]
             texts += [" ".join(own), " ".join(own[:-3] + [f"z{g}_{k}_{i}" for i in range(int(rng.integers(1, 4)))])]
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "TEXT_BLOCK", 3)
+    monkeypatch.setattr(neardup, "CHARS", 500)
     x = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
     got = {d.doc_id: d.class_id for d in neardup.near_duplicates(x).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
