@@ -3,8 +3,8 @@
 A walk reads a text character by character: at each time it emits the character
 it stands on, and a shared random bit, looked up by time and character, tells
 whether it moves on. Texts a few edits apart meet again soon after each edit, so
-their edit distance maps to the Hamming distance of what the walks emit. Long
-texts restart the walk, and its clock, every ``SEGMENT`` characters.
+their edit distance maps to the Hamming distance of what the walks emit. One walk
+and one clock run over the whole text; the random bits recur every ``PERIOD`` times.
 
 The fingerprint samples the emitted string: ``SAMPLES`` fixed places in every
 octave of the clock, each a digest of symbols emitted there and shortly after, as
@@ -23,6 +23,9 @@ empty table gives an empty result; texts are read whole; other columns aren't re
 from __future__ import annotations
 
 import hashlib
+from functools import cache
+from itertools import accumulate, islice
+from operator import getitem, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, table, utf32
 
-SEGMENT = 2048
-CLOCK = 3 * SEGMENT
-#: The virtual clock: a segment takes two steps a character in the mean.
-SPAN = 2 * SEGMENT
+PERIOD = 16_384
 SAMPLES = 32
 FIRST = 64
 LAGS = (0, 4, 9)
@@ -44,14 +44,23 @@ CHUNK = 3_000_000
 RANGES = 256
 
 
-def walk_table() -> np.ndarray:
-    """For a class and a time: when the walk moves on from a character of that class."""
-    bits = np.random.default_rng(20_260_101).integers(0, 2, size=(CLASSES, CLOCK), dtype=np.int8)
-    out = np.empty((CLASSES, CLOCK + 1), dtype=np.int32)
-    out[:, CLOCK] = CLOCK
-    for t in range(CLOCK - 1, -1, -1):
-        out[:, t] = np.where(bits[:, t] == 1, t + 1, out[:, t + 1])
-    return out.ravel()
+@cache
+def walk_start() -> list:
+    """The walk's state at time 0.
+
+    A state is a list: the next state for each class of the character it stands on,
+    then the state that starts a text, then its own time, modulo ``PERIOD``.
+    """
+    bits = np.random.default_rng(20_260_101).integers(0, 2, size=(CLASSES, PERIOD), dtype=np.int8)
+    after, t_next = np.empty((PERIOD, CLASSES), dtype=np.int32), np.zeros(CLASSES, dtype=np.int32)
+    for t in range(2 * PERIOD - 1, -1, -1):
+        now = t % PERIOD
+        after[now] = t_next = np.where(bits[:, now] == 1, (now + 1) % PERIOD, t_next)
+    states: list[list] = [[] for _ in range(PERIOD)]
+    for t, (state, row) in enumerate(zip(states, after.tolist(), strict=True)):
+        state += [states[k] for k in row]
+        state += [states[0], t]
+    return states[0]
 
 
 def places(octave: int) -> np.ndarray:
@@ -63,25 +72,17 @@ def places(octave: int) -> np.ndarray:
 
 class Embedder:
     def __init__(self):
-        self.next, self.places = walk_table(), {}
-
-    def walks(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each character when it is first emitted, and for each segment when its walk ends."""
-        classes = ((codes * np.uint32(2654435761)) >> np.uint32(26)).astype(np.int64) * (CLOCK + 1)
-        at = np.zeros(len(codes), dtype=np.int32)
-        order = np.argsort(-lengths, kind="stable")
-        begin, length = starts[order], lengths[order]
-        t = np.zeros(len(order), dtype=np.int32)
-        live = len(order)
-        for i in range(int(length[0]) if len(length) else 0):
-            while live and length[live - 1] <= i:
-                live -= 1
-            here = begin[:live] + i
-            at[here] = t[:live]
-            t[:live] = self.next[classes[here] + t[:live]]
-        end = np.empty(len(order), dtype=np.int32)
-        end[order] = t
-        return at, end
+        self.start, self.places = walk_start(), {}
+
+    def walks(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each character when it is first emitted; at a text's end, the place after it, when its walk ends."""
+        classes = ((codes * np.uint32(2654435761)) >> np.uint32(26)).astype(np.uint8)
+        classes[ends] = CLASSES
+        states = islice(accumulate(classes.tobytes(), getitem, initial=self.start), len(classes))
+        at = np.fromiter(map(itemgetter(CLASSES + 1), states), dtype=np.int64, count=len(classes))
+        at[1:] = np.cumsum(np.diff(at) % PERIOD)
+        first = np.concatenate([[0], ends[:-1] + 1])
+        return at - np.repeat(at[first], ends - first + 1)
 
     def fingerprints(self, texts: list[str]) -> list[str]:
         out: list[str] = []
@@ -96,19 +97,13 @@ class Embedder:
     def _some(self, texts: list[str]) -> list[str]:
         if not texts:
             return []
-        codes = utf32("".join(texts))
+        codes = utf32("\0".join([*texts, ""]))
         n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        pieces = np.maximum(1, -(-n // SEGMENT))
-        first = np.cumsum(pieces) - pieces  # each text's first segment
-        of = np.repeat(np.arange(len(texts)), pieces)
-        k = np.arange(len(of)) - first[of]
-        starts = (np.cumsum(n) - n)[of] + k * SEGMENT
-        lengths = np.minimum(SEGMENT, n[of] - k * SEGMENT)
-        at, end = self.walks(codes, starts, lengths)
-        wide = np.int64(CLOCK + 1)
-        segment = np.repeat(np.arange(len(of), dtype=np.int64), lengths)
-        clock = segment * wide + at  # ascending
-        reach = (pieces - 1) * SPAN + np.minimum(end[first + pieces - 1], SPAN)
+        ends = np.cumsum(n + 1) - 1
+        at = self.walks(codes, ends)
+        reach = at[ends]
+        wide = reach.max() + 1
+        clock = np.repeat(np.arange(len(texts), dtype=np.int64), n + 1) * wide + at  # ascending
         octaves = 1 + np.ceil(np.log2(np.maximum(reach, FIRST) / FIRST)).astype(np.int64)
         hexed: list[list[str]] = [[] for _ in texts]
         for o in range(int(octaves.max())):
@@ -116,15 +111,13 @@ class Embedder:
             if o not in self.places:
                 self.places[o] = places(o)
             v = self.places[o]
-            seg, tau = v // SPAN, v % SPAN
-            inside = seg[None, :] < pieces[have][:, None]
-            s = np.where(inside, first[have][:, None] + seg[None, :], first[have][:, None])
-            real = inside & (tau[None, :] < end[s])
-            h = np.zeros(s.shape, dtype=np.uint64)
+            end = reach[have][:, None]
+            real = v[None, :] < end
+            h = np.zeros(real.shape, dtype=np.uint64)
             for lag in LAGS:
-                when = np.minimum(tau[None, :] + lag, np.maximum(end[s] - 1, 0))
-                i = np.searchsorted(clock, (s * wide + when).ravel(), side="right").reshape(s.shape) - 1
-                c = codes[np.clip(i, 0, max(0, len(codes) - 1))] if len(codes) else np.zeros(s.shape, np.uint32)
+                when = np.minimum(v[None, :] + lag, np.maximum(end - 1, 0))
+                i = np.searchsorted(clock, (have[:, None] * wide + when).ravel(), side="right").reshape(real.shape) - 1
+                c = codes[i]
                 h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             digest = np.where(real, 1 + (h % np.uint64(255)), 0).astype(np.uint8)
