@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation, then a score of the restored text.
 
-Restoring: a token with look-alike digits or signs, letters held apart by spaces
-or marks, or letters repeated, is a lattice: each sign may stand for some letters,
+Restoring: a token with look-alike digits or signs, letters held apart by white
+space or marks, or a letter twice in a row, is a lattice (numbers stay numbers): each sign may stand for some letters,
 a mark or a repeat may be dropped. Viterbi finds the likeliest letters under a
 character trigram model whose counts cover all documents, times channel costs.
 Scoring: words and parts of words get the lower confidence bound of their log-odds
@@ -37,10 +37,13 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 # Marks that may hold letters apart.
 MARKS = " .-_*~'`,·\t"
 SIGN_COST, WILD_COST, DROP_COST, REPEAT_COST, KEEP_COST = -1.5, -2.5, -0.7, -1.0, -4.0
-ODD = re.compile(r"[^\W\d_](?=.*[0-9@$!|+(¡€£*#.\-_~'`·])|[0-9@$!|+(¡€£*#](?=.*[^\W\d_])|([^\W\d_])\1\1", re.S)
-PLAIN = re.compile(r"[^\W\d_]+[.,;:?\"')]*\Z")
-THRICE = re.compile(r"(.)\1\1")
-APART = re.compile(r"(?<!\S)[^\s](?:[ .\-_*][^\s]){2,}(?!\S)")
+#: Where the lattice has a choice.
+ODD = re.compile(rf"[{re.escape(''.join(LOOKS) + MARKS)}]|([^\W\d_])\1")
+READS = re.compile(rf"[^\W\d_]|[{re.escape(''.join(LOOKS))}]")
+NUMBER = re.compile(r"[+\-$€£#(]*\d[\d\s.,:;/'%()_+\-]*\Z")
+#: Signs, each by itself between white space or marks; brackets and stops may come before and after them.
+APART = re.compile(r"(?<![^SB])[^S](?:[S]++[^S](?![^SB]))++".replace("B", r"!?:;\"()\[\]{}").replace("S", re.escape(MARKS) + r"\s"))
+SPACE = re.compile(r"\s+")
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZE = 64
 
@@ -139,16 +142,18 @@ def plain_words(token: str) -> list[str]:
 
 def restored_words(token: str, model: CharModel) -> list[str]:
     """Words of a lower-case token as restored, if anything about it is odd."""
-    if PLAIN.match(token) and not THRICE.search(token) or not ODD.search(token):
+    core = token.strip(".,;:?\"'()[]{}")
+    if not ODD.search(core) or not READS.search(core) or NUMBER.match(core):
         return []
-    return LETTERS.findall(model.restore(token.strip(".,;:?\"'()[]{}")))
+    return LETTERS.findall(model.restore(core))
 
 
 def tokens(text: str) -> set[str]:
     """Distinct lower-case tokens, with runs of letters held apart as tokens of their own."""
     low = text.lower()
     found = set(low.split())
-    found.update(m[0] for m in APART.finditer(low))
+    # an asterisk may be a letter as well as a mark
+    found.update(SPACE.sub(" ", m[0]) for m in APART.finditer(low) if sum(c == "*" or c not in MARKS and not c.isspace() for c in m[0]) >= 3)
     return found
 
 

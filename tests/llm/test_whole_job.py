@@ -2,7 +2,7 @@
 
 import random
 
-from lamina.llm import fingerprints
+from lamina.llm import fingerprints, toxicity
 
 
 def test_likeness_survives_an_insertion_at_the_front_of_a_long_text():
@@ -14,3 +14,16 @@ def test_likeness_survives_an_insertion_at_the_front_of_a_long_text():
             a, b = e.fingerprints([text, letters(k) + text])
             got.append(fingerprints.likeness(a, b))
     assert sum(got[:12]) / 12 > 0.9 and sum(got[12:24]) / 12 > 0.6 and sum(got[24:]) / 12 > 0.4
+
+
+def test_every_disguise_of_the_lattice_is_restored(spark):
+    r = random.Random(2)
+    words = "the that with from have this they will would there their what about which when make like time just know take people into year your good some could them other than then look only come over think also back after".split()
+    line = lambda: " ".join(r.choice(words) for _ in range(40))
+    rows = [(i, line() + (" idiot " if i % 5 == 1 else " ") + line()) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    for bad in ("iiddiioott", "i,d,i,o,t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i  d  i  o  t", "(i d i o t!)", "i , d , i , o , t"):
+        assert model.score(f"you are an {bad}") >= 0.5, bad
+    for good in ("looking for a good book", "1 2 3 4 5", "10,100 and 1001", "a b c d e", "x, y, z, t"):
+        assert model.score(good) < 0.5, good
