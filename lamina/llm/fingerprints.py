@@ -11,8 +11,8 @@ octave of the clock, each a digest of symbols emitted there and shortly after, a
 two hex digits (00: after the end). So texts of any length compare by place, and
 the fingerprint grows with the logarithm of the length. Likeness is the share of
 equal samples, octaves weighed by their length. For near-duplicate search,
-samples in groups are bands; each band's rows are compared with its first row,
-and candidates are confirmed by edit distance.
+samples in groups are bands; all pairs of a band are candidates, confirmed by edit
+distance. The query itself runs no banding: it gives fingerprints and likenesses.
 
 Edge cases: a null text counts as empty, and an empty text samples nothing but
 the end; equal texts have equal fingerprints; repeated rows follow each other in
@@ -42,6 +42,8 @@ CLASSES = 64
 CHUNK = 3_000_000
 #: Ids lie in about so many ranges.
 RANGES = 256
+#: Texts of a band in a block.
+BLOCK = 1024
 
 
 @cache
@@ -223,11 +225,13 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(dealt, make, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, *, like: float = 0.8, text: str = "text", band: int = 4) -> DataFrame:
-    """Texts confirmed near to the first text of a band they share: ``center, member`` (digests) and ``likeness``.
+def near_pairs(docs: DataFrame, *, like: float = 0.8, text: str = "text", band: int = 4, block: int = BLOCK) -> DataFrame:
+    """Every pair of texts that share a band and are near: ``center, member`` (digests, the smaller first) and ``likeness``.
 
-    Bands are ``band`` samples of one octave; a candidate is confirmed if its edit
-    distance is at most (1 - like) times the longer text.
+    Bands are ``band`` samples of one octave; a pair is near if its edit distance
+    is at most (1 - like) times the longer text. A band's texts go to blocks of
+    about ``block`` rows, and each two blocks meet by themselves, so no task grows
+    with a band; the work grows with the square of a band's texts.
     """
     x = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
     x = x.groupBy("key").agg(F.any_value("text").alias("text"))
@@ -235,9 +239,14 @@ def near_pairs(docs: DataFrame, *, like: float = 0.8, text: str = "text", band:
     width = 2 * band
     bands = x.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("fp") / width - 1).cast("int")), lambda i: F.substring(F.col("fp"), (i * width + 1).cast("int"), F.lit(width)))).alias("i", "v"))
     bands = bands.filter(F.col("v") != "0" * width)
-    center = bands.groupBy("i", "v").agg(F.min("key").alias("center"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
-    pairs = bands.join(center, ["i", "v"]).filter(F.col("key") != F.col("center")).groupBy("center", F.col("key").alias("member")).agg(F.count(F.lit(1)).alias("shared"))
-    a, b = x.select(F.col("key").alias("center"), F.col("text").alias("a"), F.col("fp").alias("fa")), x.select(F.col("key").alias("member"), F.col("text").alias("b"), F.col("fp").alias("fb"))
+    sizes = bands.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("i", "v", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = bands.join(sizes, ["i", "v"]).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("i", "v", "key", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    c, m = (rows.withColumnsRenamed({"key": k, "side": f"{k}_side"}) for k in ("center", "member"))
+    apart = (F.col("low") == F.col("high")) | (F.col("center_side") != F.col("member_side"))
+    pairs = c.join(m, ["i", "v", "low", "high"]).filter((F.col("center") < F.col("member")) & apart).select("center", "member").distinct()
+    a, b = x.select(F.col("key").alias("center"), F.col("text").alias("a")), x.select(F.col("key").alias("member"), F.col("text").alias("b"))
     y = pairs.join(b, "member").join(a, "center")
     most = F.floor((1 - like) * F.greatest(F.length("a"), F.length("b"))).cast("int")
     distance = F.levenshtein("a", "b")

@@ -1,5 +1,6 @@
 """Cases that an operator once did in part only."""
 
+import hashlib
 import random
 
 from lamina.llm import fingerprints, toxicity
@@ -27,3 +28,19 @@ def test_every_disguise_of_the_lattice_is_restored(spark):
         assert model.score(f"you are an {bad}") >= 0.5, bad
     for good in ("looking for a good book", "1 2 3 4 5", "10,100 and 1001", "a b c d e", "x, y, z, t"):
         assert model.score(good) < 0.5, good
+
+
+def test_near_pairs_of_a_family_whose_centre_is_far(spark):
+    """Twos of near texts whose shared bands all lie in a passage that every text has."""
+    r = random.Random(12)
+    letters = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage, texts = letters(300), []
+    for _ in range(6):
+        own = letters(500)
+        texts += [passage + own, passage + "".join("q" if i % 6 == 0 else c for i, c in enumerate(own))]
+    key = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = {tuple(sorted((key(a), key(b)))) for a, b in zip(texts[::2], texts[1::2], strict=True)}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for block in (1024, 3):
+        got = [(x.center, x.member) for x in fingerprints.near_pairs(docs, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
