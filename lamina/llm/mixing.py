@@ -3,11 +3,10 @@
 Targets: every source gets a weight; together they share all words. No target
 passes ``most`` times its source's size; what is over goes to the rest by weight
 (a common level, found in closed form from the sources sorted by cap over
-weight). Equal-token blocks are then allotted to sources, and in each source to
-its shards, by the highest quotients weight / (2 seats + 1). In a shard,
-documents lie in a seeded order, cut into blocks; the quota takes all blocks as
-often as it can and then the first ones once more, so the seed selects blocks and
-at most one document of a shard is cut. A document takes its words in the blocks.
+weight). Words are then allotted to sources, and in each source to its shards, by
+the highest quotients weight / (2 seats + 1), at every input size. In a shard,
+documents lie in a seeded order; the quota takes all words as often as it can and
+then the first ones once more, so at most one document of a shard is cut.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, last in order; repeated rows are mixed row by row; an empty
@@ -80,21 +79,20 @@ def mix(docs: DataFrame, *, seed: int = 7, cycle: tuple = CYCLE, most: int = MOS
     x = materialise(x, "mix")
     sources = targets(x.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, most)
     every = Window.partitionBy(F.lit(1))
-    total = F.sum("source_size").over(every)
-    sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(64), F.floor(total / F.lit(1 << 20)))).cast("long")).withColumn("blocks", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
-    sources = sainte_lague(sources, ["source"], [], "target", "blocks", "seats")
+    sources = sources.withColumn("words", F.round(F.sum("target").over(every)).cast("long"))
+    sources = sainte_lague(sources, ["source"], [], "target", "words", "seats")
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(shard_tokens)))).cast("long"))
-    s = materialise(sources.select(F.col("source").alias("of"), "source_size", "target", "block", "seats", "shards"), "mix-sources")
+    s = materialise(sources.select(F.col("source").alias("of"), "source_size", "target", "seats", "shards"), "mix-sources")
     # as many rows as there are sources: Spark broadcasts it while it is under its own threshold
     x = x.join(s, x["source"].eqNullSafe(s["of"])).drop("of").withColumn("shard", F.pmod(F.col("at"), F.col("shards")))
-    parts = x.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("weight"), F.first("block").alias("block"), F.first("seats").alias("seats"))
+    parts = x.groupBy("source", "shard").agg(F.sum("size").cast("double").alias("weight"), F.first("seats").alias("seats"))
     quota = sainte_lague(parts, ["source", "shard"], ["source"], "weight", "seats", "quota")
-    n = F.ceil(F.col("weight") / F.col("block")).cast("long")
+    n = F.col("weight").cast("long")
     quota = quota.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), n.alias("n"), F.least(F.col("quota"), most * n).alias("q"))
     y = x.join(quota, x["source"].eqNullSafe(quota["q_source"]) & (x["shard"] == quota["q_shard"])).drop("q_source", "q_shard")
     lie = Window.partitionBy("source", "shard").orderBy("at", "k_0", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.greatest(F.col("n"), F.lit(1))
-    y = y.withColumn("end", F.sum("size").over(lie)).withColumn("times", F.call_function("div", F.col("q"), n)).withColumn("more", F.pmod(F.col("q"), n) * F.col("block"))
+    y = y.withColumn("end", F.sum("size").over(lie)).withColumn("times", F.call_function("div", F.col("q"), n)).withColumn("more", F.pmod(F.col("q"), n))
 
     def before(offset: Column) -> Column:
         """Words taken before an offset in the shard: all of them ``times`` over, and those of the first ``more`` once more."""

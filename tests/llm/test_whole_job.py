@@ -3,7 +3,9 @@
 import hashlib
 import random
 
-from lamina.llm import fingerprints, toxicity
+from pyspark.sql import functions as F
+
+from lamina.llm import fingerprints, mixing, toxicity
 
 
 def test_likeness_survives_an_insertion_at_the_front_of_a_long_text():
@@ -44,3 +46,12 @@ def test_near_pairs_of_a_family_whose_centre_is_far(spark):
     for block in (1024, 3):
         got = [(x.center, x.member) for x in fingerprints.near_pairs(docs, block=block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tiny_sources_meet_their_targets_beside_a_large_one(spark):
+    """More than 64 M words in all; tiny sources lie at three times their size."""
+    sizes = {"a": 30, "b": 10, "c": 100, "d": 1}
+    small = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    large = spark.range(100, 780, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.lit(100_000)).alias("text"), F.lit("large").alias("source"))
+    rows = mixing.mix(small.unionByName(large)).filter("source_size <= 100").collect()
+    assert len(rows) == 4 and all(r.target == 3 * r.source_size and abs(r.taken - r.target) <= 1 for r in rows)
