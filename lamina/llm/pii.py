@@ -3,7 +3,8 @@
 Base kinds (email, ip, card, phone) are plain patterns with checks. The method
 adds spans that the patterns miss: around digits and at-signs a text has islands,
 cut into atoms (digit groups, words, signs); every run of at most ``BOUND`` atoms
-is a candidate segment of every type, scored by features of the whole span (digit
+and every run that reads as a spelt-out address or an account number, however many
+atoms it has, is a candidate segment of every type, scored by features of the whole span (digit
 count, checksum, grouping, words before it, what it touches). The field is trained
 by likelihood on generated lines, and the best segmentation, found by dynamic
 programming over segments of bounded length, sets boundaries and types together.
@@ -34,10 +35,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 AT, DOT = r"(?:[\[({<]\s?at\s?[\])}>]|\bat\b|@)", r"(?:[\[({<]\s?dot\s?[\])}>]|\bdot\b|\.)"
 SPOKEN = re.compile(rf"\b[A-Za-z0-9._%+-]{{1,64}} ?{AT} ?[A-Za-z0-9-]{{1,63}}(?: ?{DOT} ?[A-Za-z0-9-]{{1,63}}){{1,4}}", re.I)
+#: After an address that isn't yet whole.
+GOES_ON = re.compile(r" ?(?:[\[({<]\s?dot\s?[\])}>]|\bdot\b) ?[A-Za-z0-9]|\.[A-Za-z0-9]", re.I)
 NUMBERS = re.compile(r"[+(]?[0-9](?:[0-9]|[ ().\-/](?=[ ().\-/]{0,2}[0-9])){6,}")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,9}\b")
 # Without an at-sign or one of these no address is spelt out.
-SIGNS = (" dot ", " DOT ", "dot]", "dot)", "DOT]", "DOT)", "at]", "at)", "AT]", "AT)", "at }", "at}", "at>", "dot}", "dot>")
+SIGNS = re.compile(r"@|\b(?:dot|at)\s?[\])}>]|\bdot\b", re.I)
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^\w\s]|\w", re.S)
 
 
@@ -105,12 +108,23 @@ def features(text: str, a: int, b: int) -> list[float]:
     before, left, right = text[max(0, a - 24) : a].lower(), text[a - 1 : a], text[b : b + 1]
     f = [1.0, n == 9, 10 <= n <= 15, 13 <= n <= 19, 7 <= n <= 8, n < 7]
     f += [bool(p.fullmatch(s)) for p in SHAPES]
-    f += [13 <= n <= 19 and luhn(d), s[:1] == "+", SPOKEN.fullmatch(s) is not None, iban_ok(s), all(x.isdigit() and int(x) < 256 for x in s.split(".")) if s.count(".") == 3 and n <= 12 else False, any(c.isalpha() for c in s)]
+    f += [13 <= n <= 19 and luhn(d), s[:1] == "+", SPOKEN.fullmatch(s) is not None and not GOES_ON.match(text, b), iban_ok(s), all(x.isdigit() and int(x) < 256 for x in s.split(".")) if s.count(".") == 3 and n <= 12 else False, any(c.isalpha() for c in s)]
     f += [any(re.search(rf"\b{w}", before) for w in cue) for cue in CUES]
-    f += [left.isalnum() or left in "+@", right.isalnum() or right == "@", not s[:1].isalnum() and s[:1] not in "+(", not s[-1:].isalnum()]
+    f += [left.isalnum() or left in ("+", "@"), right.isalnum() or right == "@", not s[:1].isalnum() and s[:1] not in "+(", not s[-1:].isalnum()]
     return [float(x) for x in f]
 
 
+def spans_of(pattern: re.Pattern, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Matches in a stretch of text, and the prefixes of each that match by themselves."""
+    out = []
+    for m in pattern.finditer(text, start, end):
+        at = m.end()
+        while at > m.start() and (shorter := pattern.match(text, m.start(), at)):
+            out.append(shorter.span())
+            at = shorter.end() - 1
+    return out
+
+
 class Island:
     """Atoms of a stretch of text and its candidate segments with their features."""
 
@@ -118,10 +132,16 @@ class Island:
         self.cuts = [start + m.start() for m in ATOM.finditer(text[start:end])] + [end]
         n = len(self.cuts) - 1
         self.n, self.segments, rows = n, [], []
+        # spans longer than BOUND that the candidate patterns match, by their first atom
+        where, long = {c: k for k, c in enumerate(self.cuts)}, {}
+        for p in (SPOKEN, IBAN):
+            for a, b in spans_of(p, text, start, end):
+                if a in where and b in where and where[b] - where[a] > BOUND:
+                    long.setdefault(where[a], set()).add(where[b])
         for i in range(n):
             if text[self.cuts[i]].isspace():
                 continue
-            for j in range(i + 1, min(n, i + BOUND) + 1):
+            for j in [*range(i + 1, min(n, i + BOUND) + 1), *sorted(long.get(i, ()))]:
                 a, b = self.cuts[i], self.cuts[j]
                 if text[b - 1].isspace():
                     continue
@@ -181,7 +201,7 @@ class Island:
 def islands(text: str) -> list[tuple[int, int]]:
     """Stretches that may hold personal data, merged where they overlap."""
     found = []
-    if "@" in text or any(s in text for s in SIGNS):
+    if SIGNS.search(text):
         found += [m.span() for m in SPOKEN.finditer(text) if re.search(r"\bdot\b|@|[\[({<]\s?at", m[0], re.I)]
     if any(c in text for c in "0123456789"):
         found += [m.span() for m in NUMBERS.finditer(text)]

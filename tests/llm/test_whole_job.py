@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lamina.llm import fingerprints, mixing, toxicity
+from lamina.llm import fingerprints, mixing, pii, toxicity
 
 
 def test_likeness_survives_an_insertion_at_the_front_of_a_long_text():
@@ -55,3 +55,13 @@ def test_tiny_sources_meet_their_targets_beside_a_large_one(spark):
     large = spark.range(100, 780, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.lit(100_000)).alias("text"), F.lit("large").alias("source"))
     rows = mixing.mix(small.unionByName(large)).filter("source_size <= 100").collect()
     assert len(rows) == 4 and all(r.target == 3 * r.source_size and abs(r.taken - r.target) <= 1 for r in rows)
+
+
+def test_personal_data_of_many_atoms_is_found_whole():
+    w = pii.train()
+    addresses = ("john.smith [at] example [dot] com", "john99 [at] mail7 [dot] com", "jo [at] mail [dot] example [dot] com", "John [At] Example [Dot] Com", "john.smith {at} example {dot} co {dot} uk")
+    accounts = ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MT94 1234 5678 9123 4567 8912 3456 789")
+    for kind, values in (("email", addresses), ("iban", accounts)):
+        for value in values:
+            for text in (f"write to {value} today", f"{value}."):
+                assert [(text[a:b], k) for a, b, k in pii.scan(text, w)] == [(value, kind)], text
