@@ -5,7 +5,8 @@ long hex runs). The method adds what it can confirm by decoding: runs of base64
 or hex are decoded and reported only if the bytes parse as key material — a DER
 structure whose nested lengths add up, an OpenSSH key blob — or, for three dotted
 segments, if the first decodes to a signed-token header. PEM private-key blocks
-are confirmed the same way.
+are confirmed the same way. Base64 wrapped over lines, by line ends or by the
+escapes of JSON strings, is joined before it is decoded.
 
 Edge cases: null and empty texts have no spans; texts are scanned whole; repeated
 rows give repeated results; an empty table gives an empty result; other columns
@@ -35,8 +36,15 @@ WORDS = ("passw", "secret", "token", "api")
 LONG = 24
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{2}){24,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])(?:[0-9A-F]{2}){24,}(?![0-9A-Fa-f])")
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
+#: What isn't base64 in wrapped base64: white space, its escapes in JSON strings, backslashes before a slash.
+BREAK = re.compile(r"\s|\\+[nrt]|\\+(?=/)")
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=]|{BREAK.pattern}){{16,}})-----END \1-----")
+LINE = rf"(?:[A-Za-z0-9+/_-]|\\+(?=/))++"
+#: Where base64 begins as a DER sequence or an OpenSSH blob does; its first line, and those that follow.
+BEGINS = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))(?=M[A-P]|AAAA|b3Bl)")
+FIRST = re.compile(rf"({LINE})")
+NEXT = re.compile(rf"[ \t]*+(?:\r?\n|(?:\\+r)?\\+n)[ \t]*+({LINE})")
 
 
 def decoded(run: str) -> bytes:
@@ -99,6 +107,36 @@ def structure(data: bytes) -> str | None:
     return None if len(data) < 16 else "der" if is_key_der(data) else "openssh" if is_openssh(data) else None
 
 
+def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
+    """Key material in base64 that runs over lines: the lines that make up the length it tells."""
+    spans = []
+    for m in BEGINS.finditer(text):
+        at, want, total, lines, blob = m.start(), 0, 0, [], text.startswith("AAAA", m.start())
+        line = FIRST.match(text, at)
+        while line:
+            lines.append(BREAK.sub("", line[1]))
+            total += len(lines[-1])
+            if len(lines) == 1 and lines[0][0] == "M":
+                head = decoded(BREAK.sub("", text[at : at + 40])[:8])
+                if head[:1] != b"\x30":
+                    break
+                k = head[1] & 0x7F if head[1] >= 0x80 else 0
+                n = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+                want = -(-n * 4 // 3)
+            if want and (total > want or want > len(text) - at):
+                break
+            after, last = NEXT.match(text, line.end()), len(lines[-1]) != len(lines[0])
+            if total == want or not want and (last or not after or blob):
+                if kind := structure(decoded("".join(lines))):
+                    end = line.end()
+                    while end < min(len(text), line.end() + 2) and text[end] == "=":
+                        end += 1
+                    spans.append((at, end, kind))
+                    break
+            line = None if last and not want else after
+    return spans
+
+
 def is_token(header: str, body: str) -> bool:
     """A JSON header that names an algorithm, before a JSON body."""
     try:
@@ -122,11 +160,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     spans: list[tuple[int, int, str]] = []
     if "-----BEGIN" in text:
-        spans += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if structure(decoded(re.sub(r"\s", "", m[2])))]
+        spans += [(m.start(), m.end(), "pem") for m in PEM.finditer(text) if structure(decoded(BREAK.sub("", m[2])))]
+    spans += wrapped_spans(text)
     if not any(len(w) >= LONG for w in text.split()):
         return spans
-    if "eyJ" in text:
-        spans += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[1], m[2])]
+    spans += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[1], m[2])]
     for m in RUN.finditer(text):
         if kind := structure(decoded(m[0])):
             spans.append((m.start(), m.end(), kind))

@@ -1,11 +1,13 @@
 """Cases that an operator once did in part only."""
 
 import hashlib
+import json
 import random
+from base64 import b64encode, urlsafe_b64encode
 
 from pyspark.sql import functions as F
 
-from lamina.llm import fingerprints, mixing, pii, toxicity
+from lamina.llm import fingerprints, mixing, pii, secretscan, toxicity
 
 
 def test_likeness_survives_an_insertion_at_the_front_of_a_long_text():
@@ -65,3 +67,26 @@ def test_personal_data_of_many_atoms_is_found_whole():
         for value in values:
             for text in (f"write to {value} today", f"{value}."):
                 assert [(text[a:b], k) for a, b, k in pii.scan(text, w)] == [(value, kind)], text
+
+
+def test_secrets_in_sentences_and_over_lines():
+    url = lambda x: urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for gap in ("", " ", "\n "):
+        token = ".".join((url("{" + gap + '"alg":"HS256"}'), url("{" + gap + '"sub":"me"}'), "c2lnbmF0dXJlLW9mLWl0"))
+        for end in (".", "...", ". Next", ""):
+            text = f"It sent Bearer {token}{end}"
+            assert [text[a:b] for a, b, k in secretscan.scan(text) if k == "jwt"] == [token], text
+        assert not [1 for *_, k in secretscan.scan(f"{token}.more") if k == "jwt"]
+    for n in (200, 201, 202):
+        der = b"\x30\x81" + bytes([n + 6]) + b"\x02\x01\x00\x04\x81" + bytes([n]) + random.Random(n).randbytes(n)
+        assert secretscan.is_key_der(der)
+        key = b64encode(der).decode()
+        for width in (20, 64, 76):
+            lines = [key[i : i + width] for i in range(0, len(key), width)]
+            for sep in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+                body = sep.join(lines)
+                for text in (f"key:{sep}{body}{sep}Then it ends.", f"x {body}", f"{body}{sep}more"):
+                    assert (text.index(body), text.index(body) + len(body), "der") in secretscan.scan(text), text
+                    assert lines[1] not in secretscan.redact(text)
+        pem = json.dumps({"k": f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----\n"}).replace("/", "\\/")
+        assert "pem" in [k for *_, k in secretscan.scan(pem)]
