@@ -32,8 +32,9 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|
 NAMED = re.compile(r"(class|id|role|aria-label|itemprop|data-k)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe svg".split())
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW}
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mspace mstyle mpadded mphantom menclose merror mtable mtr mtd semantics annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul textarea button".split())
 ENDS_P = BLOCK - {"option", "select", "textarea", "button", "body", "html", "head", "title"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -49,7 +50,7 @@ class Tree:
         self.pieces: list[tuple[int, str, bool]] = []  # node, text, whether inside a link; node -1: a break
         self.starts = [0]
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements: tag, node
-        links, at, lowered = 0, 0, None
+        links, at, unended = 0, 0, set()
 
         def pop_to(k: int) -> None:
             nonlocal links
@@ -85,11 +86,14 @@ class Tree:
                     self.pieces.append((-1, "", False))
                 continue
             if name in RAW and not attrs.rstrip().endswith("/"):
-                if lowered is None:
-                    lowered = source.lower()
-                end = lowered.find(f"</{name}", at)
-                close = source.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(source)
+                # without an end only scripts and styles take the rest of the page
+                end = None if name in unended else ENDS[name].search(source, at)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(source)
+                else:
+                    unended.add(name)
                 self.pieces.append((-1, "", False))
                 continue
             if name in ENDS_P:

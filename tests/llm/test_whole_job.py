@@ -7,7 +7,7 @@ from base64 import b64encode, urlsafe_b64encode
 
 from pyspark.sql import functions as F
 
-from lamina.llm import fingerprints, mixing, pii, secretscan, toxicity
+from lamina.llm import fingerprints, htmltext, mixing, pii, secretscan, toxicity
 
 
 def test_likeness_survives_an_insertion_at_the_front_of_a_long_text():
@@ -90,3 +90,19 @@ def test_secrets_in_sentences_and_over_lines():
                     assert lines[1] not in secretscan.redact(text)
         pem = json.dumps({"k": f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----\n"}).replace("/", "\\/")
         assert "pem" in [k for *_, k in secretscan.scan(pem)]
+
+
+def test_pages_keep_all_but_scripts_and_drawings():
+    model = htmltext.Extractor(pages=200)
+    para = "<p>{} long line of the article that goes on with words and more words until its end.</p>"
+    page = lambda x: "<html><body><article><h1>A title</h1>" + para.format("First") + x + para.format("Last") + "</article></body></html>"
+    clean = model.extract([page("")])[0]
+    assert "First" in clean and "Last" in clean
+    letters = "İ" * 200
+    got = model.extract([page(f"<p>{letters}</p><SCRIPT>var a = '<p>no</p>';</Script>")])[0]
+    assert got == clean.replace(" Last", f" {letters} Last")
+    for raw in ("<svg><text>x</text></svg>", "<style>p {}</style>", "<svg>", "<template>", "<iframe>"):
+        assert model.extract([page(raw)])[0] == clean, raw
+    for kept in ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "<noscript><p>Read this text as well, with all of its words.</p></noscript>", "<object><p>Read this text as well, with all of its words.</p></object>", "<canvas>Read this text as well, with all of its words.</canvas>"):
+        text = "so x=2 holds" if "math" in kept else "Read this text as well, with all of its words."
+        assert model.extract([page(kept)])[0] == clean.replace(" Last", f" {text} Last"), kept
