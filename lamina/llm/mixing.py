@@ -6,7 +6,9 @@ passes ``most`` times its source's size; what is over goes to the rest by weight
 weight). Words are then allotted to sources, and in each source to its shards, by
 the highest quotients weight / (2 seats + 1), at every input size. In a shard,
 documents lie in a seeded order; the quota takes all words as often as it can and
-then the first ones once more, so at most one document of a shard is cut.
+then the first ones once more, so at most one document of a shard is cut. The
+query gives words taken to the word; elsewhere that document is taken whole or not,
+whichever is nearer, and the difference goes on to the source's next shard.
 
 Edge cases: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, last in order; repeated rows are mixed row by row; an empty
@@ -27,6 +29,8 @@ CYCLE = (5.0, 2.0, 1.0)
 MOST = 3
 #: Tokens in a shard; a shard is what one seeded draw runs over.
 SHARD_TOKENS = 131_072
+#: Shards of a source that carry a difference on, one to the next.
+RUN = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -72,8 +76,26 @@ def sainte_lague(parties: DataFrame, key: list[str], group: list[str], weight: s
     return won.select(*parties.columns, out)
 
 
-def mix(docs: DataFrame, *, seed: int = 7, cycle: tuple = CYCLE, most: int = MOST, shard_tokens: int = SHARD_TOKENS, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """One row a document: the kept columns, ``size, source_size, target, taken``."""
+def settle(y: DataFrame) -> DataFrame:
+    """Takes the cut document of each shard once more whole or not, and carries the difference to the next shard."""
+    over = F.pmod(F.col("taken"), F.greatest(F.col("size"), F.lit(1)))
+    cut = y.filter(over > 0).select("source", (F.col("shard") / RUN).cast("long").alias("run"), F.struct("shard", over.alias("over"), "size").alias("cut"))
+
+    def step(state: Column, x: Column) -> Column:
+        due = state["carry"] + x["over"]
+        won = due * 2 >= x["size"]
+        return F.struct((due - F.when(won, x["size"]).otherwise(F.lit(0).cast("long"))).alias("carry"), F.when(won, F.array_append(state["won"], x["shard"])).otherwise(state["won"]).alias("won"))
+
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("won"))
+    won = cut.groupBy("source", "run").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    won = won.select(F.col("source").alias("w_source"), F.explode(F.aggregate("cuts", start, step, lambda s: s["won"])).alias("w_shard"))
+    y = y.join(won, y["source"].eqNullSafe(won["w_source"]) & (y["shard"] == won["w_shard"]), "left")
+    more = F.when((over > 0) & F.col("w_shard").isNotNull(), F.col("size")).otherwise(F.lit(0).cast("long"))
+    return y.withColumn("taken", F.col("taken") - over + more).drop("w_source", "w_shard")
+
+
+def mix(docs: DataFrame, *, seed: int = 7, cycle: tuple = CYCLE, most: int = MOST, shard_tokens: int = SHARD_TOKENS, keep: list[str] | None = None, text: str = "text", whole: bool = True) -> DataFrame:
+    """One row a document: the kept columns, ``size, source_size, target, taken``; with ``whole``, taken is a multiple of size."""
     keep = ["doc_id"] if keep is None else keep
     x = docs.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)], F.col("source").cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(keep[0]).cast("string"), F.lit("")), F.lit(seed)).alias("at"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
     x = materialise(x, "mix")
@@ -99,17 +121,20 @@ def mix(docs: DataFrame, *, seed: int = 7, cycle: tuple = CYCLE, most: int = MOS
         return F.col("times") * offset + F.least(offset, F.col("more"))
 
     taken = F.when(F.col("size") > 0, before(F.col("end")) - before(F.col("end") - F.col("size"))).otherwise(F.lit(0)).cast("long")
-    return y.select(*[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)], "size", "source_size", "target", taken.alias("taken"))
+    y = y.withColumn("taken", taken)
+    if whole:
+        y = settle(materialise(y.select(*[f"k_{i}" for i in range(len(keep))], "source", "shard", "size", "source_size", "target", "taken"), "mix-taken"))
+    return y.select(*[F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)], "size", "source_size", "target", "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), whole=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it whole, and once more cut to the words left over.
+    """Each document, whole, as often as the mix takes it.
 
-    A document of which nothing is taken goes. Columns are those of documents.
+    A document that isn't taken goes. Columns are those of documents.
     """
     key = {"_lm_id": F.col("doc_id"), "_lm_source": F.col("source").cast("string"), "_lm_h1": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "_lm_h2": F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(1))}
     mixed = mix(docs.select("text", "source", *[c.alias(k) for k, c in key.items()]), keep=list(key))
@@ -120,9 +145,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     x = x.join(named, reduce(lambda a, b: a & b, [x[k].eqNullSafe(named[f"{k}r"]) for k in key]))
     x = x.withColumn("_lm_at", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))).withColumn("_lm_got", F.element_at("_lm_drawn", F.col("_lm_at")))
     size, taken = F.col("_lm_got.size"), F.col("_lm_got.taken")
-    x = x.withColumn("_lm_whole", F.call_function("div", taken, F.greatest(size, F.lit(1))).cast("int")).withColumn("_lm_rest", (taken - F.col("_lm_whole") * size).cast("int"))
-    x = x.withColumn("_lm_copy", F.explode(F.sequence(F.lit(0), F.col("_lm_whole")))).filter((F.col("_lm_copy") > 0) | (F.col("_lm_rest") > 0))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("_lm_rest")), "")
-    x = x.withColumn("text", F.when(F.col("_lm_copy") == 0, cut).otherwise(F.col("text")))
+    x = x.withColumn("_lm_times", F.call_function("div", taken, F.greatest(size, F.lit(1))).cast("int"))
+    x = x.withColumn("_lm_copy", F.explode(F.array_repeat(F.lit(1), F.col("_lm_times"))))
     return x.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)

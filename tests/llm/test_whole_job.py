@@ -55,7 +55,7 @@ def test_tiny_sources_meet_their_targets_beside_a_large_one(spark):
     sizes = {"a": 30, "b": 10, "c": 100, "d": 1}
     small = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
     large = spark.range(100, 780, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.lit(100_000)).alias("text"), F.lit("large").alias("source"))
-    rows = mixing.mix(small.unionByName(large)).filter("source_size <= 100").collect()
+    rows = mixing.mix(small.unionByName(large), whole=False).filter("source_size <= 100").collect()
     assert len(rows) == 4 and all(r.target == 3 * r.source_size and abs(r.taken - r.target) <= 1 for r in rows)
 
 
@@ -106,3 +106,17 @@ def test_pages_keep_all_but_scripts_and_drawings():
     for kept in ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", "<noscript><p>Read this text as well, with all of its words.</p></noscript>", "<object><p>Read this text as well, with all of its words.</p></object>", "<canvas>Read this text as well, with all of its words.</canvas>"):
         text = "so x=2 holds" if "math" in kept else "Read this text as well, with all of its words."
         assert model.extract([page(kept)])[0] == clean.replace(" Last", f" {text} Last"), kept
+
+
+def test_the_pipeline_mixes_whole_documents(spark):
+    r = random.Random(5)
+    rows = [(i, f"  doc {i} " + " ".join("word" for _ in range(r.choice((5, 50, 3000)))), "abc"[i % 3], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    texts, words = {i: t for i, t, *_ in rows}, dict.fromkeys("abc", 0)
+    for x in mixing.stage(spark, docs, "").collect():
+        assert x.text == texts[x.doc_id] and x.n_chars == len(x.text)
+        words[x.source] += len(x.text.split())
+    target = {x.source: x.target for x in mixing.mix(docs, keep=["source"]).distinct().collect()}
+    assert all(abs(words[s] - target[s]) <= 1502 for s in words)
+    shards = mixing.mix(docs, keep=["source"], shard_tokens=2000).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+    assert all(abs(x.n - target[x.source]) <= 1502 for x in shards)
