@@ -109,6 +109,10 @@ class Sent:
     def __getstate__(self):
         return {"sent": self.sent, "got": None}
 
+    def drop(self) -> None:
+        """Free the executors' copies; a task that still needs it fetches it again."""
+        self.sent.unpersist()
+
     @property
     def value(self):
         if self.got is None:

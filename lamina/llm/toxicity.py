@@ -1,51 +1,75 @@
 """Toxicity by noisy-channel deobfuscation, then a score of the restored text.
 
-Restoring: a token with look-alike digits or signs, letters held apart by white
-space or marks, or a letter twice in a row, is a lattice (numbers stay numbers): each sign may stand for some letters,
-a mark or a repeat may be dropped. Viterbi finds the likeliest letters under a
-character trigram model whose counts cover all documents, times channel costs.
-Scoring: words and parts of words get the lower confidence bound of their log-odds
-between toxic and clean labelled documents; a text's features are its two highest
-word scores and how many words stand out, weighed by a logistic regression.
-
-The labelled rows that are learned from are a seeded sample of at most
-``LEAST_TOXIC`` toxic and ``MOST_CLEAN`` clean rows. Words of both the text as it
-is and as restored are scored.
+Channel: a letter may be written as a look-alike sign, digit or foreign letter, be
+repeated, be followed by an invisible sign, or be held apart from the next one by
+marks and white space of any kind. Stretches of text are lattices of these options;
+Viterbi finds the likeliest letters under a character trigram model whose counts
+cover all documents, times channel costs. Stretches without a letter (numbers) stay.
+
+Which stretches: text and scored word parts are folded alike, every option of the
+channel to one class (look-alikes to one letter, repeats to one, marks and white
+space to nothing). Wherever a folded part occurs in the folded text, the tokens it
+lies in are decoded; elsewhere no path of the lattice spells a part that counts.
+A text with signs that are marks as well as letters is folded both ways, and one
+with asterisks also with all vowels in one class; tokens with one are all decoded.
+
+Scoring: words, and beginnings and ends by what they tell besides the word that has
+them most often, get the lower confidence bound of their log-odds between toxic and clean labelled documents, if a Chernoff bound on
+their counts says that so uneven a split is rarer by chance than one in the number
+of parts. A text's features are its two highest stretches and how many stand out,
+weighed by a logistic regression that is fitted on scores which each of ``TURNS``
+parts of the sample gets from what the others taught.
+
+Learnt from: a seeded sample, by document, of about ``LEAST_TOXIC`` toxic and
+``MOST_CLEAN`` clean labelled documents (parameters of ``train``). Words are
+counted, and the sample scored, on executors; to the driver come trigram counts, the
+parts that passed the bound, and three numbers a sampled document.
 
 Edge cases: null and empty texts get the score of a text in which nothing stands
-out; with no usable labels every score is 0; repeated rows get equal scores; rows
-labelled twice count twice; texts are read whole; other columns aren't read.
+out; an empty table of documents gives an empty result; with no usable labels every
+score is 0; repeated rows get equal scores; a document labelled more than once counts
+once for each label it has; texts of any length are read whole; a document column
+named ``_lm_score`` is the one name that the stage can't take; others aren't read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, Sent, held_out, map_batches, table, utf32
+from .common import Memo, Sent, held_out, map_batches, materialise, table, utf32
 
 LEAST_TOXIC = 4000
 MOST_CLEAN = 8000
-FEATURES = 60_000
+#: Deviations of the log-odds that a score lies below its estimate.
+DEVIATIONS = 1.64
+#: Parts of the sample, each scored by what the others taught.
+TURNS = 5
 
 # Which letters a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "¡": "i", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
-# Marks that may hold letters apart.
-MARKS = " .-_*~'`,·\t"
-SIGN_COST, WILD_COST, DROP_COST, REPEAT_COST, KEEP_COST = -1.5, -2.5, -0.7, -1.0, -4.0
-#: Where the lattice has a choice.
-ODD = re.compile(rf"[{re.escape(''.join(LOOKS) + MARKS)}]|([^\W\d_])\1")
-READS = re.compile(rf"[^\W\d_]|[{re.escape(''.join(LOOKS))}]")
-NUMBER = re.compile(r"[+\-$€£#(]*\d[\d\s.,:;/'%()_+\-]*\Z")
-#: Signs, each by itself between white space or marks; brackets and stops may come before and after them.
-APART = re.compile(r"(?<![^SB])[^S](?:[S]++[^S](?![^SB]))++".replace("B", r"!?:;\"()\[\]{}").replace("S", re.escape(MARKS) + r"\s"))
-SPACE = re.compile(r"\s+")
+# Foreign letters that look like Latin ones.
+ALIKE = dict(zip("асеорхуіѕјӏԁһкмтвнαορεικντυ", "aceopxyisjldhkmtbhaopeikvtu", strict=True))
+#: Signs of LOOKS that are marks as often as letters.
+EITHER = "|*(+#!"
+SIGN_COST, WILD_COST, ALIKE_COST, DROP_COST, JOIN_COST, REPEAT_COST, KEEP_COST = -1.5, -2.5, -2.5, -0.7, -1.5, -1.0, -4.0
 LETTERS = re.compile(r"[^\W\d_]+")
+ANY_SIGN = re.compile(rf"[{re.escape(''.join(c for c in LOOKS if not c.isdigit()))}]")
+STARRED = re.compile(r"\S*\*\S*")
+#: Signs around a token.
+AROUND = re.compile(r"^[\W_]+|[\W_]+$")
+ENDS = ".,;:?\"'()[]{}"
 SIZE = 64
+#: Characters folded at once.
+CHUNK = 1_000_000
+EDGE = 63
 
 
 def symbol_table() -> np.ndarray:
@@ -62,6 +86,18 @@ def symbol(c: str) -> int:
     return o - 96 if 97 <= o <= 122 else 27 + o % 37 if c.isalpha() else 0
 
 
+@cache
+def plain_letter(c: str) -> str:
+    """The Latin letter that a lower-case letter is, has as its base, or looks like; else the letter itself."""
+    base = unicodedata.normalize("NFKD", c)[0].lower()
+    return base if "a" <= base <= "z" else ALIKE.get(c, c)
+
+
+@cache
+def invisible(c: str) -> bool:
+    return unicodedata.category(c) in ("Cf", "Mn", "Me")
+
+
 def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Character trigram counts over all documents; at most ``SIZE`` cubed rows reach the driver."""
 
@@ -89,6 +125,24 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
+def options(c: str, before: str) -> list[tuple[str | None, float]]:
+    """What a sign of a stretch may stand for, with costs; None: nothing at all."""
+    if c == " ":
+        return [(None, JOIN_COST), (" ", 0.0)]
+    if c.isalpha():
+        out: list[tuple[str | None, float]] = [(c, 0.0)]
+        if (p := plain_letter(c)) != c:
+            out.append((p, ALIKE_COST))
+        return [*out, (None, REPEAT_COST)] if before == c else out
+    if invisible(c):
+        return [(None, 0.0)]
+    looks = LOOKS.get(c, "")
+    out = [(x, SIGN_COST if len(looks) < 3 else WILD_COST) for x in looks]
+    if not c.isdigit():
+        out.append((None, DROP_COST))
+    return [*out, (" ", KEEP_COST if looks else -1.5)]
+
+
 class CharModel:
     """Interpolated trigram log-probabilities over symbols."""
 
@@ -98,28 +152,24 @@ class CharModel:
         p1 = (one + 0.5) / (one.sum() + 0.5 * SIZE)
         p2 = (two + 4 * p1) / (two.sum(axis=1, keepdims=True) + 4)
         p3 = (three + 4 * p2[None]) / (three.sum(axis=2, keepdims=True) + 4)
-        self.log = np.log(p3).astype(np.float32).ravel().tolist()
+        self.table, self.log = np.log(p3).astype(np.float32).ravel(), None
 
-    def restore(self, token: str) -> str:
-        """The likeliest letters behind a token; words stay apart by spaces."""
-        log = self.log
+    def __getstate__(self):
+        return {"table": self.table, "log": None}
+
+    def restore(self, stretch: str) -> str:
+        """The likeliest letters behind a stretch; words stay apart by spaces."""
+        if self.log is None:
+            self.log = self.table.tolist()
+        log, before = self.log, ""
         paths = {(0, 0): (0.0, None)}  # the last two symbols: score, letters so far as a linked list
-        for i, c in enumerate(token):
-            letter = c.isalpha()
-            options: list[tuple[str | None, float]] = []
-            if letter:
-                options.append((c, 0.0))
-                if i and token[i - 1] == c:
-                    options.append((None, REPEAT_COST))
-            else:
-                looks = LOOKS.get(c, "")
-                options += [(x, SIGN_COST if len(looks) < 3 else WILD_COST) for x in looks]
-                if c in MARKS:
-                    options.append((None, DROP_COST))
-                options.append((" ", KEEP_COST if looks else -1.5))
+        for c in stretch:
+            choice = options(c, before)
+            if not invisible(c):
+                before = c
             after: dict = {}
             for (a, b), (score, chain) in paths.items():
-                for x, cost in options:
+                for x, cost in choice:
                     if x is None:
                         key, value, link = (a, b), score + cost, chain
                     else:
@@ -136,25 +186,21 @@ class CharModel:
         return "".join(reversed(out))
 
 
-def plain_words(token: str) -> list[str]:
-    return LETTERS.findall(token)
+def separated(stretch: str) -> str:
+    """White space and the marks around it as one space."""
+    return re.sub(rf"[^\w\s{re.escape(''.join(LOOKS))}]*\s+[^\w\s{re.escape(''.join(LOOKS))}]*", " ", stretch)
 
 
-def restored_words(token: str, model: CharModel) -> list[str]:
-    """Words of a lower-case token as restored, if anything about it is odd."""
-    core = token.strip(".,;:?\"'()[]{}")
-    if not ODD.search(core) or not READS.search(core) or NUMBER.match(core):
-        return []
-    return LETTERS.findall(model.restore(core))
+def plain_words(stretch: str) -> list[str]:
+    return LETTERS.findall(stretch)
 
 
-def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens, with runs of letters held apart as tokens of their own."""
-    low = text.lower()
-    found = set(low.split())
-    # an asterisk may be a letter as well as a mark
-    found.update(SPACE.sub(" ", m[0]) for m in APART.finditer(low) if sum(c == "*" or c not in MARKS and not c.isspace() for c in m[0]) >= 3)
-    return found
+def restored_words(stretch: str, model: CharModel) -> list[str]:
+    """Words of a lower-case stretch as restored, if the channel has a choice in it."""
+    core = separated(stretch.strip(ENDS))
+    if not any(map(str.isalpha, core)) or all(len(options(c, b)) == 1 for c, b in zip(core, "\0" + core, strict=False)) and core.isalpha():
+        return []
+    return LETTERS.findall(model.restore(core))
 
 
 def parts(word: str) -> list[str]:
@@ -168,70 +214,225 @@ def parts(word: str) -> list[str]:
     return list(out)
 
 
+def parts_of(word: Column) -> Column:
+    """``parts`` as an expression."""
+    w = F.concat(F.lit("^"), word, F.lit("$"))
+    n = F.char_length(w)
+    some = F.when(n > 5, F.sequence(F.lit(5), F.least(n, F.lit(10)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(F.array(w), F.transform(some, lambda k: F.left(w, k)), F.transform(some, lambda k: F.right(w, k))))
+
+
+@cache
+def folds() -> dict[str, np.ndarray]:
+    """Class of each code point below 0x20000: 0 is left out, ``EDGE`` parts texts.
+
+    ``letters``: all look-alike signs are letters; ``some``: those of ``EITHER`` are
+    marks; ``none``: all but digits are marks; ``vowels``: vowels and asterisks are one.
+    """
+    same = {"l": "i", "g": "b"}
+    out = np.zeros(0x20000, dtype=np.uint8)
+    for c in range(0x20000):
+        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
+            p = plain_letter(chr(c).lower()[0])
+            out[c] = ord(same.get(p, p)) - 96 if "a" <= p <= "z" else 27 + c % 35
+    tables = {k: out.copy() for k in ("letters", "some", "none")}
+    for k, t in tables.items():
+        for c, looks in LOOKS.items():
+            if c != "*" and (c.isdigit() or k == "letters" or k == "some" and c not in EITHER):
+                t[ord(c)] = ord(same.get(looks[0], looks[0])) - 96
+        t[0] = EDGE
+    tables["vowels"] = tables["letters"].copy()
+    tables["vowels"][ord("*")] = 1
+    tables["vowels"][np.isin(tables["vowels"], [ord(c) - 96 for c in "aeiou"])] = 1
+    return tables
+
+
+@cache
+def spaces() -> np.ndarray:
+    return np.array([c == 0 or not 0xD800 <= c < 0xE000 and chr(c).isspace() for c in range(0x20000)])
+
+
+def folded(codes: np.ndarray, table: np.ndarray) -> tuple[str, np.ndarray]:
+    """The folded text, a character a class, and where each stands."""
+    k = table[codes]
+    at = np.nonzero(k)[0]
+    k = k[at]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (k[1:] == EDGE)
+    return k[new].tobytes().decode("latin-1"), at[new]
+
+
+def automaton(features, table: np.ndarray):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for f in features:
+        codes = np.minimum(utf32(f.strip("^$")), 0x1FFFF)
+        if len(key := folded(codes, table)[0]):
+            found.add_word(key, len(key))
+    found.make_automaton()
+    return found
+
+
 class Scorer:
     """Word scores from a dict of feature scores, and the weights of a text's features."""
 
     def __init__(self, model: CharModel, features: dict[str, float], weights: list[float] | None):
-        self.model, self.features, self.weights, self.memo = model, features, weights, None
-        self.starts = {f[:5] for f in features if f[0] == "^"}
-        self.ends = {f[-5:] for f in features if f[-1] == "$"}
+        self.model, self.features, self.weights = model, features, weights
+        self.memo = self.find = None
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": None}
+        return self.__dict__ | {"memo": None, "find": None}
 
     def word(self, word: str, whole: bool = False) -> float:
         """A word's score; ``whole``: by itself and its beginnings alone."""
-        w = f"^{word}$"
-        if w[:5] not in self.starts and (whole or w[-5:] not in self.ends):
-            return 0.0
         return max([0.0, *(self.features.get(f, 0.0) for f in parts(word) if f[0] == "^" or not whole)])
 
-    def token(self, token: str) -> float:
+    def stretch(self, stretch: str) -> float:
         # a number at a word's end can read as many endings, so restored words are held to more
-        return max([0.0, *map(self.word, plain_words(token)), *(self.word(w, True) for w in restored_words(token, self.model))])
-
-    def text_features(self, text: str | None) -> tuple[float, float, float]:
-        if self.memo is None:
-            self.memo = Memo(self.token, 700_000)
-        high = sorted((s for s in map(self.memo.__getitem__, tokens(text)) if s), reverse=True) if text else []
-        return (high[0] if high else 0.0, high[1] if len(high) > 1 else 0.0, float(np.log1p(len(high))))
+        return max([0.0, *map(self.word, plain_words(stretch)), *(self.word(w, True) for w in restored_words(stretch, self.model))])
+
+    def stretches(self, texts: list[str]) -> list[set[str]]:
+        """For each text its lower-case stretches in which some path of the lattice spells a feature."""
+        if self.find is None:
+            self.memo = Memo(self.stretch, 200_000)
+            f = folds()
+            self.find = {k: automaton(self.features, f[k]) for k in ("letters", "vowels")}
+        out: list[set[str]] = [set() for _ in texts]
+        if not self.features:
+            return out
+        signs = [i for i, t in enumerate(texts) if ANY_SIGN.search(t)]
+        stars = [i for i in signs if "*" in texts[i]]
+        for fold, some in (("letters", range(len(texts))), ("some", signs), ("none", signs), ("vowels", stars)):
+            part, size = [], 0
+            for i in some:
+                part.append(i)
+                size += len(texts[i])
+                if size >= CHUNK:
+                    self.search(texts, part, fold, out)
+                    part, size = [], 0
+            if part:
+                self.search(texts, part, fold, out)
+        for i in stars:
+            out[i].update(t for t in STARRED.findall(texts[i].lower()) if any(map(str.isalpha, t)))
+        return out
+
+    def search(self, texts: list[str], which: list[int], fold: str, out: list[set[str]]) -> None:
+        joined = "\0" + "\0".join(texts[i].replace("\0", " ") for i in which) + "\0"
+        codes = np.minimum(utf32(joined), 0x1FFFF)
+        text, at = folded(codes, folds()[fold])
+        got = list(self.find["vowels" if fold == "vowels" else "letters"].iter(text))
+        if not got:
+            return
+        end, n = (np.array(v) for v in zip(*got, strict=True))
+        gaps = np.nonzero(spaces()[codes])[0]
+        low = gaps[np.searchsorted(gaps, at[end - n + 1]) - 1] + 1
+        high = gaps[np.searchsorted(gaps, at[end])]
+        # matches that share a token are one stretch
+        order = np.lexsort((high, low))
+        low, high = low[order], np.maximum.accumulate(high[order])
+        first = np.append(True, low[1:] > high[:-1])
+        low, high = low[first], high[np.append(np.nonzero(first)[0][1:] - 1, len(high) - 1)]
+        starts = np.cumsum([1, *(len(texts[i]) + 1 for i in which)])
+        for d, a, b in zip((np.searchsorted(starts, low, side="right") - 1).tolist(), low.tolist(), high.tolist(), strict=True):
+            out[which[d]].add(joined[a:b].lower())
+
+    def text_features(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros((len(texts), 3))
+        for i, some in enumerate(self.stretches([t or "" for t in texts])):
+            if some:
+                high = sorted((s for s in map(self.memo.__getitem__, some) if s), reverse=True)
+                out[i] = (high[0] if high else 0.0, high[1] if len(high) > 1 else 0.0, np.log1p(len(high)))
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.weights is None:
+            return np.zeros(len(texts))
+        z = self.text_features(texts) @ np.array(self.weights[:-1]) + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        if self.weights is None:
-            return 0.0
-        z = self.weights[-1] + sum(a * b for a, b in zip(self.weights, self.text_features(text)))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def word_stats(bags: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Lower confidence bounds, above 0, of the features' log-odds for toxic."""
-    pos: dict[str, int] = {}
-    neg: dict[str, int] = {}
-    for bag, y in zip(bags, labels, strict=True):
-        into = pos if y else neg
-        for w in bag:
-            into[w] = into.get(w, 0) + 1
-    up: dict[str, int] = {}
-    seen: dict[str, list[str]] = {}
-    for w, n in pos.items():
-        if neg.get(w, 0) <= n:
-            for f in parts(w):
-                up[f] = up.get(f, 0) + n
-    up = {f: n for f, n in up.items() if n >= 3}
-    down = dict.fromkeys(up, 0)
-    all_up = dict.fromkeys(up, 0)
-    for words, into in ((neg, down), (pos, all_up)):
-        for w, n in words.items():
-            for f in seen.get(w) or parts(w):
-                if f in into:
-                    into[f] += n
-    shift = np.log((sum(neg.values()) + 1) / (sum(pos.values()) + 1))
-    out = {}
-    for f, n in all_up.items():
-        bound = np.log((n + 0.5) / (down[f] + 0.5)) + shift - 1.64 * np.sqrt(1 / (n + 0.5) + 1 / (down[f] + 0.5))
-        if bound > 0:
-            out[f] = float(bound)
-    return dict(sorted(out.items(), key=lambda p: (-p[1], p[0]))[:FEATURES])
+        return float(self.scores([text])[0])
+
+
+def bag(text: str, restored: Memo) -> set[str]:
+    """Distinct words of a text as it is, and of tokens with signs inside and runs of single signs as restored."""
+    low = text.lower()
+    found = set(LETTERS.findall(low))
+    tokens = low.split()
+    for t in set(tokens):
+        if not t.isalpha() and not AROUND.sub("", t).isalpha():
+            found.update(restored[t])
+    run: list[str] = []
+    for t in [*tokens, "  "]:
+        if len(t.strip(ENDS)) == 1:
+            run.append(t)
+        else:
+            if len(run) > 2:
+                found.update(restored[" ".join(run)])
+            run = []
+    return found
+
+
+def cells() -> list[str]:
+    """Names of the counts: documents of turn t with label y."""
+    return [f"c{t}{y}" for t in range(TURNS) for y in (0, 1)]
+
+
+def word_counts(sample: DataFrame, model: Sent) -> DataFrame:
+    """``word`` with its documents by turn and label; summed in each task first."""
+
+    def make():
+        restored, held = Memo(lambda t: restored_words(t, model.value), 200_000), Counter()
+
+        def rows() -> dict:
+            words = sorted({w for _, w in held})
+            out = {"word": words, **{c: [held[(c, w)] for w in words] for c in cells()}}
+            held.clear()
+            return out
+
+        def run(x: dict) -> dict | None:
+            for t, y, text in zip(x["turn"], x["toxic"], x["text"], strict=True):
+                held.update((f"c{t}{y}", w) for w in bag(text or "", restored))
+            return rows() if len(held) > 500_000 else None
+
+        run.finish = rows
+        return run
+
+    got = map_batches(sample.select("turn", "toxic", "text"), make, "word string, " + ", ".join(f"{c} long" for c in cells()))
+    return got.groupBy("word").agg(*[F.sum(c).alias(c) for c in cells()])
+
+
+def word_scores(words: DataFrame) -> list[dict[str, float]]:
+    """Scores of the parts that stand out: for each turn as the others teach, then as all teach.
+
+    Only parts that pass the bound, see the module, come to the driver.
+    """
+    words = materialise(words, "toxic-words")
+    taught = [[t for t in range(TURNS) if t != k] for k in range(TURNS + 1)]
+    sums = [sum((F.col(f"c{t}{y}") for t in taught[k]), F.lit(0)).alias(f"n{k}{y}") for k in range(TURNS + 1) for y in (0, 1)]
+    names = [f"n{k}{y}" for k in range(TURNS + 1) for y in (0, 1)]
+    some = words.select("word", *sums).select(F.explode(parts_of(F.col("word"))).alias("part"), F.struct(F.col(f"n{TURNS}1").alias("up"), *names, "word").alias("x")).groupBy("part")
+    some = some.agg(F.max("x").alias("top"), *[F.sum(f"x.{n}").alias(n) for n in names])
+    # what a beginning or an end tells of other words than the one that has it most often
+    whole = F.col("part") == F.concat(F.lit("^"), F.col("top.word"), F.lit("$"))
+    some = materialise(some.select("part", *[(F.col(n) - F.when(whole, 0).otherwise(F.col("top")[n])).alias(n) for n in names]), "toxic-parts")
+    total = words.select(*sums).agg(*[F.coalesce(F.sum(f"n{k}{y}"), F.lit(0)).alias(f"n{k}{y}") for k in range(TURNS + 1) for y in (0, 1)]).first()
+    seen = some.agg(*[F.count_if(F.col(f"n{k}0") + F.col(f"n{k}1") > 0).alias(f"n{k}") for k in range(TURNS + 1)]).first()
+    found = []
+    for k in range(TURNS + 1):
+        neg, pos = total[f"n{k}0"], total[f"n{k}1"]
+        p0, shift = (pos + 0.5) / (pos + neg + 1), float(np.log((neg + 1) / (pos + 1)))
+        x = some.filter(F.col(f"n{k}1") > 0).select("part", F.col(f"n{k}0").alias("down"), F.col(f"n{k}1").alias("up"))
+        x = x.withColumn("share", F.col("up") / (F.col("up") + F.col("down"))).filter(F.col("share") > p0)
+        # Chernoff: so uneven a split has at most exp(-n KL) chance
+        uneven = F.col("up") * F.log(F.col("share") / p0) + F.when(F.col("down") > 0, F.col("down") * F.log((1 - F.col("share")) / (1 - p0))).otherwise(0.0)
+        score = F.log((F.col("up") + 0.5) / (F.col("down") + 0.5)) + shift - DEVIATIONS * F.sqrt(1 / (F.col("up") + 0.5) + 1 / (F.col("down") + 0.5))
+        found.append(x.filter(uneven > float(np.log(max(2, seen[f"n{k}"])))).select(F.lit(k).alias("k"), "part", score.alias("score")).filter("score > 0"))
+    out: list[dict[str, float]] = [{} for _ in found]
+    for r in reduce(DataFrame.unionByName, found).collect():
+        out[r["k"]][r["part"]] = r["score"]
+    return out
 
 
 def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
@@ -249,44 +450,42 @@ def regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
     return [float(v) for v in w]
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, least_toxic: int = LEAST_TOXIC, most_clean: int = MOST_CLEAN) -> Scorer:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic. Labels with ``usable`` false aren't learned from."""
     spark = docs.sparkSession
     model = CharModel(trigram_counts(docs))
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = (known.filter(usable) if usable is not None else known).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = (known.filter(usable) if usable is not None else known).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return Scorer(model, {}, None)
     draw = lambda y, most: (F.col("toxic") == y) & (F.pmod(F.xxhash64("doc_id", F.lit(20_011)), F.lit(1_000_003)) <= min(1.0, most / n[y]) * 1_000_003)
-    drawn = known.filter(draw(1, LEAST_TOXIC) | draw(0, MOST_CLEAN))
+    # a table of its own, so that Spark knows its size when it picks the join
+    drawn = materialise(known.filter(draw(1, least_toxic) | draw(0, most_clean)), "toxic-drawn")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(TURNS)).cast("int")
+    sample = materialise(docs.select("doc_id", "text").join(drawn, "doc_id").select(turn.alias("turn"), "toxic", "text"), "toxic-sample")
     sent = Sent(spark, model)
+    features = word_scores(word_counts(sample, sent))
+    sent.drop()
+    scorers = Sent(spark, [Scorer(model, f, None) for f in features[:TURNS]])
 
     def make():
-        memo = Memo(lambda t: plain_words(t) + restored_words(t, sent.value))
-
         def run(x: dict) -> dict:
-            return {"toxic": x["toxic"], "words": [" ".join(sorted({w for t in tokens(text or "") for w in memo[t]})) for text in x["text"]]}
+            got, turn = np.zeros((len(x["text"]), 3)), np.array(x["turn"])
+            for t in set(x["turn"]):
+                at = np.nonzero(turn == t)[0]
+                got[at] = scorers.value[t].text_features([x["text"][i] for i in at])
+            return {"toxic": x["toxic"], "a": got[:, 0], "b": got[:, 1], "c": got[:, 2]}
 
         return run
 
-    # the drawn ids are bounded by LEAST_TOXIC + MOST_CLEAN rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")
-    got = map_batches(rows, make, "toxic int, words string").toPandas().sort_values(["toxic", "words"], ignore_index=True)
+    got = map_batches(sample, make, "toxic int, a double, b double, c double").toPandas().sort_values(["toxic", "a", "b", "c"])
+    scorers.drop()
     y = got["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         return Scorer(model, {}, None)
-    bags = [w.split() for w in got["words"]]
-    turn = np.arange(len(y)) % 2
-    x = np.zeros((len(y), 3))
-    for k in (0, 1):  # each half is scored by what the other half taught
-        other = Scorer(model, word_stats([b for b, t in zip(bags, turn, strict=True) if t != k], y[turn != k]), None)
-        memo = Memo(other.word)
-        for i in np.nonzero(turn == k)[0]:
-            high = sorted((s for s in map(memo.__getitem__, bags[i]) if s), reverse=True)
-            x[i] = (high[0] if high else 0.0, high[1] if len(high) > 1 else 0.0, np.log1p(len(high)))
-    weight = np.where(y == 1, max(1.0, n[1] / LEAST_TOXIC), max(1.0, n[0] / MOST_CLEAN))
-    return Scorer(model, word_stats(bags, y), regression(x, y, weight / weight.mean()))
+    weight = np.where(y == 1, max(1.0, n[1] / least_toxic), max(1.0, n[0] / most_clean))
+    return Scorer(model, features[TURNS], regression(got[["a", "b", "c"]].to_numpy(), y, weight / weight.mean()))
 
 
 def score(model: Scorer, text: Column, spark: SparkSession) -> Column:
@@ -294,8 +493,7 @@ def score(model: Scorer, text: Column, spark: SparkSession) -> Column:
 
     @F.arrow_udf("double")
     def tell(texts: pa.Array) -> pa.Array:
-        scorer = sent.value
-        return pa.array([scorer.score(t) for t in texts.to_pylist()], type=pa.float64())
+        return pa.array(sent.value.scores(texts.to_pylist()), type=pa.float64())
 
     return tell(text)
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy; edge cases of each."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -126,12 +127,76 @@ def test_restoring_and_scores(spark):
 
 
 def test_toxicity_query(spark):
-    """Held-out rows at sf0.01; its labels are few, so the bar is low."""
-    d = "/root/testdata/sf0.01"
+    """Held-out rows at sf0.1; some of its toxic rows hold no word that any other toxic row has."""
+    d = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in toxicity.query(spark, d).collect()}
     truth = {r.doc_id: r.toxic for r in table(spark, d, "labels").collect()}
-    assert len(got) == 1000 and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
-    assert np.mean([got[i].predicted == y for i, y in truth.items() if got[i].held_out]) > 0.9
+    assert len(got) == 10_000 and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    pairs = [(got[i].predicted, y) for i, y in truth.items() if got[i].held_out]
+    right, told, toxic = sum(p and y for p, y in pairs), sum(p for p, _ in pairs), sum(y for _, y in pairs)
+    assert right / toxic > 0.9 and right / told > 0.9
+
+
+def test_restoring_finds_the_likeliest_path():
+    """Viterbi against every path of the lattice."""
+    r = random.Random(3)
+    counts = np.zeros(toxicity.SIZE**3)
+    for _ in range(4000):
+        a, b, c = (r.choice([0, 1, 4, 9, 15, 20]) for _ in range(3))
+        counts[a * 4096 + b * 64 + c] += r.randint(1, 9)
+    model = toxicity.CharModel(counts)
+
+    def total(path):
+        a = b = 0
+        score = 0.0
+        for x, cost in path:
+            score += cost
+            if x is not None:
+                s = toxicity.symbol(x)
+                score, a, b = score + model.log[a * 4096 + b * 64 + s], b, s
+        return score + model.log[a * 4096 + b * 64]
+
+    for _ in range(300):
+        stretch = "".join(r.choice("adiot01|. \u200bïі") for _ in range(r.randint(1, 6)))
+        got, before, choices = model.restore(stretch), "", []
+        for c in stretch:
+            choices.append(toxicity.options(c, before))
+            before = before if toxicity.invisible(c) else c
+        by: dict = {}
+        for path in itertools.product(*choices):
+            text = "".join(x for x, _ in path if x is not None)
+            by[text] = max(by.get(text, -np.inf), total(path))
+        assert abs(by[got] - max(by.values())) < 1e-4, stretch
+
+
+def test_folding_misses_no_disguise():
+    """Every way to write a word by the channel holds the folded word."""
+    r = random.Random(4)
+    scorer = toxicity.Scorer(toxicity.CharModel(np.ones(toxicity.SIZE**3)), {"^glossy$": 1.0, "^bibbed$": 1.0}, None)
+    signs: dict = defaultdict(list)
+    for s, looks in toxicity.LOOKS.items():
+        for c in looks:
+            signs[c] += [s] if s != "*" else []
+    for s, c in toxicity.ALIKE.items():
+        signs[c].append(s)
+    for word in ("glossy", "bibbed") * 150:
+        gap = r.choice(("", "", ".", " ", ", ", "\n", "\t\t", "/", "|", "*", "\u200b", " - "))
+        held = gap.strip() not in ("|", "*")
+        shown = gap.join(r.choice([c, c, *(signs[c] if held else [x for x in signs[c] if x not in toxicity.EITHER])]) * r.choice((1, 1, 2)) for c in word)
+        text = f"The word {shown} here"
+        assert any(shown.lower().strip("()") in s for s in scorer.stretches([text])[0]), text
+
+
+def test_toxicity_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (None, 1), (5, 0), (6, 1), (77, None)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    model = toxicity.train(odd, labels)
+    got = odd.select("doc_id", toxicity.score(model, F.col("text"), spark).alias("s")).collect()
+    assert len(got) == len(ODD) and all(0 <= r.s <= 1 for r in got)
+    by = {r.doc_id: r.s for r in got}
+    assert by[6] == by[7] and by[2] == by[3]
+    for empty in (toxicity.train(none, labels), toxicity.train(odd, labels.limit(0))):
+        assert odd.select(toxicity.score(empty, F.col("text"), spark).alias("s")).filter("s <> 0").count() == 0
+    assert none.select(toxicity.score(model, F.col("text"), spark)).count() == 0
 
 
 # language

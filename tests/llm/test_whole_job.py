@@ -28,7 +28,7 @@ def test_every_disguise_of_the_lattice_is_restored(spark):
     rows = [(i, line() + (" idiot " if i % 5 == 1 else " ") + line()) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(400)], "doc_id long, toxic int")
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
-    for bad in ("iiddiioott", "i,d,i,o,t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i  d  i  o  t", "(i d i o t!)", "i , d , i , o , t"):
+    for bad in ("iidiioott", "i, d, i, o, t", "i|d|i|o|t", "i/d/i/o/t", "id iot", "i\u200bd\u200biot", "іdіоt", "ｉｄｉｏｔ", "idïot", "id*ot", "i*d*i*o*t", "1 d 1 0 t", "iiddiioott", "i,d,i,o,t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i  d  i  o  t", "(i d i o t!)", "i , d , i , o , t"):
         assert model.score(f"you are an {bad}") >= 0.5, bad
     for good in ("looking for a good book", "1 2 3 4 5", "10,100 and 1001", "a b c d e", "x, y, z, t"):
         assert model.score(good) < 0.5, good
