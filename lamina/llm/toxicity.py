@@ -248,28 +248,38 @@ def folds() -> dict[str, np.ndarray]:
 
 
 @cache
-def spaces() -> np.ndarray:
-    return np.array([c == 0 or not 0xD800 <= c < 0xE000 and chr(c).isspace() for c in range(0x20000)])
+def kinds_of_signs() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points below 0x20000 are white space or part texts, and which are letters."""
+    some = [chr(c) if not 0xD800 <= c < 0xE000 else "" for c in range(0x20000)]
+    return np.array([c == "\0" or c.isspace() for c in some]), np.array([c.isalpha() for c in some])
 
 
-def folded(codes: np.ndarray, table: np.ndarray) -> tuple[str, np.ndarray]:
-    """The folded text, a character a class, and where each stands."""
+def folded(codes: np.ndarray, table: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """The folded text, a character for each run of a class; where its classes stand, and which of these begin a run."""
     k = table[codes]
     at = np.nonzero(k)[0]
     k = k[at]
     new = np.ones(len(k), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (k[1:] == EDGE)
-    return k[new].tobytes().decode("latin-1"), at[new]
+    return k[new].tobytes().decode("latin-1"), at, np.nonzero(new)[0]
+
+
+#: Where a part stands in its word: at its start, at its end, or both.
+AT_START, AT_END, WHOLE = 1, 2, 4
 
 
 def automaton(features, table: np.ndarray):
+    """Finds folded features; a match's value is 8 times its length plus the places that they may stand in."""
     import ahocorasick
 
-    found = ahocorasick.Automaton()
+    keys: dict[str, int] = {}
     for f in features:
         codes = np.minimum(utf32(f.strip("^$")), 0x1FFFF)
         if len(key := folded(codes, table)[0]):
-            found.add_word(key, len(key))
+            keys[key] = keys.get(key, 0) | (WHOLE if f[0] == "^" and f[-1] == "$" else AT_START if f[0] == "^" else AT_END)
+    found = ahocorasick.Automaton()
+    for key, where in keys.items():
+        found.add_word(key, 8 * len(key) + where)
     found.make_automaton()
     return found
 
@@ -320,14 +330,25 @@ class Scorer:
     def search(self, texts: list[str], which: list[int], fold: str, out: list[set[str]]) -> None:
         joined = "\0" + "\0".join(texts[i].replace("\0", " ") for i in which) + "\0"
         codes = np.minimum(utf32(joined), 0x1FFFF)
-        text, at = folded(codes, folds()[fold])
+        text, at, runs = folded(codes, folds()[fold])
         got = list(self.find["vowels" if fold == "vowels" else "letters"].iter(text))
         if not got:
             return
-        end, n = (np.array(v) for v in zip(*got, strict=True))
-        gaps = np.nonzero(spaces()[codes])[0]
-        low = gaps[np.searchsorted(gaps, at[end - n + 1]) - 1] + 1
-        high = gaps[np.searchsorted(gaps, at[end])]
+        end, value = (np.array(v) for v in zip(*got, strict=True))
+        space, letter = (k[codes] for k in kinds_of_signs())
+        # two letters side by side are in one word on every path: words start and end only elsewhere
+        beside = letter[1:] & letter[:-1]
+        start = np.maximum.reduceat(np.where(np.append(False, beside)[at], -1, at), runs)
+        stop = np.minimum.reduceat(np.where(np.append(beside, False)[at], len(codes), at), runs)
+        first, last = start[end - value // 8 + 1], stop[end]
+        starts, ends = first >= 0, last < len(codes)
+        good = (starts & (value & AT_START > 0)) | (ends & (value & AT_END > 0)) | (starts & ends & (value & WHOLE > 0))
+        if not good.any():
+            return
+        low = np.where(starts, first, at[runs][end - value // 8 + 1])[good]
+        high = np.where(ends, last, at[runs][end])[good]
+        gaps = np.nonzero(space)[0]
+        low, high = gaps[np.searchsorted(gaps, low) - 1] + 1, gaps[np.searchsorted(gaps, high)]
         # matches that share a token are one stretch
         order = np.lexsort((high, low))
         low, high = low[order], np.maximum.accumulate(high[order])
