@@ -38,7 +38,7 @@ def name_assets(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("asset", F.when(F.col("type").isin(*VISUAL_TYPES), text.asset_name(F.col("page"), F.col("id"))).otherwise(kept))
 
 
-def block_markdown(b: dict[str, Column]) -> Column:
+def block_markdown(b: dict[str, Column] | Column) -> Column:
     """A block's text, then its image link, then its generated description."""
     link = F.when(F.coalesce(b["asset"], F.lit("")) != "", F.concat(F.lit("!["), b["type"], F.lit(" "), b["id"], F.lit("]("), b["asset"], F.lit(")")))
     note = F.when(F.coalesce(b["description"], F.lit("")) != "", F.concat(F.lit("*Generated description: "), b["description"], F.lit("*")))
@@ -76,7 +76,8 @@ def conflicts(outputs: DataFrame, existing: DataFrame, name: str = "name") -> Da
     return outputs.join(existing.select(name), name, "left_semi")
 
 
-def batch_limits(sources: DataFrame, max_files: int = 20, max_pages: int = 100) -> DataFrame:
-    """Whether a batch keeps within its limits: ``files, pages, ok``."""
-    x = sources.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).alias("pages"), F.coalesce(F.bool_and(F.coalesce(F.col("start") <= F.col("end"), F.lit(False))), F.lit(True)).alias("ordered"))
-    return x.select("files", "pages", ((F.col("files") <= max_files) & (F.col("pages") <= max_pages) & F.col("ordered")).alias("ok"))
+def batch_limits(sources: DataFrame, *by: str, max_files: int = 20, max_pages: int = 100) -> DataFrame:
+    """Whether a batch (of each ``by``) keeps within its limits: ``files, pages, ok``; a source without a range breaks them."""
+    ordered = F.coalesce(F.bool_and(F.coalesce(F.col("start") <= F.col("end"), F.lit(False))), F.lit(True))
+    x = sources.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.col("end") - F.col("start") + 1), F.lit(0)).cast("bigint").alias("pages"), ordered.alias("ordered"))
+    return x.select(*by, "files", "pages", ((F.col("files") <= max_files) & (F.col("pages") <= max_pages) & F.col("ordered")).alias("ok"))

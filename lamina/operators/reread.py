@@ -1,94 +1,166 @@
-"""The bounded reread of pages, unrolled into DataFrame stages over a reader's answers.
+"""The bounded reread of pages, folded from a reader's answers.
 
 A reader answers three kinds of requests: ``page`` (one attempt), ``fallback``
-(plain Markdown, one attempt) and ``crop`` (two attempts). Its answers are a table
-``doc_id, page, round, req, attempt, kind, ok, body, usage``; a live reader fills
-it once per stage and it is then only read, since answers cost money and differ.
-Pages, and crops of a round, are independent; only the rounds follow each other.
+(plain Markdown, one attempt) and ``crop`` (two attempts, numbered from 1 in each
+round as its page asked). Answers are rows ``doc_id, page, round, req, attempt, kind,
+raw`` with token counters and ``has_usage``; they are kept, never asked for twice,
+since they cost money and differ. Pages, and crops of a round, don't depend on each
+other: all answers of a page meet in one shuffle and its rounds are folded there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import COUNTERS, Config
+from ..functions import answers as raw_answers
+from ..functions import geometry, prompts
+from ..schema import BLOCK, COUNTERS, ZOOM, Config
+from ..sources.readers import Reader
 from .layout import merge_blocks
 
 KEY = ("doc_id", "page")
+NOTE = "struct<code:string,detail:string>"
+LAST = f"struct<round:int,req:int,pos:int,b:{BLOCK}>"
+
+
+def note(code: Column | str, detail: Column | None = None) -> Column:
+    return F.struct((F.lit(code) if isinstance(code, str) else code).cast("string").alias("code"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+
+
+def notes(texts: Column) -> Column:
+    """What a model remarks on its own reading."""
+    return F.transform(texts, lambda t: note("MODEL_NOTE", t))
+
+
+def none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
 
+def placed(blocks: Column, round_: int, req: Column) -> Column:
+    """Blocks with their place in the order of reading."""
+    return F.transform(blocks, lambda b, i: F.struct(F.lit(round_).alias("round"), req.cast("int").alias("req"), i.cast("int").alias("pos"), b.alias("b")))
 
-def reread(replay: DataFrame, blocks: DataFrame, requests: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
-    """``pages`` (status, warning codes, usage) and ``blocks`` (merged, in order) of every page.
 
-    ``replay``: doc_id, page, round, req, attempt, kind, ok, counters, has_usage.
-    ``blocks``: doc_id, page, round, req, pos, id, and content columns, of the
-    answers that are ok. ``requests``: doc_id, page, round, req, i — the rereads
-    that an answer asks for; the i-th of round r is answered as request ``req`` of
-    round r + 1, numbered in the order asked.
+def parsed(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("read", raw_answers.read(F.col("kind"), F.col("raw"))).drop("raw")
+
+
+def gathered(answers: DataFrame) -> DataFrame:
+    """One row a page: its own answer ``p``, its fallback ``f`` and the array ``crops`` of crop answers."""
+    x = answers if "read" in answers.columns else parsed(answers)
+    one = F.struct("round", "req", "attempt", "read", "has_usage", *COUNTERS)
+    mine = lambda kind: F.min_by(F.when(F.col("kind") == kind, one), F.when(F.col("kind") == kind, F.struct("round", "req", "attempt")))
+    crops = F.collect_list(F.when((F.col("kind") == "crop") & F.col("attempt").isin(1, 2), one))
+    return x.groupBy(*KEY).agg(mine("page").alias("p"), mine("fallback").alias("f"), crops.alias("crops"))
+
+
+def state(answers: DataFrame, config: Config = Config(), rounds: int | None = None) -> DataFrame:
+    """One row a page after ``rounds`` rounds (all by default).
+
+    ``placed`` (blocks with their places), ``notes``, ``todo`` (open requests),
+    ``used`` (crops spent), ``status``, counters, ``calls``, ``complete``, and
+    ``missing``: requests served in these rounds to which an answer isn't there yet.
     """
-    page = replay.filter(F.col("kind") == "page").select(*KEY, F.col("ok").alias("page_ok"), F.struct(*COUNTERS, "has_usage").alias("page_u"))
-    fall = replay.filter(F.col("kind") == "fallback").select(*KEY, F.col("ok").alias("fall_ok"))
-    state = page.join(fall, list(KEY), "left").withColumn("fall_ok", F.coalesce("fall_ok", F.lit(False)))
-    ok = F.col("page_ok")
-    state = state.withColumn("failed", ~ok & ~F.col("fall_ok")).withColumn("recovered", ~ok & F.col("fall_ok"))
-
-    crop = replay.filter(F.col("kind") == "crop").groupBy(*KEY, "round", "req").agg(
-        F.bool_or(F.col("ok") & (F.col("attempt") == 1)).alias("first_ok"),
-        F.bool_or(F.col("ok")).alias("any_ok"),
-        F.max_by(F.struct(*COUNTERS, "has_usage"), F.struct(F.col("ok"), -F.col("attempt"))).alias("u"),
-    )
-    w = Window.partitionBy(*KEY).orderBy("req", "i")
-    # round 1 serves what the page read asked for, cut to the page's budget; what is cut is dropped without a warning
-    asked = requests.filter(F.col("round") == 0).join(state.filter("page_ok").select(*KEY), list(KEY), "left_semi")
-    asked = asked.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= config.max_crops_per_page).select(*KEY, F.col("n").cast("int").alias("req"))
-    used = state.select(*KEY, F.lit(0).alias("used"))
-    served = None
-    for r in range(1, config.max_zoom_rounds + 1):
-        left = asked.join(used, list(KEY)).filter(F.col("req") <= config.max_crops_per_page - F.col("used"))
-        now = left.select(*KEY, F.lit(r).alias("round"), "req")
-        got = now.join(crop, [*KEY, "round", "req"], "left").withColumn("any_ok", F.coalesce("any_ok", F.lit(False))).withColumn("first_ok", F.coalesce("first_ok", F.lit(False)))
-        served = got if served is None else served.unionByName(got)
-        spent = now.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("spent"))
-        # a page whose budget is used keeps its open requests; else the next round's are those of the crops just read
-        more = requests.filter(F.col("round") == r).join(got.filter("any_ok").select(*KEY, "round", "req"), [*KEY, "round", "req"], "left_semi")
-        more = more.withColumn("n", F.row_number().over(w)).select(*KEY, F.col("n").cast("int").alias("req"))
-        kept = asked.join(spent, list(KEY), "left_anti").select(*KEY, "req")
-        asked = more.unionByName(kept)
-        used = used.join(spent, list(KEY), "left").select(*KEY, (F.col("used") + F.coalesce("spent", F.lit(0))).alias("used"))
-    over = asked.select(*KEY).distinct().withColumn("over", F.lit(True))
-
-    code = F.when(~F.col("any_ok"), "CROP_FAILED").when(~F.col("first_ok"), "CROP_RETRIED")
-    u = F.col("u")
-    if served is None:
-        per_crop = state.select(*KEY, F.lit(None).cast("array<string>").alias("crop_codes"), F.lit(0).cast("bigint").alias("crop_calls"), F.lit(True).alias("crop_complete"), *[F.lit(0).cast("bigint").alias(f"crop_{c}") for c in COUNTERS])
-    else:
-        calls = F.when(~F.col("any_ok"), 2).when(~F.col("first_ok"), 2).otherwise(1)
-        per_crop = served.groupBy(*KEY).agg(
-            F.transform(F.array_sort(F.collect_list(F.when(code.isNotNull(), F.struct("round", "req", code.alias("code"))))), lambda x: x["code"]).alias("crop_codes"),
-            F.sum(calls).cast("bigint").alias("crop_calls"),
-            F.bool_and(F.col("first_ok") & F.coalesce(u["has_usage"], F.lit(False))).alias("crop_complete"),
-            *[F.sum(F.when(F.col("any_ok") & u["has_usage"], u[c]).otherwise(0)).cast("bigint").alias(f"crop_{c}") for c in COUNTERS],
+    most, rounds = config.max_crops_per_page, config.max_zoom_rounds if rounds is None else rounds
+    x = gathered(answers)
+    p_ok, f_ok = F.coalesce(F.col("p.read.ok"), F.lit(False)), F.coalesce(F.col("f.read.ok"), F.lit(False))
+    x = x.withColumn("p_ok", p_ok).withColumn("failed", ~p_ok & ~f_ok).withColumn("by", F.when(F.col("p_ok"), F.col("p")).when(f_ok, F.col("f")))
+    blank = lambda c, kind: F.coalesce(c, none(kind))
+    x = x.withColumn("placed", blank(placed(F.col("by.read.blocks"), 0, F.lit(0)), LAST))
+    told = F.when(F.col("failed"), F.array(note("PAGE_FAILED"))).when(~F.col("p_ok"), F.array(note("PAGE_RECOVERED_MARKDOWN"))).otherwise(none(NOTE))
+    x = x.withColumn("notes", F.concat(told, blank(notes(F.col("by.read.warnings")), NOTE)))
+    x = x.withColumn("todo", blank(F.when(F.col("p_ok"), F.slice(F.col("p.read.requests"), 1, most)), ZOOM)).withColumn("used", F.lit(0))
+    counted = lambda c, has: F.coalesce(F.when(has, c), F.lit(0)).cast("bigint")
+    has = F.coalesce(F.col("by.has_usage"), F.lit(False))
+    sums = {c: counted(F.col("by")[c], has) for c in COUNTERS}
+    x = x.withColumns(sums | {"calls": F.when(F.col("p_ok"), 1).otherwise(2).cast("bigint"), "complete": F.col("p_ok") & has, "missing": none("struct<round:int,req:int,attempt:int>")})
+    for r in range(1, rounds + 1):
+        # of each served request its two attempts; later ones only count if the first is no answer
+        tried = lambda q, a: F.get(F.filter("crops", lambda c: (c["round"] == r) & (c["req"] == q) & (c["attempt"] == a)), F.lit(0))  # noqa: B023, E731
+        served = F.transform(F.slice("todo", F.lit(1), F.greatest(F.lit(0), F.least(F.size("todo"), most - F.col("used")))), lambda z, i: F.struct((i + 1).cast("int").alias("req"), tried(i + 1, 1).alias("one"), tried(i + 1, 2).alias("two")))
+        x = x.withColumn("served", served)
+        good = lambda c: F.coalesce(c["read"]["ok"], F.lit(False))
+        x = x.withColumn("served", F.transform("served", lambda s: F.struct(s["req"].alias("req"), good(s["one"]).alias("once"), (good(s["one"]) | good(s["two"])).alias("ok"), F.when(good(s["one"]), s["one"]).when(good(s["two"]), s["two"]).alias("by"), F.when(s["one"].isNull(), 1).when(~good(s["one"]) & s["two"].isNull(), 2).alias("lacks"))))
+        told = F.transform("served", lambda s: F.concat(F.when(~s["ok"], F.array(note("CROP_FAILED"))).when(~s["once"], F.array(note("CROP_RETRIED"))).otherwise(none(NOTE)), F.coalesce(notes(s["by"]["read"]["warnings"]), none(NOTE))))
+        add = lambda f: F.aggregate("served", F.lit(0).cast("bigint"), lambda a, s: a + f(s))
+        spent = lambda c: add(lambda s: counted(s["by"][c], F.coalesce(s["by"]["has_usage"], F.lit(False))))  # noqa: B023, E731
+        more = {c: F.col(c) + spent(c) for c in COUNTERS}
+        asked = F.flatten(F.transform(F.filter("served", lambda s: s["ok"]), lambda s: s["by"]["read"]["requests"]))
+        x = x.withColumns(
+            more
+            | {
+                "placed": F.concat("placed", F.flatten(F.transform(F.filter("served", lambda s: s["ok"]), lambda s: placed(s["by"]["read"]["blocks"], r, s["req"])  # noqa: B023
+                ))),
+                "notes": F.concat("notes", F.flatten(told)),
+                "calls": F.col("calls") + add(lambda s: F.when(s["once"], 1).otherwise(2).cast("bigint")),
+                "complete": F.col("complete") & F.forall("served", lambda s: s["once"] & F.coalesce(s["by"]["has_usage"], F.lit(False))),
+                "missing": F.concat("missing", F.transform(F.filter("served", lambda s: s["lacks"].isNotNull()), lambda s: F.struct(F.lit(r).alias("round"), s["req"].alias("req"), s["lacks"].cast("int").alias("attempt")))),
+                "used": F.col("used") + F.size("served"),
+                "asked": F.col("todo"),
+                # a page whose budget is spent keeps its open requests
+                "todo": F.when(F.size("served") > 0, asked).otherwise(F.col("todo")),
+            }
         )
-    fb = replay.filter(F.col("kind") == "fallback").select(*KEY, F.struct(*COUNTERS, "has_usage").alias("fall_u"))
-    x = state.join(per_crop, list(KEY), "left").join(over, list(KEY), "left").join(fb, list(KEY), "left")
-    codes = F.array_compact(F.concat(
-        F.array(F.when(F.col("failed"), "PAGE_FAILED").when(F.col("recovered"), "PAGE_RECOVERED_MARKDOWN")),
-        F.coalesce("crop_codes", F.array().cast("array<string>")),
-        F.array(F.when(F.coalesce("over", F.lit(False)), "REREAD_LIMIT")),
-    ))
-    mine = F.when(F.col("page_ok"), F.col("page_u")).when(F.col("recovered"), F.col("fall_u"))
-    pages = x.select(
-        *KEY,
-        codes.alias("codes"),
-        F.when(F.col("failed"), "failed").when(F.size(codes) > 0, "partial").otherwise("ok").alias("status"),
-        *[(F.coalesce(F.when(mine["has_usage"], mine[c]), F.lit(0)) + F.coalesce(F.col(f"crop_{c}"), F.lit(0))).cast("bigint").alias(c) for c in COUNTERS],
-        (F.when(F.col("page_ok"), 1).otherwise(2) + F.coalesce("crop_calls", F.lit(0))).cast("bigint").alias("calls"),
-        (F.col("page_ok") & F.coalesce(F.col("page_u.has_usage"), F.lit(False)) & F.coalesce("crop_complete", F.lit(True))).alias("complete"),
-    )
-    alive = state.filter(~F.col("failed")).select(*KEY)
-    kept = blocks.filter(F.col("round") == 0).join(alive, list(KEY), "left_semi")
-    if served is not None:
-        kept = kept.unionByName(blocks.filter(F.col("round") > 0).join(served.filter("any_ok").select(*KEY, "round", "req"), [*KEY, "round", "req"], "left_semi").select(blocks.columns))
-    order = F.struct("round", "req", "pos")
-    return {"pages": pages, "blocks": merge_blocks(kept.withColumn("seq", order).drop("round", "req", "pos"))}
+    over = F.when(F.size("todo") > 0, F.array(note("REREAD_LIMIT"))).otherwise(none(NOTE))
+    x = x.withColumn("notes", F.concat("notes", over))
+    status = F.when(F.col("failed"), "failed").when(F.size("notes") > 0, "partial").otherwise("ok")
+    return x.withColumn("status", status).drop("crops", "served")
+
+
+def pages_of(folded: DataFrame) -> DataFrame:
+    """``doc_id, page, status, notes``, counters, ``calls, complete``."""
+    return folded.select(*KEY, "status", "notes", *COUNTERS, "calls", "complete")
+
+
+def blocks_of(folded: DataFrame) -> DataFrame:
+    """The merged blocks of every page; ``first_seq`` is their order."""
+    x = folded.select(*KEY, F.explode("placed").alias("x"))
+    x = x.select(*KEY, F.struct("x.round", "x.req", "x.pos").alias("seq"), "x.b.id", "x.b.type", "x.b.markdown", "x.b.box", "x.b.description", "x.b.asset")
+    return merge_blocks(x)
+
+
+def reread(answers: DataFrame, config: Config = Config()) -> dict[str, DataFrame]:
+    """``pages`` and ``blocks`` of recorded answers; see ``pages_of`` and ``blocks_of``."""
+    folded = state(answers, config)
+    return {"pages": pages_of(folded), "blocks": blocks_of(folded)}
+
+
+def page_requests(context: DataFrame) -> DataFrame:
+    """The first request of every page of ``layout.context``."""
+    text = prompts.page_request(F.col("variant"), F.col("page"), F.col("selected_page_count"))
+    return context.select(*KEY, F.lit(0).alias("round"), F.lit(0).alias("req"), F.lit(1).alias("attempt"), F.lit("page").alias("kind"), text.alias("prompt"), "images")
+
+
+def fallback_requests(context: DataFrame, answers: DataFrame) -> DataFrame:
+    """Markdown requests for the pages whose own answer was none."""
+    bad = answers.filter((F.col("kind") == "page") & ~F.col("read.ok")).select(*KEY)
+    x = context.join(bad, list(KEY), "left_semi")
+    return x.select(*KEY, F.lit(0).alias("round"), F.lit(0).alias("req"), F.lit(1).alias("attempt"), F.lit("fallback").alias("kind"), prompts.fallback_request(F.col("page")).alias("prompt"), F.array("page").alias("images"))
+
+
+def crop_requests(answers: DataFrame, config: Config, round_: int, attempt: int) -> DataFrame:
+    """What a round asks for: grown boxes with their requests' texts."""
+    x = state(answers, config, round_).select(*KEY, F.explode(F.filter("missing", lambda m: (m["round"] == round_) & (m["attempt"] == attempt))).alias("m"), "asked")
+    z = F.get("asked", F.col("m.req") - 1)
+    x = x.select(*KEY, "m.round", "m.req", "m.attempt", F.lit("crop").alias("kind"), z.alias("z"))
+    grown = F.struct(*[c.alias(k) for k, c in geometry.expand({k: F.col("z.box")[k] for k in ("xmin", "ymin", "xmax", "ymax")}).items()])
+    x = x.withColumn("box", grown)
+    text = prompts.crop_request(F.col("page"), F.col("box"), F.col("z.rotate_degrees"), F.col("z.reason"))
+    return x.select(*KEY, "round", "req", "attempt", "kind", text.alias("prompt"), F.array("page").alias("images"), "box", F.col("z.rotate_degrees").alias("rotate"))
+
+
+def ask(context: DataFrame, reader: Reader, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All answers that the selected pages need, round by round.
+
+    ``keep`` stores answers before anything depends on them (a table, a checkpoint);
+    the default is for readers whose answers can be had again at no cost.
+    """
+    got = keep(parsed(reader.read(page_requests(context))))
+    got = got.unionByName(keep(parsed(reader.read(fallback_requests(context, got)))))
+    for r in range(1, config.max_zoom_rounds + 1):
+        for attempt in (1, 2):
+            got = got.unionByName(keep(parsed(reader.read(crop_requests(got, config, r, attempt)))))
+    return got

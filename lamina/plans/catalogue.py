@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry, markup, text
 from ..operators import export, layout, reread, usage
 from ..schema import COUNTERS, VISUAL_TYPES, box_ok
-from ..sources.readers import HtmlReader
-from .fixtures import BLOCKS_SQL, SOURCES_SQL, blocks, quoted, read, sources
+from ..sources.readers import BLOCK_TAGS, HIDDEN_TAGS, HtmlReader, ReplayReader
+from ..sources.tables import materialise
+from .fixtures import BLOCKS_SQL, PAGES, REREAD_SQL, SOURCES_SQL, answers, blocks, quoted, read, sources
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,16 +60,19 @@ def artifact_names(spark, d):
     return read(spark, d, "pages").select("page_id", *[c.alias(k) for k, c in text.artifact_names(F.concat("url", F.lit(".pdf"))).items()])
 
 
-ITEMS_SQL = rf"""{SOURCES_SQL}, i0 AS (SELECT doc_id, page_spec, page_count AS n, unnest(string_split(page_spec, ',')) AS item, unnest(range(len(string_split(page_spec, ',')))) AS k FROM sources),
-i1 AS (SELECT *, TRY_CAST(regexp_extract(item, '^\s*([0-9]+)', 1) AS BIGINT) AS low, coalesce(TRY_CAST(nullif(regexp_extract(item, '-\s*([0-9]+)\s*$', 1), '') AS BIGINT), TRY_CAST(regexp_extract(item, '^\s*([0-9]+)', 1) AS BIGINT)) AS high FROM i0),
-i2 AS (SELECT *, CASE WHEN trim(page_spec) = '' THEN NULL WHEN trim(item) = '' THEN 'EMPTY_ITEM'
-  WHEN NOT regexp_full_match(item, '\s*[0-9]+\s*(-\s*[0-9]+\s*)?') THEN CASE WHEN contains(item, '-') THEN 'BAD_RANGE' ELSE 'BAD_PAGE' END
+SP = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+ITEMS_SQL = rf"""{SOURCES_SQL}, t0 AS (SELECT doc_id, filename, page_spec, page_count AS n, regexp_replace(page_spec, '^{SP}+|{SP}+$', '', 'g') AS spec FROM sources),
+i0 AS (SELECT doc_id, spec, n, regexp_replace(unnest(string_split(spec, ',')), '^{SP}+|{SP}+$', '', 'g') AS item, unnest(range(len(string_split(spec, ',')))) AS k FROM t0 WHERE spec IS NOT NULL),
+i1 AS (SELECT *, TRY_CAST(regexp_extract(item, '^([0-9]+)', 1) AS BIGINT) AS low, coalesce(TRY_CAST(nullif(regexp_extract(item, '-{SP}*([0-9]+)$', 1), '') AS BIGINT), TRY_CAST(regexp_extract(item, '^([0-9]+)', 1) AS BIGINT)) AS high FROM i0),
+i2 AS (SELECT *, CASE WHEN spec = '' THEN NULL WHEN item = '' THEN 'EMPTY_ITEM'
+  WHEN NOT regexp_full_match(item, '[0-9]+({SP}*-{SP}*[0-9]+)?') THEN CASE WHEN contains(item, '-') THEN 'BAD_RANGE' ELSE 'BAD_PAGE' END
   WHEN contains(item, '-') AND low > high THEN 'REVERSED' WHEN low < 1 OR high > n THEN 'OUT_OF_RANGE' END AS code FROM i1),
-e AS (SELECT doc_id, any_value(page_spec) AS page_spec, any_value(n) AS n, coalesce(min_by(code, k) FILTER (code <> 'OUT_OF_RANGE'), max(code) FILTER (code = 'OUT_OF_RANGE')) AS code FROM i2 GROUP BY doc_id)"""
+e0 AS (SELECT doc_id, coalesce(min_by(code, k) FILTER (code <> 'OUT_OF_RANGE'), max(code) FILTER (code = 'OUT_OF_RANGE')) AS code FROM i2 GROUP BY doc_id),
+e AS (SELECT t0.doc_id, filename, page_spec, spec, n, CASE WHEN page_spec IS NULL THEN 'NO_RANGE' ELSE code END AS code FROM t0 LEFT JOIN e0 USING (doc_id)),
+sel AS (SELECT DISTINCT e.doc_id, CAST(unnest(CASE WHEN e.spec = '' THEN range(1, e.n + 1) ELSE range(low, high + 1) END) AS INTEGER) AS page FROM i2 JOIN e USING (doc_id) WHERE e.code IS NULL)"""
 
 
-@query(f"""WITH {ITEMS_SQL} SELECT DISTINCT i2.doc_id, CAST(unnest(CASE WHEN trim(e.page_spec) = '' THEN range(1, e.n + 1) ELSE range(low, high + 1) END) AS INTEGER) AS page
-FROM i2 JOIN e USING (doc_id) WHERE e.code IS NULL""")
+@query(f"WITH {ITEMS_SQL} SELECT doc_id, page FROM sel")
 def page_selection(spark, d):
     return layout.select_pages(sources(spark, d))
 
@@ -79,6 +83,12 @@ def page_selection_errors(spark, d):
     return s.select("doc_id", "page_spec", F.coalesce(text.page_range_error(F.col("page_spec"), F.col("page_count")), F.lit("ok")).alias("code"))
 
 
+@query(f"""WITH {ITEMS_SQL} SELECT doc_id, filename, list(page ORDER BY page) = [1] OR lower(filename) LIKE '_%.pdf' AS ok FROM sel JOIN e USING (doc_id) GROUP BY doc_id, filename""")
+def image_selection(spark, d):
+    s = sources(spark, d).select("doc_id", "filename", text.page_range(F.col("page_spec"), F.col("page_count")).alias("pages"))
+    return s.filter("pages is not null").select("doc_id", "filename", text.selection_ok(F.col("filename"), F.col("pages")).alias("ok"))
+
+
 @query("""WITH p AS (SELECT event_id, 100 + event_id % 5000 AS w, 100 + (event_id * 7) % 7000 AS h FROM events), q AS (SELECT *, (w * (300 / 72.0::DOUBLE)) * h * (300 / 72.0::DOUBLE) AS px FROM p)
 SELECT event_id, CAST(round(CASE WHEN px > 20000000 THEN 300 / 72.0::DOUBLE * sqrt(20000000 / px) ELSE 300 / 72.0::DOUBLE END, 6) AS DECIMAL(18, 6)) AS scale, w * h <= 20000000 AS image_ok FROM q""")
 def render_scale(spark, d):
@@ -152,36 +162,75 @@ def merge_blocks(spark, d):
     return layout.merge_blocks(b).select("doc_id", "page", "id", "first_seq", "type", sha("markdown").alias("md_sha256"))
 
 
-def replay(spark, d):
-    """Recorded answers derived from documents: all outcomes of pages, fallbacks and crops."""
-    p = read(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"))
-    h = lambda *c: F.pmod(F.xxhash64("doc_id", "page", *map(F.lit, c)), F.lit(100))
-    zero = {c: F.lit(10 * i).cast("bigint") for i, c in enumerate(COUNTERS)}
-    rows = lambda x, kind, ok, has: x.select("doc_id", "page", "round", "req", "attempt", F.lit(kind).alias("kind"), ok.alias("ok"), *[(v + h(k)).alias(k) for k, v in zero.items()], has.alias("has_usage"))
-    first = p.withColumns({"round": F.lit(0), "req": F.lit(0), "attempt": F.lit(1)})
-    out = rows(first, "page", h("p") >= 20, h("u") >= 5)
-    out = out.unionByName(rows(first.filter(h("p") < 20), "fallback", h("f") >= 40, F.lit(True)))
-    crops = p.withColumn("round", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("req", F.explode(F.sequence(F.lit(1), F.lit(8)))).withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
-    v = F.pmod(F.xxhash64("doc_id", "page", "round", "req"), F.lit(100))
-    out = out.unionByName(rows(crops, "crop", F.when(F.col("attempt") == 1, v >= 30).otherwise(v >= 10), F.lit(True)))
-    answers = out.filter("ok").groupBy("doc_id", "page", "round", "req").agg(F.count(F.lit(1)).alias("n"))
-    n = F.pmod(F.xxhash64("doc_id", "page", "round", "req", F.lit("z")), F.lit(5)).cast("int")
-    asked = answers.filter(F.col("round") >= 0).withColumn("i", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))).select("doc_id", "page", "round", "req", "i")
-    made = answers.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("id", F.concat(F.lit("paragraph-"), F.pmod(F.xxhash64("round", "req", "pos", "page"), F.lit(5)).cast("string")))
-    made = made.select("doc_id", "page", "round", "req", "pos", "id", F.concat_ws(" ", F.lit("text"), "round", "req", "pos").alias("markdown"))
-    return out, made, asked
+@query(f"WITH {REREAD_SQL} SELECT doc_id, page, codes, status, {', '.join(COUNTERS)}, calls, complete FROM outcome")
+def reread_outcome(spark, d):
+    x = reread.pages_of(reread.state(answers(spark, d)))
+    return x.withColumn("codes", F.array_join(F.transform("notes", lambda n: n["code"]), ",")).drop("notes")
 
 
-@query()
-def reread_outcome(spark, d):
-    x = reread.reread(*replay(spark, d))["pages"]
-    return x.withColumn("codes", F.array_join("codes", ","))
+@query(f"WITH {REREAD_SQL} SELECT doc_id, page, id, first_seq, markdown FROM merged")
+def reread_blocks(spark, d):
+    x = reread.blocks_of(reread.state(answers(spark, d)))
+    return x.select("doc_id", "page", "id", (F.col("first_seq.round") * 10000 + F.col("first_seq.req") * 100 + F.col("first_seq.pos")).alias("first_seq"), "markdown")
+
+
+@query(f"""WITH {REREAD_SQL}, x AS (SELECT doc_id, page, 'page' AS kind, 0 AS round, 0 AS req, 1 AS attempt FROM pa UNION ALL SELECT doc_id, page, 'fallback', 0, 0, 1 FROM pa WHERE NOT p_ok
+  UNION ALL SELECT doc_id, page, 'crop', round, req, 1 FROM cr UNION ALL SELECT doc_id, page, 'crop', round, req, 2 FROM cr WHERE NOT once) SELECT * FROM x""")
+def reader_requests(spark, d):
+    """What a reader is asked, round by round."""
+    return asked(all_pages(spark, d), spark, d).select("doc_id", "page", "kind", "round", "req", "attempt")
+
+
+def asked(pages, spark, d):
+    """The answers to all requests of these pages, each round kept before the next asks."""
+    recorded = materialise(answers(spark, d), "recorded")
+    return reread.ask(pages, ReplayReader(recorded), keep=lambda df: materialise(df, "answers"))
+
+
+def all_pages(spark, d):
+    p = read(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(PAGES))).alias("page"))
+    return layout.context(p)
+
+
+# Of documents of three pages: the pages that their ranges select, as read, merged, assembled and exported.
+SELECTED_SQL = ITEMS_SQL.replace("page_count AS n", f"{PAGES} AS n") + f", {REREAD_SQL}"
+
+
+@query(rf"""WITH {SELECTED_SQL}, pgs AS (SELECT outcome.* FROM outcome JOIN sel USING (doc_id, page)),
+b AS (SELECT m.doc_id, m.page, first_seq, trim(markdown) || CASE WHEN id = 'figure-0' THEN chr(10) || chr(10) || '![figure figure-0](assets/page-' || m.page || '-figure-0.png)' ELSE '' END AS md FROM merged m JOIN sel USING (doc_id, page)),
+pm AS (SELECT doc_id, page, list(md ORDER BY first_seq) AS mds FROM b GROUP BY doc_id, page),
+d AS (SELECT pgs.doc_id, flatten(list(CASE WHEN page = first_page THEN [] ELSE ['<!-- PAGE BREAK -->'] END || coalesce(mds, []) ORDER BY page)) AS parts, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'partial') THEN 'partial' ELSE 'ok' END AS status,
+  CAST(sum(n) AS INTEGER) AS n_warnings, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(calls) AS BIGINT) AS calls, bool_and(complete) AS complete, CAST(count(*) AS INTEGER) AS n_pages FROM pgs LEFT JOIN pm USING (doc_id, page) JOIN (SELECT doc_id, min(page) AS first_page FROM sel GROUP BY doc_id) USING (doc_id) GROUP BY pgs.doc_id)
+SELECT doc_id, e.filename, coalesce(status, 'ok') AS status, coalesce(n_warnings, 0) AS n_warnings, coalesce(n_pages, 0) AS n_pages, coalesce(input_tokens, 0) AS input_tokens, coalesce(calls, 0) AS calls, coalesce(complete, true) AS complete,
+  sha256(coalesce(array_to_string(parts, chr(10) || chr(10)), '') || chr(10)) AS md_sha256 FROM e LEFT JOIN d USING (doc_id)""")
+def document_results(spark, d):
+    """From sources to results: selection, context, reader, rereads, assets, assembly, warnings, usage."""
+    return results(spark, d).select("doc_id", "filename", "status", "n_warnings", F.size("view.pages").alias("n_pages"), "view.usage.input_tokens", "view.usage.calls", "view.usage.complete", sha("markdown").alias("md_sha256"))
+
+
+def results(spark, d):
+    s = sources(spark, d).withColumn("page_count", F.lit(PAGES))
+    pages = materialise(layout.context(layout.select_pages(s)), "pages")
+    folded = materialise(reread.state(asked(pages, spark, d)).select("doc_id", "page", "placed", "status", "notes", *COUNTERS, "calls", "complete"), "folded")
+    read_ = reread.pages_of(folded).withColumns({"width": F.lit(850), "height": F.lit(1100)})
+    blocks_ = layout.name_assets(reread.blocks_of(folded).withColumnRenamed("first_seq", "seq"))
+    return export.document_view(s, read_, blocks_, "replay")
 
 
 @query()
-def reread_blocks(spark, d):
-    x = reread.reread(*replay(spark, d))["blocks"]
-    return x.select("doc_id", "page", "id", F.concat_ws(".", "first_seq.round", "first_seq.req", "first_seq.pos").alias("first_seq"), "markdown")
+def document_files(spark, d):
+    """The same results as files: Markdown, JSON and HTML of every document."""
+    x = export.artifacts(results(spark, d))
+    return x.select("doc_id", "name", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"""WITH {BLOCKS_SQL}, p AS (SELECT DISTINCT doc_id, page FROM blocks), w AS (SELECT doc_id, page, lag(page) OVER o AS a, lead(page) OVER o AS b, count(*) OVER (PARTITION BY doc_id) AS n FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY page))
+SELECT doc_id, page, len(regexp_extract_all(txt, '[*][*][^*]+[*][*]')) AS images, regexp_extract(txt, 'page ([0-9]+ of [0-9]+)', 1) AS place, strpos(txt, '**the page to read**') AS target FROM (SELECT *, 'Read page ' || page || ' of ' || n || ': ' || CASE WHEN a IS NULL THEN '' ELSE 'image 1 is **the page before it, for context**; ' END
+  || 'image ' || CASE WHEN a IS NULL THEN 1 ELSE 2 END || ' is **the page to read**' || CASE WHEN b IS NULL THEN '' ELSE '; image ' || CASE WHEN a IS NULL THEN 2 ELSE 3 END || ' is **the page after it, for context**' END AS txt FROM w)""")
+def request_texts(spark, d):
+    x = reread.page_requests(layout.context(blocks(spark, d).select("doc_id", "page").distinct()))
+    said = F.col("prompt")
+    return x.select("doc_id", "page", F.size(F.regexp_extract_all(said, F.lit(r"[*][*][^*]+[*][*]"), F.lit(0))).cast("bigint").alias("images"), F.regexp_extract(said, "page ([0-9]+ of [0-9]+)", 1).alias("place"), F.locate("**the page to read**", said).cast("bigint").alias("target"))
 
 
 STATUS_SQL = "s AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' ELSE 'ok' END AS status FROM events)"
@@ -255,14 +304,22 @@ def document_warnings(spark, d):
     return layout.document_warnings(p).select("doc_id", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, text || ' ![a](assets/page-1-figure-0.png) ![b ' || doc_id || '](https://x.org/i.png) [c](javascript:alert) [d](HTTP://up.org) [e](/local) [f](data:x)' AS md FROM documents)
-SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\(assets/[^)]+\)', '', 'g'), '!\[([^\]]*)\]\((?:https?|data|javascript):[^)]*\)', '[image: \1]', 'g'), '\[([^\]]+)\]\((?:https?|data|javascript):[^)]*\)', '\1', 'g')) AS md_sha256 FROM x""")
+@query("SELECT doc_id, sha256(text || '  [image: b ' || doc_id || '] c [d](HTTP://up.org) [e](/local) f') AS md_sha256 FROM documents WHERE NOT contains(text, '](')")
 def safe_markdown(spark, d):
     links = [F.lit(" ![a](assets/page-1-figure-0.png) ![b "), F.col("doc_id").cast("string"), F.lit("](https://x.org/i.png) [c](javascript:alert) [d](HTTP://up.org) [e](/local) [f](data:x)")]
-    return read(spark, d, "documents").select("doc_id", sha(text.safe_markdown(F.concat("text", *links))).alias("md_sha256"))
+    x = read(spark, d, "documents").filter(~F.contains("text", F.lit("](")))
+    return x.select("doc_id", sha(text.safe_markdown(F.concat("text", *links))).alias("md_sha256"))
 
 
-@query()
+HIDDEN_SQL = "regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs')"
+for hidden in HIDDEN_TAGS:
+    HIDDEN_SQL = rf"regexp_replace({HIDDEN_SQL}, '<{hidden}\b.*?</{hidden}\s*>', ' ', 'gis')"
+
+
+@query(rf"""WITH x AS (SELECT page_id, string_split(regexp_replace({HIDDEN_SQL}, '<(/?(?:{"|".join(BLOCK_TAGS)})\b)', chr(1) || '<\1', 'gi'), chr(1)) AS parts FROM pages),
+r AS (SELECT page_id, unnest(parts) AS raw, unnest(range(len(parts))) AS seq FROM x),
+t AS (SELECT page_id, CAST(seq AS INTEGER) AS seq, lower(regexp_extract(raw, '^<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '[\s\x0b]+', ' ', 'g')) AS md FROM r)
+SELECT page_id, seq, CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN 'heading' WHEN tag = 'li' THEN 'list' WHEN tag IN ('td', 'th') THEN 'table' WHEN tag IN ('caption', 'figcaption') THEN 'caption' ELSE 'paragraph' END AS type, sha256(md) AS md_sha256 FROM t WHERE md <> ''""")
 def html_blocks(spark, d):
     return HtmlReader().read(read(spark, d, "pages")).select("page_id", "seq", "type", sha("markdown").alias("md_sha256"))
 
@@ -304,16 +361,28 @@ def output_conflicts(spark, d):
     return layout.conflicts(s, s.filter("doc_id % 5 = 0")).select("doc_id", "name")
 
 
-@query("""SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS files, CAST(sum(b - a + 1) AS BIGINT) AS pages FROM (SELECT o_orderstatus, o_orderkey % 5 + 1 AS a, o_orderkey % 5 + 1 + o_orderkey % 4 AS b FROM orders) GROUP BY 1""")
+@query("""SELECT o_custkey AS batch, CAST(count(*) AS BIGINT) AS files, CAST(sum(b - a + 1) AS BIGINT) AS pages, count(*) <= 20 AND sum(b - a + 1) <= 100 AND bool_and(a <= b) AS ok FROM (SELECT o_custkey, o_orderkey % 7 + 1 AS a, o_orderkey % 5 + 1 + o_orderkey % 9 AS b FROM orders) GROUP BY 1""")
 def batch_pages(spark, d):
-    o = read(spark, d, "orders")
-    a = F.pmod("o_orderkey", F.lit(5)) + 1
-    o = o.select(F.col("o_orderstatus").alias("status"), a.alias("a"), (a + F.pmod("o_orderkey", F.lit(4))).alias("b"))
-    return o.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("b") - F.col("a") + 1).cast("bigint").alias("pages"))
+    o, m = read(spark, d, "orders"), lambda n: F.pmod("o_orderkey", F.lit(n))
+    o = o.select(F.col("o_custkey").alias("batch"), (m(7) + 1).alias("start"), (m(5) + 1 + m(9)).alias("end"))
+    return layout.batch_limits(o, "batch")
 
 
-@query()
+ZERO = ", ".join(f"'{c}': 0" for c in (*COUNTERS, "calls"))
+
+
+@query(rf"""WITH {BLOCKS_SQL}, b AS (SELECT *, CASE WHEN type IN ({quoted(VISUAL_TYPES)[1:-1]}) THEN 'assets/page-' || page || '-' || id || '.png' END AS asset FROM blocks),
+m AS (SELECT *, {STRIP_SQL.format("markdown")} || CASE WHEN asset IS NOT NULL THEN chr(10) || chr(10) || '![' || type || ' ' || id || '](' || asset || ')' ELSE '' END || CASE WHEN description IS NOT NULL THEN chr(10) || chr(10) || '*Generated description: ' || description || '*' ELSE '' END AS md FROM b),
+p AS (SELECT doc_id, page, list({{'id': id, 'type': type, 'markdown': markdown, 'box': {{'xmin': xmin, 'ymin': ymin, 'xmax': xmax, 'ymax': ymax}}, 'description': description, 'asset': asset}} ORDER BY seq) AS blocks, string_agg(md, chr(10) || chr(10) ORDER BY seq) AS md,
+  CASE WHEN page % 3 = 0 THEN ['look here'] ELSE [] END AS w FROM m GROUP BY doc_id, page),
+d AS (SELECT doc_id, list({{'page': page, 'width': 800, 'height': 600, 'blocks': blocks, 'warnings': w, 'status': CASE WHEN len(w) > 0 THEN 'partial' ELSE 'ok' END, 'usage': {{{ZERO}, 'complete': true}}}} ORDER BY page) AS pages,
+  string_agg(md, chr(10) || chr(10) || '<!-- PAGE BREAK -->' || chr(10) || chr(10) ORDER BY page) AS md, flatten(list(w ORDER BY page)) AS w FROM p GROUP BY doc_id)
+SELECT doc_id, sha256(CAST(to_json({{'version': '1.0', 'model': 'lines', 'source_filename': 'doc-' || doc_id || '.pdf', 'pages': pages, 'markdown': {STRIP_SQL.format("md")} || chr(10), 'warnings': w, 'usage': {{{ZERO}, 'complete': true}}}}) AS VARCHAR)) AS json_sha256 FROM d""")
 def json_export(spark, d):
-    b = layout.name_assets(blocks(spark, d))
-    pages = b.groupBy("doc_id", "page").agg(F.lit(800).alias("width"), F.lit(600).alias("height"), F.lit("ok").alias("status"))
-    return export.json_view(pages, b)
+    b = layout.name_assets(blocks(spark, d)).withColumn("box", F.struct(*BOX))
+    noted = F.when(F.pmod("page", F.lit(3)) == 0, F.array(reread.note("MODEL_NOTE", F.lit("look here")))).otherwise(reread.none(reread.NOTE))
+    none = {c: F.lit(0).cast("bigint") for c in (*COUNTERS, "calls")} | {"complete": F.lit(True)}
+    pages = b.select("doc_id", "page").distinct().withColumns({"width": F.lit(800), "height": F.lit(600), "notes": noted} | none)
+    pages = pages.withColumn("status", usage.page_status(F.lit(False), F.col("notes")))
+    s = read(spark, d, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("filename"))
+    return export.document_view(s, pages, b, "lines").select("doc_id", sha(export.json_text(F.col("view"))).alias("json_sha256"))

@@ -15,11 +15,11 @@ SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff", ".bmp")
 MAX_BYTES = 200 * 1024 * 1024
 MAX_PIXELS = 20_000_000
 COUNTERS = ("input_tokens", "cached_input_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens")
+MAX_REQUESTS = 4
+ROTATIONS = (0, 90, 180, 270)
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 BLOCK = f"struct<id:string,type:string,markdown:string,box:{BOX},description:string,asset:string>"
 ZOOM = f"struct<box:{BOX},reason:string,rotate_degrees:int>"
-PAGE_READ = f"struct<blocks:array<{BLOCK}>,warnings:array<string>,zoom_requests:array<{ZOOM}>>"
-CROP_READ = f"struct<replacement_blocks:array<{BLOCK}>,warnings:array<string>,needs_another_zoom:array<{ZOOM}>>"
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def block_ok(block_id: Column, kind: Column, markdown: Column, box: Column) -> C
 
 
 def zoom_ok(reason: Column, rotate: Column, box: Column) -> Column:
-    ok = F.char_length(reason).between(1, 200) & rotate.isin(0, 90, 180, 270)
+    ok = F.char_length(reason).between(1, 200) & rotate.isin(*ROTATIONS)
     return F.coalesce(ok, F.lit(False)) & box_ok(box["xmin"], box["ymin"], box["xmax"], box["ymax"])
 
 

@@ -9,38 +9,59 @@ from ..functions import text
 from ..schema import SUFFIXES
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """``path, filename, length, content, verdict``; names and sizes are judged without reading content."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def scan(spark: SparkSession, path: str, only: str = "*") -> DataFrame:
+    """Files whose name matches ``only`` (see ``glob``): ``path, filename, length, content, verdict``; names and sizes are judged without reading content."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", only).load(path)
     x = x.withColumn("filename", F.element_at(F.split(F.col("path"), "/"), -1))
     return x.select("path", "filename", "length", "content", text.input_verdict(F.col("filename"), F.col("length")).alias("verdict"))
 
 
 def glob(suffixes: tuple[str, ...] = SUFFIXES) -> str:
-    return "*.{" + ",".join(s[1:] for s in suffixes) + "}"
+    """A name filter for ``scan``; file systems tell case apart, so both cases are listed."""
+    return "*.{" + ",".join(x for s in suffixes for x in (s[1:], s[1:].upper())) + "}"
+
+
+def file_system(folder: str):
+    """The store that a folder lies in and its path there; local paths need no scheme."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def taken(spark: SparkSession, folder: str) -> DataFrame:
+    """``name`` of every file that lies under a folder already."""
+    from pyarrow import fs
+
+    store, root = file_system(folder)
+    found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    return spark.createDataFrame([(f.path[len(root.rstrip("/")) + 1 :],) for f in found if f.type == fs.FileType.File], "name string")
 
 
 def write_outputs(outputs: DataFrame, folder: str, *, overwrite: bool = False) -> None:
-    """Write rows ``name, content`` as files under ``folder``, through Hadoop's file systems.
+    """Write rows ``name, content`` as files under ``folder``, from the executors.
 
     Unless ``overwrite``, nothing is written if any name is taken; overwriting
-    replaces those files alone. Files go by way of a hidden one, so a task that is
-    run again leaves no half-written file.
+    replaces those files alone. Files go by way of a hidden one with a name of its
+    own, so a task that is run again, or twice at once, leaves no half-written file.
+    ``folder`` must be one that all executors reach.
     """
     spark = outputs.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(conf)
-    fs.mkdirs(root)
-    taken = spark.createDataFrame([(s.getPath().getName(),) for s in fs.listStatus(root)], "name string")
-    if not overwrite and (clash := outputs.select("name").join(taken, "name", "left_semi").limit(1).collect()):
+    store, root = file_system(folder)
+    store.create_dir(root, recursive=True)
+    if not overwrite and (clash := outputs.select("name").join(taken(spark, folder), "name", "left_semi").limit(1).collect()):
         raise FileExistsError(clash[0]["name"])
-    for row in outputs.select("name", F.col("content").cast("binary").alias("content")).toLocalIterator():
-        part = jvm.org.apache.hadoop.fs.Path(root, f".{row['name']}.part")
-        stream = fs.create(part, True)
-        stream.write(bytes(row["content"]))
-        stream.close()
-        there = jvm.org.apache.hadoop.fs.Path(root, row["name"])
-        if fs.exists(there):
-            fs.delete(there, False)
-        fs.rename(part, there)
+
+    def write(rows) -> None:
+        import uuid
+
+        store, root = file_system(folder)
+        for row in rows:
+            there = f"{root.rstrip('/')}/{row['name']}"
+            place, _, name = there.rpartition("/")
+            store.create_dir(place, recursive=True)
+            part = f"{place}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as stream:
+                stream.write(bytes(row["content"] or b""))
+            store.move(part, there)
+
+    outputs.select("name", F.col("content").cast("binary").alias("content")).foreachPartition(write)

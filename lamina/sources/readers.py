@@ -28,7 +28,8 @@ class ReplayReader:
         self.recorded = recorded
 
     def read(self, requests: DataFrame) -> DataFrame:
-        return requests.join(self.recorded, ["doc_id", "page", "round", "req", "attempt", "kind"])
+        key = ["doc_id", "page", "round", "req", "attempt", "kind"]
+        return requests.select(*key).join(self.recorded, key)
 
 
 class TextReader:
@@ -43,13 +44,21 @@ class TextReader:
         return x.withColumns({"id": F.concat("type", F.lit("-0")), "xmin": F.lit(0.125), "ymin": top, "xmax": F.lit(0.875), "ymax": top + 0.125, "description": F.when(F.col("type").isin("figure", "chart"), F.concat(F.lit("line "), F.col("pos").cast("string")))})
 
 
+# Elements that begin a block of text, and elements that browsers don't show as content.
+BLOCK_TAGS = "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+HIDDEN_TAGS = "script style nav footer head template".split()
+
+
 class HtmlReader:
-    """Headings, paragraphs and list items of pages, in order, without what browsers don't show as content."""
+    """The text of pages in order, a block at each block element, without what browsers don't show as content."""
 
     def read(self, pages: DataFrame, html: str = "html") -> DataFrame:
-        x = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(script|style|nav|footer|head)\b.*?</\1\s*>", " ")
-        found = F.regexp_extract_all(x, F.lit(r"(?is)<(?:h[1-6]|p|li)\b[^>]*>.*?(?=<(?:/?(?:h[1-6]|p|li|ul|ol|article|body|div))\b|\z)"), F.lit(0))
-        rows = pages.select("page_id", F.posexplode(found).alias("seq", "raw"))
-        tag = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z]+)", 1))
+        x = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?s)<!--.*?-->", "")
+        for tag in HIDDEN_TAGS:
+            x = F.regexp_replace(x, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
+        x = F.regexp_replace(x, rf"(?i)<(/?(?:{'|'.join(BLOCK_TAGS)})\b)", "\x01<$1")
+        rows = pages.select("page_id", F.posexplode(F.split(x, "\x01", -1)).alias("seq", "raw"))
+        tag = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z][a-zA-Z0-9]*)", 1))
         text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"(?s)<[^>]*>", " "), r"\s+", " "))
-        return rows.select("page_id", "seq", F.when(tag.startswith("h"), "heading").when(tag == "li", "list").otherwise("paragraph").alias("type"), text.alias("markdown")).filter(F.col("markdown") != "")
+        kind = F.when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "list").when(tag.isin("td", "th"), "table").when(tag.isin("caption", "figcaption"), "caption").otherwise("paragraph")
+        return rows.select("page_id", "seq", kind.alias("type"), text.alias("markdown")).filter(F.col("markdown") != "")
