@@ -7,17 +7,22 @@ and every run that reads as a spelt-out address or an account number, however ma
 atoms it has, is a candidate segment of every type, scored by features of the whole span (digit
 count, checksum, grouping, words before it, what it touches). The field is trained
 by likelihood on generated lines, and the best segmentation, found by dynamic
-programming over segments of bounded length, sets boundaries and types together.
+programming over segments of bounded length, sets boundaries and types together. The
+programming runs over an island's atoms in a stream: features are made for ``STREAM``
+first atoms at a time, so memory doesn't grow with them, only 40 bytes an atom do.
 
-Edge cases: null and empty texts have no spans; texts are scanned whole; repeated
-rows give repeated results; an empty table gives an empty result; other columns
-aren't read.
+Edge cases: null and empty texts have no spans; texts of any length are scanned
+whole; repeated rows and null ids keep their rows; an empty table gives an empty
+result; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from array import array
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +33,7 @@ from .common import Sent, map_batches, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
 BOUND = 14
+STREAM = 512
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
@@ -126,54 +132,73 @@ def spans_of(pattern: re.Pattern, text: str, start: int, end: int) -> list[tuple
 
 
 class Island:
-    """Atoms of a stretch of text and its candidate segments with their features."""
+    """Atoms of a stretch of text and its candidate segments."""
 
     def __init__(self, text: str, start: int, end: int):
-        self.cuts = [start + m.start() for m in ATOM.finditer(text[start:end])] + [end]
-        n = len(self.cuts) - 1
-        self.n, self.segments, rows = n, [], []
+        self.text = text
+        self.cuts = array("q", (m.start() for m in ATOM.finditer(text, start, end)))
+        self.cuts.append(end)
+        self.n = len(self.cuts) - 1
         # spans longer than BOUND that the candidate patterns match, by their first atom
-        where, long = {c: k for k, c in enumerate(self.cuts)}, {}
+        self.long: dict[int, set[int]] = {}
         for p in (SPOKEN, IBAN):
             for a, b in spans_of(p, text, start, end):
-                if a in where and b in where and where[b] - where[a] > BOUND:
-                    long.setdefault(where[a], set()).add(where[b])
-        for i in range(n):
-            if text[self.cuts[i]].isspace():
+                i, j = bisect_left(self.cuts, a), bisect_left(self.cuts, b)
+                if j - i > BOUND and self.cuts[i] == a and self.cuts[j] == b:
+                    self.long.setdefault(i, set()).add(j)
+
+    def segments(self, low: int, high: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Candidate segments that start at atoms ``low`` to ``high``, in order, with their features."""
+        text, cuts, found, rows = self.text, self.cuts, [], []
+        for i in range(low, min(high, self.n)):
+            a = cuts[i]
+            if text[a].isspace():
                 continue
-            for j in [*range(i + 1, min(n, i + BOUND) + 1), *sorted(long.get(i, ()))]:
-                a, b = self.cuts[i], self.cuts[j]
+            for j in [*range(i + 1, min(self.n, i + BOUND) + 1), *sorted(self.long.get(i, ()))]:
+                b = cuts[j]
                 if text[b - 1].isspace():
                     continue
                 s = text[a:b]
                 if sum("0" <= c <= "9" for c in s) >= 7 or "at" in s.lower() or "@" in s:
-                    self.segments.append((i, j))
+                    found.append((i, j))
                     rows.append(features(text, a, b))
-        self.x = np.array(rows).reshape(-1, N_FEATURES)
+        return found, np.array(rows).reshape(-1, N_FEATURES)
 
-    def best(self, w: np.ndarray) -> list[tuple[int, int, int]]:
+    def best(self, w: np.ndarray, stream: int = STREAM) -> list[tuple[int, int, int]]:
         """The best segmentation: (start, end, type) of its entities; atoms outside score 0."""
-        scores = self.x @ w
-        top, kind = scores.max(axis=1) if len(scores) else [], scores.argmax(axis=1) if len(scores) else []
-        ends: dict[int, list[int]] = {}
-        for k, (_, j) in enumerate(self.segments):
-            ends.setdefault(j, []).append(k)
-        value, back = [0.0] * (self.n + 1), [-1] * (self.n + 1)
-        for j in range(1, self.n + 1):
-            value[j] = value[j - 1]
-            for k in ends.get(j, ()):
-                if (v := value[self.segments[k][0]] + top[k]) > value[j]:
-                    value[j], back[j] = v, k
-        out, j = [], self.n
+        n = self.n
+        value, back, kinds = array("d", [0.0]) + array("d", [-np.inf]) * n, array("q", [-1]) * (n + 1), array("b", [0]) * (n + 1)
+        for low in range(0, n, stream):
+            found, x = self.segments(low, low + stream)
+            scores = x @ w if found else np.zeros((0, len(KINDS)))
+            top, kind, k = scores.max(axis=1, initial=-np.inf).tolist(), scores.argmax(axis=1).tolist(), 0
+            for i in range(low, min(low + stream, n)):
+                if i and value[i - 1] >= value[i]:
+                    value[i], back[i] = value[i - 1], -1
+                while k < len(found) and found[k][0] == i:
+                    j = found[k][1]
+                    if (v := value[i] + top[k]) > value[j]:
+                        value[j], back[j], kinds[j] = v, i, kind[k]
+                    k += 1
+        out, j = [], n
+        if n and value[n - 1] >= value[n]:
+            back[n] = -1
         while j > 0:
             if back[j] < 0:
                 j -= 1
             else:
-                i = self.segments[back[j]][0]
-                out.append((self.cuts[i], self.cuts[j], int(kind[back[j]])))
-                j = i
+                out.append((self.cuts[back[j]], self.cuts[j], kinds[j]))
+                j = back[j]
         return out[::-1]
 
+
+class Taught:
+    """An island with all its segments, for training."""
+
+    def __init__(self, island: Island):
+        self.n, self.cuts = island.n, island.cuts
+        self.segments, self.x = island.segments(0, island.n)
+
     def gradient(self, w: np.ndarray, gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, float]:
         """Of the log-likelihood of the gold entities, by forward and backward sums over segments."""
         scores = self.x @ w
@@ -270,7 +295,7 @@ def train(rounds: int = 60) -> np.ndarray:
             a = text.index(value)
             at[(a, a + len(value))] = KINDS.index(kind)
         for a, b in islands(text):
-            x = Island(text, a, b)
+            x = Taught(Island(text, a, b))
             if x.segments:
                 where = {c: k for k, c in enumerate(x.cuts)}
                 data.append((x, {(where[s], where[e]): k for (s, e), k in at.items() if s in where and e in where and (where[s], where[e]) in set(x.segments)}))
@@ -288,12 +313,15 @@ def scan(text: str | None, w: np.ndarray) -> list[tuple[int, int, str]]:
         return []
     base = base_spans(text)
     out = list(base)
-    busy = sorted((a, b) for a, b, _ in base)
+    # by start, with the furthest end of the spans so far
+    starts = sorted(a for a, _, _ in base)
+    reach = list(accumulate((b for _, b, _ in sorted(base)), max))
+    upto = lambda at: reach[at - 1] if at else -1
     for a, b in islands(text):
-        if any(x <= a and b <= y for x, y in busy):
+        if upto(bisect_right(starts, a)) >= b:
             continue
         for s, e, k in Island(text, a, b).best(w):
-            if not any(s < y and x < e for x, y in busy):
+            if upto(bisect_left(starts, e)) <= s:
                 out.append((s, e, KINDS[k]))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 

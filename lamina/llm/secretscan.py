@@ -2,15 +2,17 @@
 
 Base kinds are plain patterns (assigned passwords and tokens, access-key ids,
 long hex runs). The method adds what it can confirm by decoding: runs of base64
-or hex are decoded and reported only if the bytes parse as key material — a DER
-structure whose nested lengths add up, an OpenSSH key blob — or, for three dotted
-segments, if the first decodes to a signed-token header. PEM private-key blocks
-are confirmed the same way. Base64 wrapped over lines, by line ends or by the
-escapes of JSON strings, is joined before it is decoded.
-
-Edge cases: null and empty texts have no spans; texts are scanned whole; repeated
-rows give repeated results; an empty table gives an empty result; other columns
-aren't read.
+or hex are decoded and reported only if the bytes parse as private key material (DER
+whose nested lengths add up and whose fields are those of a private key or a key
+store, an OpenSSH private key; public keys and certificates are no secrets) or, for
+dotted segments, if the first decodes to the header of a signed token (three of them)
+or of an encrypted one (five). PEM private-key blocks are confirmed the same way.
+Base64 wrapped over lines, by line ends or by the escapes of JSON strings, is joined
+before it is decoded.
+
+Edge cases: null and empty texts have no spans; texts of any length are scanned
+whole; repeated rows and null ids keep their rows; an empty table gives an empty
+result; other columns, whatever their names, aren't read; the stage keeps them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, table
 
-KINDS = ("assign", "access", "hex", "der", "openssh", "jwt", "pem")
+KINDS = ("assign", "access", "hex", "der", "openssh", "jwt", "jwe", "pem")
 BASE = KINDS[:3]
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -36,13 +38,13 @@ WORDS = ("passw", "secret", "token", "api")
 LONG = 24
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{2}){24,}(?![0-9A-Fa-f])|(?<![0-9A-Fa-f])(?:[0-9A-F]{2}){24,}(?![0-9A-Fa-f])")
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-]|\.[A-Za-z0-9_-])")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]*){2,}")
 #: What isn't base64 in wrapped base64: white space, its escapes in JSON strings, backslashes before a slash.
 BREAK = re.compile(r"\s|\\+[nrt]|\\+(?=/)")
 PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=]|{BREAK.pattern}){{16,}})-----END \1-----")
 LINE = rf"(?:[A-Za-z0-9+/_-]|\\+(?=/))++"
-#: Where base64 begins as a DER sequence or an OpenSSH blob does; its first line, and those that follow.
-BEGINS = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))(?=M[A-P]|AAAA|b3Bl)")
+#: Where base64 begins as a DER sequence or an OpenSSH private key does; its first line, and those that follow.
+BEGINS = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))(?=M[A-P]|b3Bl)")
 FIRST = re.compile(rf"({LINE})")
 NEXT = re.compile(rf"[ \t]*+(?:\r?\n|(?:\\+r)?\\+n)[ \t]*+({LINE})")
 
@@ -84,23 +86,51 @@ def der_end(data: bytes, at: int, depth: int = 0) -> int:
     return end
 
 
+def der_parts(data: bytes) -> list[tuple[int, bytes]]:
+    """Tags and contents of the values in a DER sequence whose lengths are known to be right."""
+
+    def value(at: int) -> tuple[int, int, int]:
+        n, start = data[at + 1], at + 2
+        if n >= 0x80:
+            n, start = int.from_bytes(data[start : start + (n & 0x7F)], "big"), start + (n & 0x7F)
+        return data[at], start, start + n
+
+    _, at, end = value(0)
+    out = []
+    while at < end:
+        tag, start, at = value(at)
+        out.append((tag, data[start:at]))
+    return out
+
+
+# DER tags.
+INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
 def is_key_der(data: bytes) -> bool:
-    """A sequence that fills the bytes and holds an integer, a string or a sequence of its own."""
-    return len(data) >= 16 and data[0] == 0x30 and der_end(data, 0) == len(data) and data[2 + (data[1] & 0x7F if data[1] >= 0x80 else 0)] in (0x02, 0x30, 0x04)
+    """A private key or a key store in DER that fills the bytes.
+
+    RSA and DSA: a small version and five integers or more; EC: version and octets;
+    PKCS #8: version, algorithm and octets; encrypted: algorithm and octets; PKCS #12:
+    version 3 and content that an object identifier names.
+    """
+    if len(data) < 16 or data[0] != SEQUENCE or der_end(data, 0) != len(data):
+        return False
+    got = der_parts(data)
+    tags = [t for t, _ in got]
+    names = [t == SEQUENCE and v[:1] == bytes([OBJECT]) for t, v in got]
+    version = got[0][1][0] if tags[0] == INTEGER and len(got[0][1]) == 1 else -1
+    if version < 0:
+        return len(got) == 2 and names[0] and tags[1] == OCTETS and len(got[1][1]) >= 16
+    if len(got) >= 6 and all(t == INTEGER for t in tags[:6]):
+        return version <= 1
+    if tags[1:2] == [OCTETS]:
+        return version <= 1 and len(got[1][1]) >= 16
+    return len(got) >= 2 and names[1] and (version <= 1 and tags[2:3] == [OCTETS] or version == 3)
 
 
 def is_openssh(data: bytes) -> bool:
-    """The private-key magic, or a public blob: length-prefixed fields that fill the bytes."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + n
-        if at > len(data):
-            return False
-        fields.append(data[at - n : at])
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+\Z", fields[0]) is not None
+    return data.startswith(b"openssh-key-v1\0")
 
 
 def structure(data: bytes) -> str | None:
@@ -111,7 +141,7 @@ def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
     """Key material in base64 that runs over lines: the lines that make up the length it tells."""
     spans = []
     for m in BEGINS.finditer(text):
-        at, want, total, lines, blob = m.start(), 0, 0, [], text.startswith("AAAA", m.start())
+        at, want, total, lines = m.start(), 0, 0, []
         line = FIRST.match(text, at)
         while line:
             lines.append(BREAK.sub("", line[1]))
@@ -126,7 +156,7 @@ def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
             if want and (total > want or want > len(text) - at):
                 break
             after, last = NEXT.match(text, line.end()), len(lines[-1]) != len(lines[0])
-            if total == want or not want and (last or not after or blob):
+            if total == want or not want and (last or not after):
                 if kind := structure(decoded("".join(lines))):
                     end = line.end()
                     while end < min(len(text), line.end() + 2) and text[end] == "=":
@@ -137,13 +167,28 @@ def wrapped_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
-def is_token(header: str, body: str) -> bool:
-    """A JSON header that names an algorithm, before a JSON body."""
+def as_json(segment: str):
     try:
-        head, claims = json.loads(decoded(header)), json.loads(decoded(body))
+        return json.loads(decoded(segment))
     except (ValueError, UnicodeDecodeError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(claims, dict)
+        return None
+
+
+def token(dotted: str) -> tuple[str, int] | None:
+    """Kind and length of the token that dotted segments begin with, full stops after it aside.
+
+    By a JSON header that names its algorithm: three segments, the second a JSON body
+    and the third perhaps empty, are a signed token; five are an encrypted one.
+    """
+    core = dotted.rstrip(".")
+    parts = core.split(".")
+    head = as_json(parts[0])
+    if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
+        return None
+    if len(parts) == 3 or len(parts) == 2 and len(core) < len(dotted):
+        return ("jwt", len(core) + (len(parts) == 2)) if len(parts[1]) > 1 and isinstance(as_json(parts[1]), dict) else None
+    # key (empty if it was agreed on), vector, text and tag
+    return ("jwe", len(core)) if len(parts) == 5 and isinstance(head.get("enc"), str) and all(parts[2:]) else None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -164,7 +209,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     spans += wrapped_spans(text)
     if not any(len(w) >= LONG for w in text.split()):
         return spans
-    spans += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[1], m[2])]
+    spans += [(m.start(), m.start() + got[1], got[0]) for m in DOTTED.finditer(text) if (got := token(m[0]))]
     for m in RUN.finditer(text):
         if kind := structure(decoded(m[0])):
             spans.append((m.start(), m.end(), kind))

@@ -282,17 +282,39 @@ def test_secret_base_spans():
 def test_secret_structures():
     der = bytes([0x30, 0x1A, 0x02, 0x01, 0x00, 0x04, 0x15]) + bytes(range(21))
     jwt = ".".join(urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": "1"})) + ".c2lnbmF0dXJl"
-    ssh = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-ed25519", bytes(32)))
+    ssh = b"openssh-key-v1\0" + bytes(range(40))
     text = f"é {b64encode(der).decode()} and {der.hex()} and {jwt} and {b64encode(ssh).decode()} and {b64encode(bytes(30)).decode()} end"
     spans = secretscan.scan(text)
     kinds = Counter(k for _, _, k in spans)
     assert kinds["der"] == 2 and kinds["jwt"] == 1 and kinds["openssh"] == 1
     assert not secretscan.is_key_der(der[:-1]) and not secretscan.is_key_der(bytes([0x30, 0x19]) + der[2:])
+    seq = lambda *x, tag=0x30: bytes([tag, 0x82, *len(b"".join(x)).to_bytes(2, "big")]) + b"".join(x) if len(b"".join(x)) > 255 else bytes([tag, 0x81, len(b"".join(x))]) + b"".join(x) if len(b"".join(x)) > 127 else bytes([tag, len(b"".join(x))]) + b"".join(x)
+    num, octets, oid = lambda v, n=1: seq(v.to_bytes(n, "big"), tag=2), lambda n: seq(bytes(n), tag=4), seq(bytes([42, 134, 72]), tag=6)
+    keys = (seq(num(0), *[num(77, 64)] * 8), seq(num(0), *[num(77, 20)] * 5), seq(num(1), octets(32)), seq(num(0), seq(oid), octets(40)), seq(seq(oid, octets(8)), octets(48)), seq(num(3), seq(oid, octets(30))))
+    public = (seq(num(77, 64), num(3)), seq(seq(oid), seq(bytes(40), tag=3)), seq(seq(num(1), seq(oid)), seq(oid), seq(bytes(40), tag=3)), seq(octets(20), octets(20)))
+    assert all(map(secretscan.is_key_der, keys)) and not any(map(secretscan.is_key_der, public))
+    blob = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-ed25519", bytes(32)))
+    assert secretscan.scan("ssh-ed25519 " + b64encode(blob).decode()) == []
+    part = lambda x: urlsafe_b64encode(x).decode().rstrip("=")
+    for middle in (b"", bytes(range(40))):
+        jwe = ".".join(map(part, (b'{"alg":"dir","enc":"A256GCM"}', middle, bytes(12), b"hidden text", bytes(16))))
+        assert [k for *_, k in secretscan.scan(f"x {jwe}.")] == ["jwe"] and secretscan.scan(f"{jwe}.x") == []
     clean = secretscan.redact(text)
     assert jwt not in clean and clean.startswith("é [SECRET:") and clean.endswith(" end")
     assert secretscan.scan(None) == secretscan.scan("") == []
 
 
+def test_secrets_of_odd_rows(spark, odd, none):
+    rows = {r.doc_id: r.spans for r in secretscan.find_secrets(odd).collect()}
+    assert secretscan.find_secrets(odd).count() == len(ODD) and not any(rows.values())
+    assert secretscan.find_secrets(none).count() == 0
+    kept = secretscan.stage(spark, odd.withColumn("text", F.concat("text", F.lit(" password=abcdefgh"))), "")
+    got = kept.collect()
+    assert kept.columns == odd.columns and len(got) == len(ODD)
+    assert all((r.text is None) == (r.n_chars is None) and (r.text is None or r.text.endswith(" [SECRET:assign]") and r.n_chars == len(r.text)) for r in got)
+    assert secretscan.stage(spark, none, "").count() == 0
+
+
 # near-duplicates
 
 
@@ -389,6 +411,43 @@ def test_pii_field_on_fresh_lines():
     assert pii.scan(None, w) == pii.scan("", w) == []
 
 
+def test_the_best_segmentation_against_all(spark):
+    """Streams of any size against every segmentation of short islands."""
+    w, r = pii.train(), random.Random(6)
+    bits = ["555", "1234", "12", " ", " ", "-", "at", "@", "a.b", "(", "+", "4111 1111 1111 1111", "x"]
+    for _ in range(150):
+        text = "".join(r.choice(bits) for _ in range(r.randint(2, 9)))
+        island = pii.Island(text, 0, len(text))
+        found, x = island.segments(0, island.n)
+        top = dict(zip(found, (x @ w).max(axis=1).tolist(), strict=True)) if found else {}
+
+        def total(i):
+            if i >= island.n:  # noqa: B023
+                return 0.0
+            return max([total(i + 1), *(v + total(j) for (a, j), v in top.items() if a == i)])  # noqa: B023
+
+        got = [island.best(w, k) for k in (1, 2, 512)]
+        assert got[0] == got[1] == got[2]
+        cuts = list(island.cuts)
+        assert abs(sum(top[(cuts.index(a), cuts.index(b))] for a, b, _ in got[0]) - total(0)) < 1e-9, text
+
+
+def test_personal_data_of_odd_rows(spark, odd, none):
+    got = pii.find_pii(odd).collect()
+    assert len(got) == len(ODD) and pii.find_pii(none).count() == 0
+    assert all(not r.spans for r in got if r.doc_id in (2, 3, 6, 7))
+
+
+def test_personal_data_in_a_long_island_takes_bounded_memory():
+    import tracemalloc
+
+    w, text = pii.train(), "12 " * 20_000
+    tracemalloc.start()
+    pii.scan(text, w)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 # mixing
 
 
