@@ -92,7 +92,7 @@ def utf32(text: str):
 class Memo(dict):
     """A dict that computes what it lacks and empties itself before it outgrows memory."""
 
-    def __init__(self, compute: Callable, most: int = 400_000):
+    def __init__(self, compute: Callable, most: int = 100_000):
         super().__init__()
         self.compute, self.most = compute, most
 

@@ -16,7 +16,7 @@ with asterisks also with all vowels in one class; tokens with one are all decode
 Scoring: words, and beginnings and ends by what they tell besides the word that has
 them most often, get the lower confidence bound of their log-odds between toxic and clean labelled documents, if a Chernoff bound on
 their counts says that so uneven a split is rarer by chance than one in the number
-of parts. A text's features are its two highest stretches and how many stand out,
+of parts that toxic documents have, and the score is at least ``LEAST_SCORE``. A text's features are its two highest stretches and how many stand out,
 weighed by a logistic regression that is fitted on scores which each of ``TURNS``
 parts of the sample gets from what the others taught.
 
@@ -50,6 +50,8 @@ LEAST_TOXIC = 4000
 MOST_CLEAN = 8000
 #: Deviations of the log-odds that a score lies below its estimate.
 DEVIATIONS = 1.64
+#: Log-odds that a part must have at least, by the lower bound; words that just one language has more of lie below.
+LEAST_SCORE = 1.0
 #: Parts of the sample, each scored by what the others taught.
 TURNS = 5
 
@@ -305,7 +307,7 @@ class Scorer:
     def stretches(self, texts: list[str]) -> list[set[str]]:
         """For each text its lower-case stretches in which some path of the lattice spells a feature."""
         if self.find is None:
-            self.memo = Memo(self.stretch, 200_000)
+            self.memo = Memo(self.stretch, 100_000)
             f = folds()
             self.find = {k: automaton(self.features, f[k]) for k in ("letters", "vowels")}
         out: list[set[str]] = [set() for _ in texts]
@@ -404,7 +406,7 @@ def word_counts(sample: DataFrame, model: Sent) -> DataFrame:
     """``word`` with its documents by turn and label; summed in each task first."""
 
     def make():
-        restored, held = Memo(lambda t: restored_words(t, model.value), 200_000), Counter()
+        restored, held = Memo(lambda t: restored_words(t, model.value), 50_000), Counter()
 
         def rows() -> dict:
             words = sorted({w for _, w in held})
@@ -415,7 +417,7 @@ def word_counts(sample: DataFrame, model: Sent) -> DataFrame:
         def run(x: dict) -> dict | None:
             for t, y, text in zip(x["turn"], x["toxic"], x["text"], strict=True):
                 held.update((f"c{t}{y}", w) for w in bag(text or "", restored))
-            return rows() if len(held) > 500_000 else None
+            return rows() if len(held) > 150_000 else None
 
         run.finish = rows
         return run
@@ -427,29 +429,36 @@ def word_counts(sample: DataFrame, model: Sent) -> DataFrame:
 def word_scores(words: DataFrame) -> list[dict[str, float]]:
     """Scores of the parts that stand out: for each turn as the others teach, then as all teach.
 
-    Only parts that pass the bound, see the module, come to the driver.
+    A part that is too rare among toxic documents to pass the bound even if no clean
+    one had it is left out before clean words are cut into parts; parts that pass
+    are all that comes to the driver.
     """
     words = materialise(words, "toxic-words")
     taught = [[t for t in range(TURNS) if t != k] for k in range(TURNS + 1)]
-    sums = [sum((F.col(f"c{t}{y}") for t in taught[k]), F.lit(0)).alias(f"n{k}{y}") for k in range(TURNS + 1) for y in (0, 1)]
     names = [f"n{k}{y}" for k in range(TURNS + 1) for y in (0, 1)]
-    some = words.select("word", *sums).select(F.explode(parts_of(F.col("word"))).alias("part"), F.struct(F.col(f"n{TURNS}1").alias("up"), *names, "word").alias("x")).groupBy("part")
+    sums = [sum((F.col(f"c{t}{y}") for t in taught[k]), F.lit(0)).alias(f"n{k}{y}") for k in range(TURNS + 1) for y in (0, 1)]
+    words = words.select("word", *sums)
+    total = words.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+    # share of toxic documents' words, and the log-odds that it brings
+    p0 = [(total[f"n{k}1"] + 0.5) / (total[f"n{k}0"] + total[f"n{k}1"] + 1) for k in range(TURNS + 1)]
+    shift = [float(np.log((total[f"n{k}0"] + 1) / (total[f"n{k}1"] + 1))) for k in range(TURNS + 1)]
+    cut = words.select(F.explode(parts_of(F.col("word"))).alias("part"), *[F.col(n) for n in names], "word")
+    up = materialise(cut.filter(F.col(f"n{TURNS}1") > 0).groupBy("part").agg(F.sum(f"n{TURNS}1").alias("up")), "toxic-up")
+    bound = float(np.log(max(2, up.count())))
+    enough = materialise(up.filter(F.col("up") > bound / -np.log(min(p0))).select("part"), "toxic-enough")
+    some = cut.join(enough, "part").select("part", F.struct(F.col(f"n{TURNS}1").alias("up"), *names, "word").alias("x")).groupBy("part")
     some = some.agg(F.max("x").alias("top"), *[F.sum(f"x.{n}").alias(n) for n in names])
     # what a beginning or an end tells of other words than the one that has it most often
     whole = F.col("part") == F.concat(F.lit("^"), F.col("top.word"), F.lit("$"))
     some = materialise(some.select("part", *[(F.col(n) - F.when(whole, 0).otherwise(F.col("top")[n])).alias(n) for n in names]), "toxic-parts")
-    total = words.select(*sums).agg(*[F.coalesce(F.sum(f"n{k}{y}"), F.lit(0)).alias(f"n{k}{y}") for k in range(TURNS + 1) for y in (0, 1)]).first()
-    seen = some.agg(*[F.count_if(F.col(f"n{k}0") + F.col(f"n{k}1") > 0).alias(f"n{k}") for k in range(TURNS + 1)]).first()
     found = []
     for k in range(TURNS + 1):
-        neg, pos = total[f"n{k}0"], total[f"n{k}1"]
-        p0, shift = (pos + 0.5) / (pos + neg + 1), float(np.log((neg + 1) / (pos + 1)))
         x = some.filter(F.col(f"n{k}1") > 0).select("part", F.col(f"n{k}0").alias("down"), F.col(f"n{k}1").alias("up"))
-        x = x.withColumn("share", F.col("up") / (F.col("up") + F.col("down"))).filter(F.col("share") > p0)
+        x = x.withColumn("share", F.col("up") / (F.col("up") + F.col("down"))).filter(F.col("share") > p0[k])
         # Chernoff: so uneven a split has at most exp(-n KL) chance
-        uneven = F.col("up") * F.log(F.col("share") / p0) + F.when(F.col("down") > 0, F.col("down") * F.log((1 - F.col("share")) / (1 - p0))).otherwise(0.0)
-        score = F.log((F.col("up") + 0.5) / (F.col("down") + 0.5)) + shift - DEVIATIONS * F.sqrt(1 / (F.col("up") + 0.5) + 1 / (F.col("down") + 0.5))
-        found.append(x.filter(uneven > float(np.log(max(2, seen[f"n{k}"])))).select(F.lit(k).alias("k"), "part", score.alias("score")).filter("score > 0"))
+        uneven = F.col("up") * F.log(F.col("share") / p0[k]) + F.when(F.col("down") > 0, F.col("down") * F.log((1 - F.col("share")) / (1 - p0[k]))).otherwise(0.0)
+        score = F.log((F.col("up") + 0.5) / (F.col("down") + 0.5)) + shift[k] - DEVIATIONS * F.sqrt(1 / (F.col("up") + 0.5) + 1 / (F.col("down") + 0.5))
+        found.append(x.filter(uneven > bound).select(F.lit(k).alias("k"), "part", score.alias("score")).filter(F.col("score") >= LEAST_SCORE))
     out: list[dict[str, float]] = [{} for _ in found]
     for r in reduce(DataFrame.unionByName, found).collect():
         out[r["k"]][r["part"]] = r["score"]
