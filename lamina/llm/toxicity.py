@@ -16,7 +16,7 @@ with asterisks also with all vowels in one class; tokens with one are all decode
 Scoring: words, and beginnings and ends by what they tell besides the word that has
 them most often, get the lower confidence bound of their log-odds between toxic and clean labelled documents, if a Chernoff bound on
 their counts says that so uneven a split is rarer by chance than one in the number
-of parts that toxic documents have, and the score is at least ``LEAST_SCORE``. A text's features are its two highest stretches and how many stand out,
+of words that toxic documents have, and the score is at least ``LEAST_SCORE``. A text's features are its two highest stretches and how many stand out,
 weighed by a logistic regression that is fitted on scores which each of ``TURNS``
 parts of the sample gets from what the others taught.
 
@@ -37,7 +37,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,23 +205,15 @@ def restored_words(stretch: str, model: CharModel) -> list[str]:
     return LETTERS.findall(model.restore(core))
 
 
-def parts(word: str) -> list[str]:
-    """Features of a word: itself, its beginnings and its ends."""
+def beginnings(word: str) -> list[str]:
+    """A word itself, between signs for its ends, and its beginnings."""
     w = f"^{word}$"
-    n = len(w)
-    out = {w}
-    for k in range(5, min(n, 10)):
-        out.add(w[:k])
-        out.add(w[-k:])
-    return list(out)
+    return [w, *(w[:k] for k in range(5, min(len(w), 10)))]
 
 
-def parts_of(word: Column) -> Column:
-    """``parts`` as an expression."""
-    w = F.concat(F.lit("^"), word, F.lit("$"))
-    n = F.char_length(w)
-    some = F.when(n > 5, F.sequence(F.lit(5), F.least(n, F.lit(10)) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(F.array(w), F.transform(some, lambda k: F.left(w, k)), F.transform(some, lambda k: F.right(w, k))))
+def endings(word: str) -> list[str]:
+    w = f"^{word}$"
+    return [w[-k:] for k in range(5, min(len(w), 10))]
 
 
 @cache
@@ -298,7 +290,7 @@ class Scorer:
 
     def word(self, word: str, whole: bool = False) -> float:
         """A word's score; ``whole``: by itself and its beginnings alone."""
-        return max([0.0, *(self.features.get(f, 0.0) for f in parts(word) if f[0] == "^" or not whole)])
+        return max([0.0, *(self.features.get(f, 0.0) for f in (beginnings(word) if whole else [*beginnings(word), *endings(word)]))])
 
     def stretch(self, stretch: str) -> float:
         # a number at a word's end can read as many endings, so restored words are held to more
@@ -403,7 +395,7 @@ def cells() -> list[str]:
 
 
 def word_counts(sample: DataFrame, model: Sent) -> DataFrame:
-    """``word`` with its documents by turn and label; summed in each task first."""
+    """``word`` with its documents by turn and label, perhaps in several rows: each task sums what it has."""
 
     def make():
         restored, held = Memo(lambda t: restored_words(t, model.value), 50_000), Counter()
@@ -422,45 +414,92 @@ def word_counts(sample: DataFrame, model: Sent) -> DataFrame:
         run.finish = rows
         return run
 
-    got = map_batches(sample.select("turn", "toxic", "text"), make, "word string, " + ", ".join(f"{c} long" for c in cells()))
-    return got.groupBy("word").agg(*[F.sum(c).alias(c) for c in cells()])
+    return map_batches(sample.select("turn", "toxic", "text"), make, "word string, " + ", ".join(f"{c} long" for c in cells()))
+
+
+class Judge:
+    """The bound and the scores of parts, from the words that documents of each turn and label have in all."""
+
+    def __init__(self, total: dict[str, int], toxic_words: int):
+        self.clean, self.toxic = (np.array([total[f"c{t}{y}"] for t in range(TURNS)], dtype=float) for y in (0, 1))
+        self.bound = float(np.log(max(2, toxic_words)))
+        self.clean, self.toxic = (np.append(v.sum() - v, v.sum()) for v in (self.clean, self.toxic))
+        #: The toxic documents' share of words, as the other turns, and at last as all turns, have it.
+        self.share = (self.toxic + 0.5) / (self.clean + self.toxic + 1)
+        self.shift = np.log((self.clean + 1) / (self.toxic + 1))
+        #: What a part needs to pass the bound even if no clean document has it.
+        self.least = self.bound / -np.log(self.share.min())
+
+    def scores(self, counts: np.ndarray) -> np.ndarray:
+        """Of counts by turn and label, the score for each turn as the others teach, and as all teach; NaN below the bound."""
+        down, up = (np.append(v.sum() - v, v.sum()).astype(float) for v in (counts[0::2], counts[1::2]))
+        with np.errstate(all="ignore"):
+            share = up / (up + down)
+            # Chernoff: so uneven a split has at most exp(-n KL) chance
+            uneven = up * np.log(share / self.share) + np.where(down > 0, down * np.log((1 - share) / (1 - self.share)), 0.0)
+            score = np.log((up + 0.5) / (down + 0.5)) + self.shift - DEVIATIONS * np.sqrt(1 / (up + 0.5) + 1 / (down + 0.5))
+            return np.where((share > self.share) & (uneven > self.bound) & (score >= LEAST_SCORE), score, np.nan)
+
+    def group(self, words: dict[str, np.ndarray], parts) -> list[tuple[int, str, float]]:
+        """``(turn, part, score)`` of the parts of words, which hold all the words that have them."""
+        up: Counter = Counter()
+        for w, n in words.items():
+            if toxic := int(n[1::2].sum()):
+                for p in parts(w):
+                    up[p] += toxic
+        sums = {p: np.zeros(2 * TURNS, dtype=np.int64) for p, n in up.items() if n > self.least}
+        if not sums:
+            return []
+        top: dict[str, tuple] = {}
+        for w, n in words.items():
+            for p in parts(w):
+                if p in sums:
+                    sums[p] += n
+                    top[p] = max(top.get(p, (-1, "")), (int(n[1::2].sum()), w))
+        out = []
+        for p, n in sums.items():
+            # what a beginning or an end tells of other words than the one that has it most often
+            score = self.scores(n if p[0] == "^" and p[-1] == "$" else n - words[top[p][1]])
+            out += [(k, p, float(v)) for k, v in enumerate(score) if not np.isnan(v)]
+        return out
 
 
 def word_scores(words: DataFrame) -> list[dict[str, float]]:
     """Scores of the parts that stand out: for each turn as the others teach, then as all teach.
 
-    A part that is too rare among toxic documents to pass the bound even if no clean
-    one had it is left out before clean words are cut into parts; parts that pass
-    are all that comes to the driver.
+    Words meet twice, by their first and by their last four letters, which all their
+    beginnings and ends share; only parts that pass come to the driver.
     """
     words = materialise(words, "toxic-words")
-    taught = [[t for t in range(TURNS) if t != k] for k in range(TURNS + 1)]
-    names = [f"n{k}{y}" for k in range(TURNS + 1) for y in (0, 1)]
-    sums = [sum((F.col(f"c{t}{y}") for t in taught[k]), F.lit(0)).alias(f"n{k}{y}") for k in range(TURNS + 1) for y in (0, 1)]
-    words = words.select("word", *sums)
-    total = words.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    # share of toxic documents' words, and the log-odds that it brings
-    p0 = [(total[f"n{k}1"] + 0.5) / (total[f"n{k}0"] + total[f"n{k}1"] + 1) for k in range(TURNS + 1)]
-    shift = [float(np.log((total[f"n{k}0"] + 1) / (total[f"n{k}1"] + 1))) for k in range(TURNS + 1)]
-    cut = words.select(F.explode(parts_of(F.col("word"))).alias("part"), *[F.col(n) for n in names], "word")
-    up = materialise(cut.filter(F.col(f"n{TURNS}1") > 0).groupBy("part").agg(F.sum(f"n{TURNS}1").alias("up")), "toxic-up")
-    bound = float(np.log(max(2, up.count())))
-    enough = materialise(up.filter(F.col("up") > bound / -np.log(min(p0))).select("part"), "toxic-enough")
-    some = cut.join(enough, "part").select("part", F.struct(F.col(f"n{TURNS}1").alias("up"), *names, "word").alias("x")).groupBy("part")
-    some = some.agg(F.max("x").alias("top"), *[F.sum(f"x.{n}").alias(n) for n in names])
-    # what a beginning or an end tells of other words than the one that has it most often
-    whole = F.col("part") == F.concat(F.lit("^"), F.col("top.word"), F.lit("$"))
-    some = materialise(some.select("part", *[(F.col(n) - F.when(whole, 0).otherwise(F.col("top")[n])).alias(n) for n in names]), "toxic-parts")
-    found = []
-    for k in range(TURNS + 1):
-        x = some.filter(F.col(f"n{k}1") > 0).select("part", F.col(f"n{k}0").alias("down"), F.col(f"n{k}1").alias("up"))
-        x = x.withColumn("share", F.col("up") / (F.col("up") + F.col("down"))).filter(F.col("share") > p0[k])
-        # Chernoff: so uneven a split has at most exp(-n KL) chance
-        uneven = F.col("up") * F.log(F.col("share") / p0[k]) + F.when(F.col("down") > 0, F.col("down") * F.log((1 - F.col("share")) / (1 - p0[k]))).otherwise(0.0)
-        score = F.log((F.col("up") + 0.5) / (F.col("down") + 0.5)) + shift[k] - DEVIATIONS * F.sqrt(1 / (F.col("up") + 0.5) + 1 / (F.col("down") + 0.5))
-        found.append(x.filter(uneven > bound).select(F.lit(k).alias("k"), "part", score.alias("score")).filter(F.col("score") >= LEAST_SCORE))
-    out: list[dict[str, float]] = [{} for _ in found]
-    for r in reduce(DataFrame.unionByName, found).collect():
+    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cells()]).first().asDict()
+    toxic = sum((F.col(f"c{t}1") for t in range(TURNS)), F.lit(0))
+    judge = Judge(total, words.filter(toxic > 0).select("word").distinct().count())
+    rows = words.select(F.explode(F.array(F.concat(F.lit("^"), F.left("word", F.lit(4))), F.concat(F.right("word", F.lit(4)), F.lit("$")))).alias("g"), "word", *cells())
+
+    def make():
+        held: dict = {"g": None, "words": {}}
+
+        def close() -> list[tuple]:
+            return judge.group(held["words"], beginnings if held["g"][0] == "^" else endings) if held["words"] else []
+
+        def columns(got: list[tuple]) -> dict:
+            return {"k": [x[0] for x in got], "part": [x[1] for x in got], "score": [x[2] for x in got]}
+
+        def run(x: dict) -> dict:
+            got: list[tuple] = []
+            for g, w, *n in zip(x["g"], x["word"], *(x[c] for c in cells()), strict=True):
+                if g != held["g"]:
+                    got += close()
+                    held.update(g=g, words={})
+                held["words"][w] = held["words"].get(w, 0) + np.array(n)
+            return columns(got)
+
+        run.finish = lambda: columns(close())
+        return run
+
+    found = map_batches(rows.repartition("g").sortWithinPartitions("g"), make, "k int, part string, score double")
+    out: list[dict[str, float]] = [{} for _ in range(TURNS + 1)]
+    for r in found.collect():
         out[r["k"]][r["part"]] = r["score"]
     return out
 
