@@ -18,7 +18,9 @@ gives an empty result; a document longer than a window spans several.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
+from unicodedata import is_normalized, normalize
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,7 @@ class WordTokenizer:
         split = [p for p in (conf.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and bool(split[0]["invert"])
         self.wide = 4 if self.whole.get_vocab_size() > 65_536 else 2
+        self.code = "I" if self.wide == 4 else "H"
         self.added = [t["content"] for t in conf.get("added_tokens", [])]
         if self.plain:
             self.pattern = regex.compile(split[0]["pattern"]["Regex"])
@@ -67,24 +70,27 @@ class WordTokenizer:
             rest = [b for b in range(256) if b not in kept]
             self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
             self.model = self.whole.model
-            self.pieces = Memo(self._piece, 300_000)
+            self.pieces = Memo(self._piece, 100_000)
             self.words = Memo(self._word, 300_000)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(self.wide, "little") for i in ids)
+        return array(self.code, ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() and piece.isalnum() else "".join(map(self.shown.__getitem__, piece.encode()))
-        return self._pack([t.id for t in self.model.tokenize(shown)])
+        if not piece.isascii() or not piece.isalnum():
+            piece = "".join(map(self.shown.__getitem__, piece.encode()))
+        return self._pack([t.id for t in self.model.tokenize(piece)])
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
-            import unicodedata
-
-            word = unicodedata.normalize("NFC", word)
-            if any(len(c.lower()) > 1 or c == "Σ" for c in word):
+            if not is_normalized("NFC", word):
+                word = normalize("NFC", word)
+            if "Σ" in word or len(word.lower()) != len(word):
                 return self._pack(self.whole.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))
+        word = word.lower()
+        if word.isalpha():  # one piece of the pattern: nothing else in it begins with a letter
+            return self.pieces.get(word) or self._piece(word)
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
 
     def __call__(self, text: str) -> bytes:
         if not self.plain or any(a in text for a in self.added) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
