@@ -20,9 +20,11 @@ found so far already join them. So no pair of a band is left unsettled, and what
 is written grows with nodes and links, not with pairs. Bands larger than
 ``BLOCK`` are dealt in blocks of about that many nodes, each two blocks to a
 task, but for blocks of the band's largest component, which meet only the rest.
-The components of the links are the classes.
+The components of the links are the classes. Class ids and sizes are settled for texts,
+not rows, so a text with many copies is one row until the end.
 
-Edge cases: null and empty texts count as equal; texts under five words are one
+Edge cases: a document column named ``_lm_key`` is the one name that the stage can't
+take; null and empty texts count as equal; texts under five words are one
 shingle of all their words; null ids keep their rows, and sort last for a class's
 representative; repeated rows fall in one class; an empty table gives an empty
 result; other columns aren't read.
@@ -49,6 +51,8 @@ TOGETHER = 256
 AGREE = 78
 #: Nodes of a band in one block; with their texts, a node counts once more for so many characters.
 BLOCK, CHARS = 1024, 8192
+#: A text is hot if more than one in so many documents have it.
+HOT = 1000
 #: Shingles of the bags that a block keeps at once.
 KEPT = 1_000_000
 #: Signature bytes in a word: seven of seven bits each, so that sums stay within a signed word.
@@ -417,15 +421,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataFrame:
-    """``doc_id, key, root``, a row a document; ``root`` names its class."""
+def nodes_of(docs: DataFrame, like: float, text: str) -> tuple[DataFrame, DataFrame]:
+    """``signed`` (key, doc_id; a row a document) and ``nodes`` (key, root, rows, first; a row a text).
+
+    ``first`` is the node's smallest id, with ``none`` true if it has no id.
+    """
     signed = materialise(sign(docs, text), "dup-signed")
-    nodes = signed.groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    nodes = materialise(signed.groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"), F.count(F.lit(1)).alias("rows"), first), "dup-nodes")
     bands = nodes.select("key", F.posexplode("bands").alias("at", "h")).select("key", "at", F.xxhash64("at", "h").alias("band"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band")
     bands = materialise(bands.join(shared, "band"), "dup-bands")
     wanted = materialise(bands.select("key").distinct(), "dup-wanted")
-    sigs = materialise(nodes.join(wanted.hint("merge"), "key"), "dup-sigs")
+    sigs = materialise(nodes.select("key", "bands", "sig").join(wanted.hint("merge"), "key"), "dup-sigs")
     # first turn: the band's smallest key is its centre, and has no other pairs there after it
     center = bands.groupBy("band").agg(F.min("key").alias("center"))
     bands = materialise(bands.join(center, "band").filter(F.col("key") != F.col("center")), "dup-bands")
@@ -437,25 +445,54 @@ def classes(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataF
     links = materialise(compare(pairs, texts, like), "dup-links")
     links = links.unionByName(materialise(across(bands, components(links), sigs, texts, like), "dup-links"))
     roots = components(links)
-    x = signed.select("doc_id", "key")
-    return x.join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    nodes = nodes.select("key", "rows", "first").join(roots, "key", "left").select("key", "rows", "first", F.coalesce("root", "key").alias("root"))
+    return signed.select("key", "doc_id"), nodes
+
+
+def settled(nodes: DataFrame) -> DataFrame:
+    """``key, rows, class_id, class_rows, kept_id, kept_key``: of each node its class, named by its smallest id."""
+    each = nodes.groupBy("root").agg(F.sum("rows").alias("class_rows"), F.min("first").alias("first"))
+    x = nodes.select("key", "rows", "root").join(each, "root")
+    return x.select("key", "rows", F.col("first.doc_id").alias("class_id"), "class_rows", F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"))
+
+
+def with_nodes(signed: DataFrame, info: DataFrame) -> DataFrame:
+    """Documents with what is known of their texts.
+
+    A text that more than one in ``HOT`` documents have would be one task of a join;
+    there are at most ``HOT`` of these, so they are sent to all tasks instead.
+    """
+    n = signed.count()
+    hot = materialise(info.filter(F.col("rows") * HOT > n), "dup-hot")
+    names = F.broadcast(hot.select("key"))
+    cold = signed.join(names, "key", "left_anti").join(info, "key")
+    return cold.unionByName(signed.join(F.broadcast(hot), "key"))
 
 
 def near_duplicates(docs: DataFrame, *, like: float = LIKE, text: str = "text") -> DataFrame:
     """``doc_id, class_id, class_rows, kept``: the class is named by its smallest id, whose row is kept."""
-    x = classes(docs, like=like, text=text)
-    best = x.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")).withColumnRenamed("root", "r")
-    return x.join(best, x["root"] == best["r"]).select("doc_id", "class_id", "class_rows", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    signed, nodes = nodes_of(docs, like, text)
+    x = with_nodes(signed, materialise(settled(nodes), "dup-classes"))
+    return x.select("doc_id", "class_id", "class_rows", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def row_key(doc_id: Column, key: Column) -> Column:
+    """A digest of an id, which may be null, and of a text's key."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")).cast("binary"), key)))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays: that of its smallest id (a null id only if there is no other)."""
-    x = classes(docs)
-    keep = x.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("_lm_id"), F.col("k.key").alias("_lm_key"))
-    rows = docs.withColumn("_lm_text", text_key(F.col("text")))
-    rows = rows.join(keep, rows["doc_id"].cast("long").eqNullSafe(keep["_lm_id"]) & (rows["_lm_text"] == keep["_lm_key"]), "left_semi")
-    return rows.dropDuplicates(["_lm_text"]).select(*docs.columns)
+    """One row of each class stays: that of its smallest id (a null id only if there is no other).
+
+    Rows of the same id and text count as one. Texts move once: whoever isn't its
+    class's choice goes by a join on digests, and repeated rows go in the same partition.
+    """
+    _, nodes = nodes_of(docs, LIKE, "text")
+    kept = settled(nodes).filter(F.col("key") == F.col("kept_key")).select(row_key(F.col("kept_id"), F.col("kept_key")).alias("_lm_key"))
+    kept = materialise(kept, "dup-kept")
+    rows = docs.withColumn("_lm_key", row_key(F.col("doc_id"), text_key(F.col("text"))))
+    return rows.join(kept, "_lm_key", "left_semi").dropDuplicates(["_lm_key"]).select(*docs.columns)
