@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -101,3 +101,23 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.compute(key)
         return value
+
+
+def tag(source: str) -> Column:
+    """A source as a text that is never null, to join and group by."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
+def prefix_sums(df: DataFrame, by: list[str], order: str, sums: dict[str, str], run: int = 4096) -> DataFrame:
+    """Adds under each name of ``sums`` the total of its column over the rows of the same ``by`` that come before.
+
+    ``order`` is a whole number, one row each; ``by`` holds no nulls. Runs of ``run``
+    numbers are added up first, so a window sees only one run, or one row for each run.
+    """
+    x = df.withColumn("_run", F.floor(F.col(order) / run).cast("long"))
+    every = Window.partitionBy(*by, F.lit(1)).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = x.groupBy(*by, "_run").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    runs = runs.select(*by, "_run", *[F.coalesce(F.sum(f"_t_{n}").over(every), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy(*by, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    got = x.join(runs, [*by, "_run"])
+    return got.select(*df.columns, *[(F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n) for n, c in sums.items()])

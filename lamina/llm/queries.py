@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op9_source_mix": mixing.ORACLE}

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import fingerprints, htmltext, langid, mixing, neardup, packing, pii, queries, secretscan, topk, toxicity
-from lamina.llm.common import Memo, table
+from lamina.llm.common import Memo, prefix_sums, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
@@ -495,9 +495,39 @@ def test_mix(spark, odd, none):
     assert mixing.stage(spark, none, "").count() == 0
 
 
+def test_mix_agrees_with_sql(spark, odd, none):
+    import duckdb
+
+    r = random.Random(1)
+    many = spark.createDataFrame([(i, " ".join("ab" for _ in range(r.choice((0, 1, 7, 400)))), None, r.choice("abcdefgh"), 0) for i in range(600)], DOCS)
+    again = many.unionByName(many.limit(1).select("*", F.explode(F.sequence(F.lit(1), F.lit(50))).alias("n")).drop("n"))
+    for docs in (odd, none, again, spark.createDataFrame([(1, None, None, None, None), (None, "", None, "x", 0)], DOCS)):
+        con = duckdb.connect()
+        con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+        want = con.execute(mixing.ORACLE).fetchall()
+        got = mixing.mix(docs, whole=False).select("doc_id", "size", "source_size", "target", "taken").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_rows_with_many_copies_part(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 10)
+    x = spark.createDataFrame([(1, "one two three", "a")] * 95 + [(2, "x", "a")], "doc_id long, text string, source string")
+    rows = mixing.mix(x, shard_tokens=20, whole=False).collect()
+    assert len(rows) == 96 and sum(r.taken for r in rows) == 286
+    kept = mixing.stage(spark, x.withColumn("n_chars", F.lit(0)), "").groupBy("doc_id").count().collect()
+    assert sum(r["count"] * (3 if r.doc_id == 1 else 1) for r in kept) in range(283, 290)
+
+
 # packing
 
 
+def test_sums_before_a_row_in_two_levels(spark):
+    r = random.Random(7)
+    rows = [(t, i, r.randint(0, 9)) for t in "ab" for i in range(0, 60, 1 if t == "a" else 7)]
+    x = prefix_sums(spark.createDataFrame(rows, "t string, i long, n long"), ["t"], "i", {"before": "n"}, 8)
+    assert {(q.t, q.i): q.before for q in x.collect()} == {(t, i): sum(n for u, j, n in rows if u == t and j < i) for t, i, _ in rows}
+
+
 def test_tokens_are_the_tokenizers_own(spark, sf):
     t = packing.WordTokenizer(packing.tokenizer_path())
     texts = [r.text for r in table(spark, sf, "documents").collect()] + ["", " ", "a\x1cb", "it's DON'T ΣΑΣ İx é é 日本 x<|endoftext|>y", " a b\u0085c", "1234 5.6,7", "ﬁ ß ẞ"]
