@@ -25,12 +25,14 @@ from unicodedata import is_normalized, normalize
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, materialise, table
+from .common import Memo, map_batches, materialise, prefix_sums, table, tag
 
 WINDOW = 2048
 END_ID = 1
 #: Characters in a shard; a task holds the ids of one shard at a time.
 SHARD_CHARS = 6_000_000
+#: Shards that a task packs, one after the other.
+SHARDS_A_TASK = 16
 #: A source is served once its deficit reaches so many tokens, or its document ends.
 LEAST_PIECE = 64
 
@@ -123,17 +125,16 @@ def plan(counts: DataFrame, window: int = WINDOW) -> DataFrame:
 
     ``shard, kind, source, target`` (the source's share of all tokens), ``carry``
     (its deficit after the shards before) and ``first`` (the shard's first sequence).
+    Sums over shards are taken in two levels: no task sees all shards.
     """
-    every = Window.partitionBy(F.lit(1))
-    shard = counts.groupBy("shard").agg(F.sum("n").alias("all_n"))
-    order = Window.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shard = shard.withColumn("all_before", F.coalesce(F.sum("all_n").over(order), F.lit(0))).withColumn("first", F.coalesce(F.sum(F.ceil(F.col("all_n") / window)).over(order), F.lit(0)).cast("long"))
-    source = counts.groupBy("source").agg(F.sum("n").alias("source_n"))
-    source = source.withColumn("target", F.col("source_n") / F.sum("source_n").over(every))
-    mine = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    had = counts.withColumn("had", F.coalesce(F.sum("n").over(mine), F.lit(0))).select(F.col("source").alias("s_source"), "shard", "had")
-    x = had.join(shard, "shard").join(source, F.col("s_source").eqNullSafe(F.col("source")))
-    return x.select("shard", "source", "target", (F.col("target") * F.col("all_before") - F.col("had")).alias("carry"), "first")
+    counts = counts.withColumn("tag", tag("source"))
+    shard = counts.groupBy("shard").agg(F.sum("n").alias("all_n")).withColumn("windows", F.ceil(F.col("all_n") / window).cast("long"))
+    shard = prefix_sums(shard, [], "shard", {"all_before": "all_n", "first": "windows"}).select("shard", "all_before", "first")
+    # one row a source
+    share = counts.groupBy("tag").agg(F.sum("n").alias("source_n")).withColumn("target", F.col("source_n") / F.sum("source_n").over(Window.partitionBy(F.lit(1))))
+    had = prefix_sums(counts, ["tag"], "shard", {"had": "n"})
+    x = had.join(shard, "shard").join(share, "tag")
+    return x.select("shard", "source", "target", (F.col("target") * F.col("all_before") - F.col("had")).alias("carry"), F.col("first").cast("long").alias("first"))
 
 
 def pack_shard(shares: list[tuple], docs: list[tuple], first: int, window: int = WINDOW, least: int = LEAST_PIECE):
@@ -189,7 +190,7 @@ def pack(docs: DataFrame, *, path: str | None = None, window: int = WINDOW, shar
     chars = docs.select(F.sum(F.char_length(text).cast("long") + 1)).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
     rows = materialise(tokenise(docs, path, shards, seed, text), "pack-ids")
-    starts = plan(rows.groupBy("shard", "source").agg(F.sum("n").alias("n")), window)
+    starts = plan(materialise(rows.groupBy("shard", "source").agg(F.sum("n").alias("n")), "pack-counts"), window)
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     heads = starts.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), "source", "target", "carry", "first", none("long", "doc_id"), none("long", "n"), none("int", "wide"), none("binary", "ids"))
     tails = rows.select("shard", F.lit(1).alias("kind"), "at", "source", none("double", "target"), none("double", "carry"), none("long", "first"), "doc_id", "n", "wide", "ids")
@@ -236,7 +237,8 @@ def pack(docs: DataFrame, *, path: str | None = None, window: int = WINDOW, shar
         run.finish = done
         return run
 
-    tasks = max(1, min(shards, 4096))
+    # tasks grow with the shards; a small table's shards are spread over all cores
+    tasks = max(1, -(-shards // SHARDS_A_TASK), min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism))
     dealt = heads.unionByName(tails).repartition(tasks, "shard").sortWithinPartitions("shard", "kind", "at", "doc_id", "n")
     return map_batches(dealt, make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
 
