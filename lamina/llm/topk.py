@@ -9,20 +9,22 @@ rests (Cauchy-Schwarz) bounds the score; only what may still reach s is multipli
 out, in integers. The first score to beat comes from the ``SEEDS`` longest vectors
 of the whole table.
 
-Blocks of queries meet blocks of vectors: no task holds more than one of each, and
-only k rows a query leave a block.
+Blocks hold vectors of one range of length (``RANGES`` equal steps, so few numbers
+reach the driver). Each vector goes to its block once; a query goes to the blocks
+whose longest vector may still reach its score, and to no others. A task holds one
+block and a batch of queries, and only k rows a query leave a block.
 
 Edge cases: a null vector, or one with a null or non-finite component, or one
 without an id, takes no part; vectors of other lengths than a query's aren't its
 candidates; ties go to the smaller id; a query never meets rows of its own id;
-repeated rows are candidates each; an empty table gives an empty result.
+repeated rows are candidates each; an empty table gives an empty result; other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ from .common import Sent, map_batches, materialise, table
 
 K = 5
 SEEDS = 2048
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
-STEP = 512
+#: Vectors in a block at most, and where there are too few of these to keep all cores busy at least.
+MOST, LEAST = 32_768, 1024
+RANGES = 64
+#: Queries and vectors that meet at once.
+QUERIES, STEP = 1024, 512
 #: Pairs multiplied out at once.
 PAIRS = 32_768
 HEAD = 16
@@ -84,21 +89,33 @@ def second_moments(rows: DataFrame) -> dict[int, np.ndarray]:
     return {int(d): g.sort_values("i")["c"].to_numpy().reshape(int(d), int(d)) for d, g in got.groupby("dim")}
 
 
-def search_block(queries: tuple, vectors: tuple, beat: np.ndarray, turn: np.ndarray, k: int = K) -> list[list[tuple]]:
+class Block:
+    """Vectors by descending length, turned once for all queries that meet them."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray):
+        size = np.sqrt((x * x).sum(axis=1))
+        order = np.lexsort((ids, -size))
+        self.ids, self.x, self.size, self.turn = ids[order], x[order], size[order], turn
+        self.turned, self.head = self.x @ turn, min(HEAD, x.shape[1])
+        self.rest = rests(self.turned, self.head)
+        self.turned, self.top = self.turned[:, : self.head].copy(), float(np.abs(x).max()) if x.size else 0.0
+
+
+def rests(turned: np.ndarray, head: int) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (turned[:, head:] ** 2).sum(axis=1)))
+
+
+def search_block(queries: tuple, block: Block, beat: np.ndarray, k: int = K) -> list[list[tuple]]:
     """For each query its k best of a block: (score, id), highest first, smaller id first.
 
-    ``queries``, ``vectors``: (ids, integer matrix); ``beat``: the score that a
-    candidate must reach. Returns only candidates that reach it.
+    ``queries``: (ids, integer matrix); ``beat``: the score that a candidate must
+    reach. Returns only candidates that reach it.
     """
     qid, q = queries
-    xid, x = vectors
-    size = np.sqrt((x * x).sum(axis=1))
-    order = np.lexsort((xid, -size))
-    xid, x, size = xid[order], x[order], size[order]
-    head = min(HEAD, x.shape[1])
-    qr, xr = q @ turn, x @ turn
-    rest = lambda m: np.sqrt(np.maximum(0.0, (m[:, head:] ** 2).sum(axis=1)))
-    q_rest, x_rest, q_size = rest(qr), rest(xr), np.sqrt((q * q).sum(axis=1))
+    xid, x, size, xr, x_rest, head = block.ids, block.x, block.size, block.turned, block.rest, block.head
+    qr = q @ block.turn
+    q_rest, q_size = rests(qr, head), np.sqrt((q * q).sum(axis=1))
+    fits = not q.size or np.abs(q).max() * block.top * x.shape[1] < 2.0**53
     best: list[list[tuple]] = [[] for _ in qid]
     beat = beat.astype(np.float64).copy()
     for a in range(0, len(xid), STEP):
@@ -107,13 +124,23 @@ def search_block(queries: tuple, vectors: tuple, beat: np.ndarray, turn: np.ndar
         if not len(live):
             break
         b = min(len(xid), a + STEP)
-        bound = qr[live, :head] @ xr[a:b, :head].T + q_rest[live][:, None] * x_rest[a:b][None, :]
+        bound = qr[live, :head] @ xr[a:b].T + q_rest[live][:, None] * x_rest[a:b][None, :]
         may = bound + slack[live][:, None] >= beat[live][:, None]
         may &= qid[live][:, None] != xid[a:b][None, :]
         i, j = np.nonzero(may)
         if not len(i):
             continue
-        scores = exact_pairs(q, live[i], x, a + j)
+        rows, cols = may.any(axis=1), may.any(axis=0)
+        if fits and len(i) * 8 > rows.sum() * cols.sum():  # most of these pairs: whole products, exact in doubles
+            whole = np.zeros(may.shape)
+            whole[np.ix_(rows, cols)] = q[live[rows]] @ x[a:b][cols].T
+            keep = whole[i, j] >= beat[live[i]]
+            i, j = i[keep], j[keep]
+            scores = whole[i, j].astype(np.int64)
+        else:
+            scores = exact_pairs(q, live[i], x, a + j)
+        if not len(i):
+            continue
         cuts = np.nonzero(np.diff(i))[0] + 1
         for part in np.split(np.arange(len(i)), cuts):
             at = live[i[part[0]]]
@@ -125,55 +152,91 @@ def search_block(queries: tuple, vectors: tuple, beat: np.ndarray, turn: np.ndar
     return best
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, most: int = MOST) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k best among all vectors of other ids."""
     spark = vectors.sparkSession
-    x = materialise(integers(vectors), "topk")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+    x = materialise(integers(vectors).withColumn("size", length).withColumn("row", F.monotonically_increasing_id()), "topk")
     moments = second_moments(x)
     turns = {d: np.linalg.svd(m)[0] for d, m in moments.items()}
-    length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     seeds: dict[int, tuple] = {}
     for d in turns:  # at most SEEDS rows for each dimension in use
-        top = x.filter(F.col("dim") == d).orderBy(length.desc(), "id").limit(SEEDS).toPandas()
+        top = x.filter(F.col("dim") == d).orderBy(F.col("size").desc(), "id", "row").limit(SEEDS).toPandas()
         seeds[d] = (top["id"].to_numpy(np.int64), matrix(list(top["v"])))
     sent = Sent(spark, (turns, seeds))
 
     def first_beat():
+        longest: dict[int, Block] = {}
+
         def run(got: dict) -> dict:
-            out = {"qid": got["id"], "dim": got["dim"], "q": got["v"], "beat": [None] * len(got["id"])}
+            out = {"id": got["id"], "dim": got["dim"], "v": got["v"], "size": got["size"], "beat": [None] * len(got["id"])}
             turns, seeds = sent.value
             for d in set(got["dim"]):
                 at = [i for i, e in enumerate(got["dim"]) if e == d]
                 q = (np.array([got["id"][i] for i in at], np.int64), matrix([got["v"][i] for i in at]))
-                found = search_block(q, seeds[d], np.full(len(at), -np.inf), turns[d], k)
+                if d not in longest and d in seeds:
+                    longest[d] = Block(*seeds[d], turns[d])
+                found = search_block(q, longest[d], np.full(len(at), -np.inf), k) if d in longest else [[]] * len(at)
                 for i, best in zip(at, found, strict=True):
                     out["beat"][i] = float(best[-1][0]) if len(best) == k else float("-inf")
             return out
 
         return run
 
-    asked = materialise(map_batches(integers(queries), first_beat, "qid long, dim int, q array<long>, beat double"), "topk-asked")
-    n_q, n_x = asked.count(), x.count()
-    q_blocks, x_blocks = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_x // VECTOR_BLOCK))
-    place = lambda c, n, s: F.pmod(F.xxhash64(c, F.lit(s)), F.lit(n)).cast("int")
-    # blocks go by id, so equal vectors are spread
-    left = x.withColumn("xb", place("id", x_blocks, 3)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = asked.withColumn("qb", place("qid", q_blocks, 5)).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1))))
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+    asked = materialise(map_batches(integers(queries).withColumn("size", length), first_beat, "id long, dim int, v array<long>, size double, beat double"), "topk-asked")
+    end = x.agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, step = float(end["low"] or 0.0), max(float((end["high"] or 0.0) - (end["low"] or 0.0)) / RANGES, 1e-9)
+    # range 0 holds the longest vectors
+    x = x.withColumn("range", F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), RANGES - 1 - F.floor((F.col("size") - low) / step))).cast("int"))
+    held = sorted((r["range"], r["longest"], r["n"]) for r in x.groupBy("range").agg(F.max("size").alias("longest"), F.count(F.lit(1)).alias("n")).collect())
+    if not held:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    block = min(most, max(LEAST, -(-end["n"] // (4 * spark.sparkContext.defaultParallelism))))
+    blocks = {r: -(-n // block) for r, _, n in held}
+    first = dict(zip(blocks, np.cumsum([0, *blocks.values()]).tolist(), strict=False))
+    number = lambda by: F.element_at(F.create_map(*[F.lit(v) for r in by for v in (r, int(by[r]))]), F.col("range"))
+    here = x.select((number(first) + F.pmod(F.xxhash64("row"), number(blocks))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "dim", "v", F.lit(None).cast("double").alias("beat"))
+    # how many blocks, longest first, may still hold what a query looks for
+    last = [(longest, first[r] + blocks[r]) for r, longest, _ in held]
+    slack = lambda longest: F.lit(1e-6) * F.col("size") * max(longest, 1.0) + 1e-3
+    wanted = F.greatest(*[F.when(F.col("size") * longest + slack(longest) >= F.col("beat"), upto).otherwise(0) for longest, upto in [*last, (0.0, 0)]])
+    there = asked.withColumn("block", F.explode(F.when(wanted > 0, F.sequence(F.lit(0), (wanted - 1).cast("int"))))).select("block", F.lit(1).alias("kind"), "id", "dim", "v", "beat")
+    dealt = here.unionByName(there).repartition(max(1, sum(blocks.values())), "block").sortWithinPartitions("block", "kind")
+    wanted_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def meet(batches):
         turns = sent.value[0]
-        rows: list[tuple] = []
-        dims = set(a.column("dim").to_pylist()) & set(b.column("dim").to_pylist())
-        for d in dims:
-            pick = lambda t: t.filter(pc.equal(t.column("dim"), d))  # noqa: E731, B023
-            x, q = pick(a), pick(b)
-            flat = lambda t, c: np.asarray(t.column(c).combine_chunks().flatten(), dtype=np.float64).reshape(len(t), d)  # noqa: E731, B023
-            qid = np.asarray(q.column("qid"), dtype=np.int64)
-            found = search_block((qid, flat(q, "q")), (np.asarray(x.column("id"), dtype=np.int64), flat(x, "v")), np.asarray(q.column("beat"), dtype=np.float64), turns[d], k)
-            rows += [(int(i), int(v), int(s)) for i, best in zip(qid, found, strict=True) for s, v in best]
-        return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.int64())})
-
-    got = left.groupBy("xb", "qb").cogroup(right.groupBy("xb", "qb")).applyInArrow(meet, "query_id long, vec_id long, score long")
+        now, vectors = None, {}
+
+        def by_dim(t: pa.RecordBatch):
+            dims = np.asarray(t.column("dim"))
+            for d in np.unique(dims).tolist():
+                part = t.filter(pa.array(dims == d))
+                yield d, np.asarray(part.column("id")), np.asarray(part.column("v").flatten(), dtype=np.float64).reshape(len(part), d), np.asarray(part.column("beat").fill_null(0.0))
+
+        for batch in batches:
+            at, kind = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
+            cuts = [0, *(np.nonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1]))[0] + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if at[a] != now:
+                    now, vectors = at[a], {}
+                if kind[a] == 0:
+                    for d, ids, v, _ in by_dim(batch.slice(a, b - a)):
+                        vectors.setdefault(d, []).append((ids, v))
+                    continue
+                vectors = {d: p if isinstance(p, Block) else Block(np.concatenate([i for i, _ in p]), np.concatenate([v for _, v in p]), turns[d]) for d, p in vectors.items()}
+                for c in range(a, b, QUERIES):
+                    rows: list[tuple] = []
+                    for d, ids, q, beat in by_dim(batch.slice(c, min(QUERIES, b - c))):
+                        if d in vectors:
+                            found = search_block((ids, q), vectors[d], beat, k)
+                            rows += [(int(i), int(v), int(s)) for i, best in zip(ids, found, strict=True) for s, v in best]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=wanted_schema)
+
+    got = dealt.mapInArrow(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return got.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

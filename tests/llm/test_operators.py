@@ -67,6 +67,8 @@ def test_topk_exact(spark):
     x = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = topk.search(x, x.filter("vec_id % 50 = 0"))
     assert {(q.query_id, q["rank"], q.vec_id, q.score) for q in got.collect()} == brute_topk(rows)
+    got = topk.search(x, x.filter("vec_id % 50 = 0"), most=60)  # many blocks in a range
+    assert {(q.query_id, q["rank"], q.vec_id, q.score) for q in got.collect()} == brute_topk(rows)
 
 
 def test_topk_empty(spark):
