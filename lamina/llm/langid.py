@@ -8,12 +8,14 @@ the false positives that each language's fill predicts, and the largest decides.
 
 What is learned: n-gram frequencies of at most ``PER_LANGUAGE`` documents a
 language (a seeded sample), of which the ``NGRAMS`` most frequent of a language
-that are not far commoner in another one go into the filter.
+that are not far commoner in another one go into the filter; fewer where languages
+are so many that the filter would pass ``TABLE`` bytes, which is what is broadcast.
 
 Edge cases: a null text, or one without letters, is ``und`` with score 0; a text
 whose n-grams are all unknown gets the most frequent language with score 0; ties
 go to the first language by name; with nothing to learn from all is ``und``;
-repeated rows get equal results; other columns aren't read.
+repeated rows get equal results; texts of any length are read whole; an empty table
+gives an empty result; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import Sent, held_out, map_batches, table, utf32
 N = 4
 PER_LANGUAGE = 4000
 NGRAMS = 60_000
+#: Bytes of the filter at most, whatever the number of languages.
+TABLE = 1 << 27
 #: A language gets an n-gram if its rate is this share of the highest rate of any.
 KEPT_RATE = 0.15
 CHUNK = 1 << 20
@@ -156,15 +160,21 @@ def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most: int = NGRA
 
     seen = map_batches(rows, make, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.col("n").desc(), "h")
-    got = seen.filter(F.col("n") > 1).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).select("lang", "h", "n").toPandas()
     languages = sorted(counts)
+    words = -(-len(languages) // 8)
+    # 8 to 16 places an n-gram, a bit a language each
+    most = max(1, min(most, TABLE // (16 * len(languages) * words)))
+    got = seen.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= most).select("lang", "h", "n").toPandas()
     keys, inverse = np.unique(got["h"].to_numpy(np.int64), return_inverse=True)
-    which = np.array([languages.index(k) for k in got["lang"]], dtype=np.int64)
-    rate = np.zeros((len(keys), len(languages)))
-    rate[inverse, which] = got["n"]
-    rate /= np.maximum(rate.sum(axis=0), 1)
-    inside = rate >= np.maximum(rate.max(axis=1, keepdims=True) * KEPT_RATE, 1e-12)
-    masks = np.packbits(inside, axis=1, bitorder="little") if len(keys) else np.zeros((0, max(1, -(-len(languages) // 8))), np.uint8)
+    place = {k: i for i, k in enumerate(languages)}
+    which = np.array([place[k] for k in got["lang"]], dtype=np.int64)
+    n = got["n"].to_numpy(float)
+    rate = n / np.maximum(np.bincount(which, weights=n, minlength=len(languages)), 1)[which]
+    highest = np.zeros(len(keys))
+    np.maximum.at(highest, inverse, rate)
+    inside = rate >= np.maximum(highest[inverse] * KEPT_RATE, 1e-12)
+    masks = np.zeros((len(keys), words), dtype=np.uint8)
+    np.bitwise_or.at(masks, (inverse[inside], which[inside] // 8), (1 << (which[inside] % 8)).astype(np.uint8))
     return Filter(languages, (keys.view(np.uint64), masks), max(languages, key=lambda k: counts[k]))
 
 
