@@ -15,8 +15,8 @@ samples in groups are bands; all pairs of a band are candidates, confirmed by ed
 distance. The query itself runs no banding: it gives fingerprints and likenesses.
 
 Edge cases: a null text counts as empty, and an empty text samples nothing but
-the end; equal texts have equal fingerprints; repeated rows follow each other in
-the order of ids; null ids come first; the only row is followed by itself; an
+the end; equal texts have equal fingerprints; rows of one id follow each other in
+the order of a hash of their texts; null ids come first; the only row is followed by itself; an
 empty table gives an empty result; texts are read whole; other columns aren't read.
 """
 
@@ -29,7 +29,7 @@ from operator import getitem, itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, table, utf32
@@ -40,8 +40,8 @@ FIRST = 64
 LAGS = (0, 4, 9)
 CLASSES = 64
 CHUNK = 3_000_000
-#: Ids lie in about so many ranges.
-RANGES = 256
+#: Ids lie in about so many ranges, and each of these in as many as keep to so many characters; at most so many in all.
+RANGES, RANGE_CHARS, MOST_RANGES = 256, 64_000_000, 1 << 20
 #: Texts of a band in a block.
 BLOCK = 1024
 
@@ -160,16 +160,36 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def ranges(docs: DataFrame, doc_id: str = "doc_id", parts: int = RANGES) -> tuple[Column, list[tuple]]:
-    """A range number for each id, in order, and (range, least id, the range before) of those that hold rows.
+def ranges(rows: DataFrame, parts: int = RANGES, chars: int = RANGE_CHARS) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with a range number ``part`` by id, in order; the ranges' heads; and how many ranges there are.
 
-    At most ``parts`` rows reach the driver. Null ids make up the first range.
+    ``parts`` ranges by quantiles, and each of these in equal steps of its ids, so that
+    a range has about ``chars`` characters. Heads: range, the id and hash of its first
+    row, and the range that comes before it (before the first: the last); one row a
+    range, at most ``MOST_RANGES``. Null ids make up the first range. The driver gets
+    ``parts`` rows.
     """
-    got = docs.agg(F.percentile_approx(doc_id, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    got = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
     cuts = sorted(set(got))
-    at = F.when(F.col(doc_id).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col(doc_id))) + 1)
-    held = sorted((r["r"], r["least"]) for r in docs.groupBy(at.alias("r")).agg(F.min(doc_id).alias("least")).collect())
-    return at, [(r, least, held[i - 1][0]) for i, (r, least) in enumerate(held)]
+    coarse = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) + 1)
+    sizes = sorted((r["r"], r["low"], r["high"], r["n"]) for r in rows.groupBy(coarse.alias("r")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.length("text").cast("long") + 1).alias("n")).collect())
+    most = max(1, MOST_RANGES // max(1, len(sizes)))
+    at, first, number = F.lit(None).cast("int"), 0, F.col("_coarse")
+    table: dict[str, dict[int, int]] = {"first": {}, "low": {}, "width": {}, "steps": {}}
+    for r, low, high, n in sizes:
+        steps = 1 if low is None else max(1, min(most, -(-n // chars), high - low + 1))
+        for k, v in (("first", first), ("low", low or 0), ("width", 1 if low is None else -(-(high - low + 1) // steps)), ("steps", steps)):
+            table[k][r] = v
+        first += steps
+    if sizes:
+        look = {k: F.element_at(F.create_map(*[F.lit(x).cast("bigint") for r, v in t.items() for x in (r, v)]), number.cast("bigint")) for k, t in table.items()}
+        at = (look["first"] + F.coalesce(F.call_function("div", F.col("doc_id") - look["low"], look["width"]), F.lit(0))).cast("int")
+    placed = rows.withColumn("_coarse", coarse).withColumn("part", at).drop("_coarse")
+    held = placed.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    order = Window.partitionBy(F.lit(1)).orderBy("part")
+    last = F.max("part").over(Window.partitionBy(F.lit(1)))
+    heads = held.select("part", F.col("least.doc_id").alias("head_id"), F.col("least.h").alias("head_h"), F.coalesce(F.lag("part").over(order), last).alias("before"))
+    return placed, heads, first
 
 
 def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -178,18 +198,13 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     Rows go to ranges of ids once; each range also gets the first row of the next.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    at, held = ranges(rows)
-    # a range's first row, once more, for the range before it; the first row of all comes after the last
-    heads = [(r, before, i == 0) for i, (r, _, before) in enumerate(held)]
-    least = {r: v for r, v, _ in held}
-    rows = rows.withColumn("part", at.cast("int")).withColumn("guest", F.lit(0))
-    head = None
-    for r, before, _ in heads:
-        is_head = (F.col("part") == r) & (F.col("doc_id").isNull() if least[r] is None else F.col("doc_id") == least[r])
-        head = F.when(is_head, F.lit(before)) if head is None else head.when(is_head, F.lit(before))
-    if head is not None:
-        rows = rows.withColumn("to", F.explode(F.when(head.isNotNull(), F.array(F.lit(None).cast("int"), head)).otherwise(F.array(F.lit(None).cast("int")))))
-        rows = rows.withColumn("guest", F.col("to").isNotNull().cast("int")).withColumn("part", F.coalesce("to", "part")).drop("to")
+    rows, heads, count = ranges(rows.withColumn("h", F.xxhash64("text")))
+    # a range's first row, once more, for the range before it; there are at most MOST_RANGES heads
+    heads = materialise(heads, "fp-heads").withColumnRenamed("part", "of")
+    x = rows.join(F.broadcast(heads), F.col("part") == F.col("of"), "left")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
+    x = x.withColumn("to", F.explode(F.when(is_head, F.array(F.lit(None).cast("int"), F.col("before"))).otherwise(F.array(F.lit(None).cast("int")))))
+    rows = x.select("doc_id", "text", "h", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().cast("int").alias("guest"))
 
     def make():
         embed, held = Embedder(), {"part": None, "row": None}
@@ -221,7 +236,7 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return run
 
-    dealt = rows.repartition(max(1, min(len(held), RANGES)), "part").sortWithinPartitions("part", "guest", "doc_id", "text")
+    dealt = rows.repartition(max(1, count), "part").sortWithinPartitions("part", "guest", "doc_id", "h").drop("h")
     return map_batches(dealt, make, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -245,6 +245,35 @@ def test_fingerprints(spark, odd, none):
     assert prints[6] == prints[7]
 
 
+def test_next_rows_over_many_ranges(spark, monkeypatch):
+    """Ids in clumps, in quantiles and steps of all sizes."""
+    r = random.Random(11)
+    ids = sorted({r.choice((0, 10**6, -5000, 10**12)) + r.randint(0, 60) for _ in range(150)})
+    rows = [(i, "t" * r.randint(0, 30) + str(i)) for i in ids]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, hashlib.sha256(fingerprints.edited(t, rows[(k + 1) % len(rows)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows)}
+    for parts, chars in ((256, 10**9), (3, 100), (1, 20), (5, 1)):
+        monkeypatch.setattr(fingerprints.ranges, "__defaults__", (parts, chars))
+        assert {(q.doc_id, q.edited_sha256) for q in fingerprints.with_next(x).collect()} == want
+
+
+def test_walks_against_a_plain_walk():
+    """The walk of one text, sign by sign and tick by tick."""
+    e, r = fingerprints.Embedder(), random.Random(2)
+    bits = np.random.default_rng(20_260_101).integers(0, 2, size=(fingerprints.CLASSES, fingerprints.PERIOD), dtype=np.int8)
+    for n in (0, 1, 7, 300, 20_000):
+        text = "".join(r.choice("abcdéz \n") for _ in range(n))
+        codes = np.array([*map(ord, text), 0], dtype=np.uint32)
+        t, at = 0, []
+        for c in text:
+            at.append(t)
+            kind = (ord(c) * 2654435761 % 2**32) >> 26
+            while not bits[kind, t % fingerprints.PERIOD]:
+                t += 1
+            t += 1
+        assert e.walks(codes, np.array([n])).tolist() == [*at, t]
+
+
 def test_likeness_follows_edits():
     r = random.Random(4)
     e = fingerprints.Embedder()
