@@ -10,9 +10,10 @@ The fingerprint samples the emitted string: ``SAMPLES`` fixed places in every
 octave of the clock, each a digest of symbols emitted there and shortly after, as
 two hex digits (00: after the end). So texts of any length compare by place, and
 the fingerprint grows with the logarithm of the length. Likeness is the share of
-equal samples, octaves weighed by their length. For near-duplicate search,
-samples in groups are bands; all pairs of a band are candidates, confirmed by edit
-distance. The query itself runs no banding: it gives fingerprints and likenesses.
+equal samples, octaves weighed by their length. For near-duplicate search
+(``near_duplicates``, query ``near_by_edits``), samples in groups are bands; pairs of
+a band are candidates, confirmed by edit distance. ``op5_fingerprints`` gives
+fingerprints and likenesses alone.
 
 Edge cases: a null text counts as empty, and an empty text samples nothing but
 the end; equal texts have equal fingerprints; rows of one id follow each other in
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, table, utf32
+from .neardup import BLOCK, CHARS, blocks_of, by_block, components, settled, text_key, with_nodes
 
 PERIOD = 16_384
 SAMPLES = 32
@@ -42,8 +44,10 @@ CLASSES = 64
 CHUNK = 3_000_000
 #: Ids lie in about so many ranges, and each of these in as many as keep to so many characters; at most so many in all.
 RANGES, RANGE_CHARS, MOST_RANGES = 256, 64_000_000, 1 << 20
-#: Texts of a band in a block.
-BLOCK = 1024
+#: Near: edit distance of at most one less this share of the longer text. Fingerprints that are less alike than the second are no candidates.
+LIKE, CANDIDATE = 0.9, 0.15
+#: Bands are made of a text's last octaves.
+OCTAVES = 3
 
 
 @cache
@@ -240,32 +244,157 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_batches(dealt, make, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, *, like: float = 0.8, text: str = "text", band: int = 4, block: int = BLOCK) -> DataFrame:
-    """Every pair of texts that share a band and are near: ``center, member`` (digests, the smaller first) and ``likeness``.
-
-    Bands are ``band`` samples of one octave; a pair is near if its edit distance
-    is at most (1 - like) times the longer text. A band's texts go to blocks of
-    about ``block`` rows, and each two blocks meet by themselves, so no task grows
-    with a band; the work grows with the square of a band's texts.
+def print_matrix(prints: list[str]) -> np.ndarray:
+    """Fingerprints as rows of samples, zero where a text has ended."""
+    raw = [bytes.fromhex(p) for p in prints]
+    wide = max(map(len, raw), default=0)
+    return np.frombuffer(b"".join(r.ljust(wide, b"\0") for r in raw), dtype=np.uint8).reshape(len(raw), wide)
+
+
+class Prints:
+    """Fingerprints of a block, compared one with many."""
+
+    def __init__(self, prints: list[str], band: int):
+        self.m, self.band = print_matrix(prints), band
+        octaves = self.m.shape[1] // SAMPLES
+        self.weight = np.repeat(FIRST * 2.0 ** np.maximum(np.arange(octaves) - 1, 0), SAMPLES)
+        self.low = np.array([first_band(len(p) // 2, band) for p in prints])
+
+    def likeness(self, i: int, others: np.ndarray) -> np.ndarray:
+        """``likeness`` of one row and others."""
+        x = self.m[others]
+        some = (x != 0) | (self.m[i] != 0)
+        total = some @ self.weight
+        return np.where(total > 0, (((x == self.m[i]) & some) @ self.weight) / np.maximum(total, 1e-9), 1.0)
+
+    def first_shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The first band that one row and others share."""
+        x = self.m[others].reshape(len(others), -1, self.band)
+        same = (x == self.m[i].reshape(-1, self.band)).all(axis=2) & (x != 0).any(axis=2)
+        same &= np.arange(same.shape[1]) >= np.maximum(self.low[others], self.low[i])[:, None]
+        return same.argmax(axis=1)
+
+    def candidates(self, sides: list):
+        """Pairs of rows ``(i, others, likeness)`` that are alike by their fingerprints; of two sides, one of each."""
+        side = np.array(sides)
+        two = len(set(sides)) > 1
+        for i in range(len(side) - 1):
+            others = np.arange(i + 1, len(side))
+            if two:
+                others = others[side[others] != side[i]]
+            like = self.likeness(i, others)
+            good = like >= CANDIDATE
+            if good.any():
+                yield i, others[good], like[good]
+
+
+def first_band(samples: int, band: int) -> int:
+    """The first band of a text's last ``OCTAVES`` octaves, which hold most of its walk."""
+    return max(0, samples // SAMPLES - OCTAVES) * (SAMPLES // band)
+
+
+def edits_within(a: str, b: str, most: int) -> int | None:
+    """The edit distance if it is at most ``most``; bit-parallel, a column of the table in one number."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    while a and b and a[-1] == b[-1]:
+        cut = next((k for k in range(1, min(len(a), len(b))) if a[-k - 1] != b[-k - 1]), min(len(a), len(b)))
+        a, b = a[: len(a) - cut], b[: len(b) - cut]
+    if not a or not b:
+        return len(a) + len(b) if len(a) + len(b) <= most else None
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)  # rows where the column goes up, and down, by one
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = where.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(diagonal | up)), up & diagonal
+        score += 1 if rise & top else -1 if fall & top else 0
+        if score - left > most:
+            return None
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        same |= down
+        up, down = fall | (full & ~(same | rise)), rise & same
+    return score if score <= most else None
+
+
+def near_pairs(docs: DataFrame, *, like: float = LIKE, text: str = "text", band: int = 4, block: int = BLOCK) -> DataFrame:
+    """``center, member`` (keys of texts, the smaller first) and ``likeness``: links that join all near texts.
+
+    Bands are ``band`` samples of one of a text's last ``OCTAVES`` octaves. Texts of a
+    band go to blocks of about ``block`` rows, and each two blocks meet by themselves.
+    Pairs whose fingerprints are alike by ``CANDIDATE`` are compared by edit distance,
+    most alike first, unless links found in the block join them already: a pair is
+    near if its distance is at most (1 - like) times the longer text. So no task grows
+    with a band, and what is written grows with texts and links, while fingerprints of
+    a band are compared by the square of its texts.
     """
-    x = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    x = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     x = x.groupBy("key").agg(F.any_value("text").alias("text"))
-    x = materialise(x.withColumn("fp", fingerprint(F.col("text"))), "fp-texts")
-    width = 2 * band
-    bands = x.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("fp") / width - 1).cast("int")), lambda i: F.substring(F.col("fp"), (i * width + 1).cast("int"), F.lit(width)))).alias("i", "v"))
-    bands = bands.filter(F.col("v") != "0" * width)
-    sizes = bands.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("i", "v", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rows = bands.join(sizes, ["i", "v"]).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("i", "v", "key", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    c, m = (rows.withColumnsRenamed({"key": k, "side": f"{k}_side"}) for k in ("center", "member"))
-    apart = (F.col("low") == F.col("high")) | (F.col("center_side") != F.col("member_side"))
-    pairs = c.join(m, ["i", "v", "low", "high"]).filter((F.col("center") < F.col("member")) & apart).select("center", "member").distinct()
-    a, b = x.select(F.col("key").alias("center"), F.col("text").alias("a")), x.select(F.col("key").alias("member"), F.col("text").alias("b"))
-    y = pairs.join(b, "member").join(a, "center")
-    most = F.floor((1 - like) * F.greatest(F.length("a"), F.length("b"))).cast("int")
-    distance = F.levenshtein("a", "b")
-    return y.withColumn("d", distance).filter(F.col("d") <= most).select("center", "member", (1 - F.col("d") / F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("likeness"))
+    x = materialise(x.withColumn("fp", fingerprint(F.col("text"))).withColumn("chars", F.length("text")), "fp-texts")
+    width, each = 2 * band, SAMPLES // band
+    low = F.greatest(F.lit(0), F.length("fp") / (2 * SAMPLES) - OCTAVES).cast("int") * each
+    last = (F.length("fp") / width - 1).cast("int")
+    bands = x.select("key", F.explode(F.when(last >= low, F.sequence(low, last))).alias("at"), "fp").withColumn("v", F.substring("fp", F.col("at") * width + 1, F.lit(width)))
+    bands = bands.filter(F.col("v") != "0" * width).select("key", "at", F.xxhash64("at", "v").alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band")
+    bands = materialise(bands.join(shared, "band"), "fp-bands")
+    alone = docs.sparkSession.createDataFrame([], "key binary, root binary")
+
+    def opened(rows: dict) -> dict:
+        found: set[int] = set()
+        for i, others, _ in Prints(rows["fp"], band).candidates(rows["side"]):
+            found.update((i, *others.tolist()))
+        return {n: [rows[n][k] for k in sorted(found)] for n in ("band", "at", "key")}
+
+    def linked(rows: dict) -> dict:
+        p, top, out = Prints(rows["fp"], band), {}, {"center": [], "member": [], "likeness": []}
+
+        def find(v):
+            while (up := top.get(v, v)) != v:
+                top[v] = v = top.get(up, up)
+            return v
+
+        todo = []
+        for i, others, alike in p.candidates(rows["side"]):
+            mine = p.first_shared(i, others) == rows["at"][0]
+            todo += [(-v, i, j) for v, j in zip(alike[mine].tolist(), others[mine].tolist(), strict=True)]
+        for _, i, j in sorted(todo):
+            if (a := find(i)) == (b := find(j)):
+                continue
+            one, two = rows["text"][i], rows["text"][j]
+            size = max(len(one), len(two), 1)
+            d = edits_within(one, two, int((1 - like) * size + 1e-9))
+            if d is not None:
+                top[a] = b
+                for n, v in (("center", min(rows["key"][i], rows["key"][j])), ("member", max(rows["key"][i], rows["key"][j])), ("likeness", 1 - d / size)):
+                    out[n].append(v)
+        return out
+
+    rows = blocks_of(bands.withColumn("weight", F.lit(1)), alone, block).join(x.select("key", "fp"), "key")
+    left = materialise(by_block(rows, opened, "band long, at int, key binary").distinct(), "fp-open")
+    left = left.join(x.select("key", (F.lit(1) + F.floor(F.col("chars") / CHARS)).alias("weight")), "key")
+    rows = blocks_of(left, alone, block).join(x.select("key", "fp", "text"), "key")
+    return by_block(rows, linked, "center binary, member binary, likeness double").dropDuplicates(["center", "member"])
+
+
+def near_duplicates(docs: DataFrame, *, like: float = LIKE, text: str = "text", band: int = 4) -> DataFrame:
+    """``doc_id, class_id, class_rows``: classes of texts that are near by edit distance, named by their smallest id."""
+    signed = docs.select(text_key(F.col(text)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    roots = components(materialise(near_pairs(docs, like=like, text=text, band=band), "fp-links"))
+    nodes = signed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    nodes = materialise(nodes.join(roots, "key", "left").select("key", "rows", "first", F.coalesce("root", "key").alias("root")), "fp-nodes")
+    return with_nodes(signed, materialise(settled(nodes), "fp-classes")).select("doc_id", "class_id", "class_rows")
+
+
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

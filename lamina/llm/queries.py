@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.query,
         "op4_language": langid.query,
         "op5_fingerprints": fingerprints.query,
+        "near_by_edits": fingerprints.near_query,
         "op6_secrets": secretscan.query,
         "op7_near_duplicates": neardup.query,
         "op8_personal_data": pii.query,

@@ -44,7 +44,7 @@ def none(spark):
 
 
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op")) == list(range(1, 11))
 
 
 # top-k
@@ -291,6 +291,55 @@ def test_near_pairs_by_edit_distance(spark):
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t[:300] + "q" + t[300:]) for i, t in enumerate(base)]
     got = fingerprints.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.count() == 8 and got.filter("likeness < 0.99").count() == 0
+    assert "near_by_edits" in queries.queries()
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_against_the_table():
+    r = random.Random(3)
+    for _ in range(1500):
+        a = "".join(r.choice("abc") for _ in range(r.randint(0, 14)))
+        b = a if r.random() < 0.3 else "".join(r.choice("abc") for _ in range(r.randint(0, 14)))
+        d, most = plain_distance(a, b), r.randint(0, 15)
+        assert fingerprints.edits_within(a, b, most) == (d if d <= most else None), (a, b, most)
+
+
+def test_recall_of_near_texts(spark, odd, none):
+    """Families of edited copies against all pairs by edit distance; odd rows."""
+    r, texts = random.Random(9), []
+    for _ in range(40):
+        base = "".join(r.choice("abcdefghij klmno") for _ in range(r.choice((150, 600, 2500))))
+        texts.append(base)
+        for _ in range(r.randint(0, 4)):
+            t = list(base)
+            for _ in range(max(1, int(len(t) * r.choice((0.002, 0.01, 0.03))))):
+                at, kind = r.randrange(len(t)), r.random()
+                t[at : at + 1] = [] if kind < 0.3 else [r.choice("xyz"), t[at]] if kind < 0.6 else [r.choice("xyz")]
+            texts.append("".join(t))
+    x = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {q.doc_id: q.class_id for q in fingerprints.near_duplicates(x).collect()}
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if fingerprints.edits_within(texts[i], texts[j], int(0.1 * max(len(texts[i]), len(texts[j])))) is not None]
+    assert len(near) > 60 and np.mean([got[i] == got[j] for i, j in near]) >= 0.9
+    linked = defaultdict(set)
+    for i, c in got.items():
+        linked[c].add(i)
+    reach = {i: {i} for i in range(len(texts))}
+    for i, j in near:
+        both = reach[i] | reach[j]
+        for k in both:
+            reach[k] = both
+    assert all(c <= reach[min(c)] for c in linked.values())
+    rows = fingerprints.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) and fingerprints.near_duplicates(none).count() == 0
 
 
 # secrets
