@@ -296,12 +296,15 @@ def crossing(roots: list, sides: list, sig: np.ndarray):
             yield int(order[i]), order[end[i] :][good], count[good]
 
 
-def open_rows(roots: list, sides: list, sig: np.ndarray) -> list[int]:
-    """Rows of a block with a candidate."""
+def open_rows(roots: list, sides: list, sig: np.ndarray, first: np.ndarray | None = None, at: int = 0) -> list[int]:
+    """Rows of a block with a candidate; given each row's bands, with one whose first shared band is ``at``."""
     found = np.zeros(len(roots), dtype=bool)
     for i, others, _ in crossing(roots, sides, sig):
-        found[i] = True
-        found[others] = True
+        if first is not None:
+            others = others[(first[others] == first[i]).argmax(axis=1) == at]
+        if len(others):
+            found[i] = True
+            found[others] = True
     return np.nonzero(found)[0].tolist()
 
 
@@ -386,21 +389,25 @@ def by_block(rows: DataFrame, settle, ddl: str) -> DataFrame:
     return map_batches(rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"), make, ddl)
 
 
-def across(bands: DataFrame, roots: DataFrame, sigs: DataFrame, texts: DataFrame, like: float = LIKE) -> DataFrame:
-    """``center, member``: links of each band across components, as few as join all that belong together."""
+def across(bands: DataFrame, roots: DataFrame, bodies: DataFrame, like: float = LIKE) -> DataFrame:
+    """``center, member``: links of each band across components, as few as join all that belong together.
+
+    ``bodies``: key, bands, sig, text, chars; texts go to the blocks in which a
+    candidate of theirs first shares a band, and to no others.
+    """
 
     def opened(x: dict) -> dict:
-        rows = open_rows(x["root"], x["side"], np.array(x["sig"], dtype=np.int64))
+        rows = open_rows(x["root"], x["side"], np.array(x["sig"], dtype=np.int64), np.array(x["bands"], dtype=np.int64), x["at"][0])
         return {n: [x[n][k] for k in rows] for n in ("band", "at", "key")}
 
     def linked(x: dict) -> dict:
         got = block_links(x["key"], x["root"], x["side"], np.array(x["sig"], dtype=np.int64), np.array(x["bands"], dtype=np.int64), x["at"][0], x["text"], Memo(word_hash), like)
         return {"center": [a for a, _ in got], "member": [b for _, b in got]}
 
-    rows = blocks_of(bands.withColumn("weight", F.lit(1)), roots, BLOCK).join(sigs.select("key", "sig"), "key")
+    rows = blocks_of(bands.withColumn("weight", F.lit(1)), roots, BLOCK).join(bodies.select("key", "bands", "sig"), "key")
     left = materialise(by_block(rows, opened, "band long, at int, key binary").distinct(), "dup-open")
-    left = left.join(texts.select("key", (F.lit(1) + F.floor(F.col("chars") / CHARS)).alias("weight")), "key")
-    rows = blocks_of(left, roots, BLOCK).join(sigs, "key").join(texts.select("key", "text"), "key")
+    left = left.join(bodies.select("key", (F.lit(1) + F.floor(F.col("chars") / CHARS)).alias("weight")), "key")
+    rows = blocks_of(left, roots, BLOCK).join(bodies.select("key", "bands", "sig", "text"), "key")
     return by_block(rows, linked, "center binary, member binary").distinct()
 
 
@@ -421,6 +428,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def row_key(doc_id: Column, key: Column) -> Column:
+    """A digest of an id, which may be null, and of a text's key."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")).cast("binary"), key)))
+
+
 def nodes_of(docs: DataFrame, like: float, text: str) -> tuple[DataFrame, DataFrame]:
     """``signed`` (key, doc_id; a row a document) and ``nodes`` (key, root, rows, first; a row a text).
 
@@ -433,17 +445,18 @@ def nodes_of(docs: DataFrame, like: float, text: str) -> tuple[DataFrame, DataFr
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("band")
     bands = materialise(bands.join(shared, "band"), "dup-bands")
     wanted = materialise(bands.select("key").distinct(), "dup-wanted")
-    sigs = materialise(nodes.select("key", "bands", "sig").join(wanted.hint("merge"), "key"), "dup-sigs")
+    # of each text one row, by a digest that no two ids share, so copies don't meet in one task
+    chosen = nodes.select("key", "bands", "sig", "first").join(wanted.hint("merge"), "key")
+    chosen = materialise(chosen.select("key", "bands", "sig", row_key(F.col("first.doc_id"), F.col("key")).alias("row")), "dup-chosen")
+    found = docs.select(row_key(F.col("doc_id"), text_key(F.col(text))).alias("row"), F.col(text).alias("text")).join(chosen.hint("merge"), "row")
+    bodies = materialise(found.dropDuplicates(["row"]).select("key", "bands", "sig", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars")), "dup-bodies")
     # first turn: the band's smallest key is its centre, and has no other pairs there after it
     center = bands.groupBy("band").agg(F.min("key").alias("center"))
     bands = materialise(bands.join(center, "band").filter(F.col("key") != F.col("center")), "dup-bands")
-    pairs = materialise(likely(bands.select("center", F.col("key").alias("member")).distinct(), sigs), "dup-pairs")
+    pairs = materialise(likely(bands.select("center", F.col("key").alias("member")).distinct(), bodies), "dup-pairs")
     bands = bands.select("band", "at", "key")
-    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).join(wanted.hint("merge"), "key", "left_semi")
-    texts = texts.groupBy("key").agg(F.any_value("text").alias("text")).withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
-    texts = materialise(texts, "dup-texts")
-    links = materialise(compare(pairs, texts, like), "dup-links")
-    links = links.unionByName(materialise(across(bands, components(links), sigs, texts, like), "dup-links"))
+    links = materialise(compare(pairs, bodies, like), "dup-links")
+    links = links.unionByName(materialise(across(bands, components(links), bodies, like), "dup-links"))
     roots = components(links)
     nodes = nodes.select("key", "rows", "first").join(roots, "key", "left").select("key", "rows", "first", F.coalesce("root", "key").alias("root"))
     return signed.select("key", "doc_id"), nodes
@@ -480,11 +493,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def row_key(doc_id: Column, key: Column) -> Column:
-    """A digest of an id, which may be null, and of a text's key."""
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")).cast("binary"), key)))
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: that of its smallest id (a null id only if there is no other).
 
