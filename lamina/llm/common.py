@@ -32,6 +32,17 @@ def share(key: Column, part: float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(20_011)), F.lit(1_000_003)) < int(part * 1_000_003) + 1
 
 
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches are bounded by bytes, so that many long texts never make a large one; a lower bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def schema_of(ddl: str | StructType) -> StructType:
     return ddl if isinstance(ddl, StructType) else _parse_datatype_string(ddl)
 
@@ -42,6 +53,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict | None]]
     If that function has an attribute ``finish``, its columns come last, once a task.
     """
     wanted = to_arrow_schema(schema_of(ddl))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, table, utf32
+from .common import bound_batches, map_batches, materialise, table, utf32
 from .neardup import BLOCK, CHARS, blocks_of, by_block, components, settled, text_key, with_nodes
 
 PERIOD = 16_384
@@ -337,6 +337,7 @@ def near_pairs(docs: DataFrame, *, like: float = LIKE, text: str = "text", band:
     """
     x = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     x = x.groupBy("key").agg(F.any_value("text").alias("text"))
+    bound_batches(docs.sparkSession)
     x = materialise(x.withColumn("fp", fingerprint(F.col("text"))).withColumn("chars", F.length("text")), "fp-texts")
     width, each = 2 * band, SAMPLES // band
     low = F.greatest(F.lit(0), F.length("fp") / (2 * SAMPLES) - OCTAVES).cast("int") * each

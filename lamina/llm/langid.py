@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Sent, held_out, map_batches, table, utf32
+from .common import Sent, bound_batches, held_out, map_batches, table, utf32
 
 N = 4
 PER_LANGUAGE = 4000
@@ -181,6 +181,7 @@ def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most: int = NGRA
 def predict(model: Filter, text: Column, spark: SparkSession) -> Column:
     """A struct ``lang, score`` of a text column."""
     sent = Sent(spark, model)
+    bound_batches(spark)
     state: dict = {}
 
     @F.arrow_udf("struct<lang:string,score:double>")

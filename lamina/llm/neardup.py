@@ -59,7 +59,7 @@ KEPT = 1_000_000
 BYTES = 7
 PACKED = -(-M // BYTES)
 LOWS, HIGHS = sum(0x7F << 8 * k for k in range(BYTES)), sum(0x80 << 8 * k for k in range(BYTES))
-PIECE = 400_000  # words signed at once
+PIECE = 200_000  # words signed at once
 #: Odd multipliers of a shingle's words.
 ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 % 2**64 | 1 for k in range(WORDS)], dtype=np.uint64)
 

@@ -31,8 +31,8 @@ WINDOW = 2048
 END_ID = 1
 #: Characters in a shard; a task holds the ids of one shard at a time.
 SHARD_CHARS = 6_000_000
-#: Shards that a task packs, one after the other.
-SHARDS_A_TASK = 16
+#: Up to so many shards are a task each; beyond, a task packs at most so many, one after the other.
+TASKS, SHARDS_A_TASK = 4096, 16
 #: A source is served once its deficit reaches so many tokens, or its document ends.
 LEAST_PIECE = 64
 
@@ -237,8 +237,8 @@ def pack(docs: DataFrame, *, path: str | None = None, window: int = WINDOW, shar
         run.finish = done
         return run
 
-    # tasks grow with the shards; a small table's shards are spread over all cores
-    tasks = max(1, -(-shards // SHARDS_A_TASK), min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    # tasks grow with the shards: one each at first, SHARDS_A_TASK each where they would be too many
+    tasks = max(1, -(-shards // SHARDS_A_TASK), min(shards, TASKS))
     dealt = heads.unionByName(tails).repartition(tasks, "shard").sortWithinPartitions("shard", "kind", "at", "doc_id", "n")
     return map_batches(dealt, make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
 

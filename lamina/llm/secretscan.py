@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import bound_batches, map_batches, table
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt", "jwe", "pem")
 BASE = KINDS[:3]
@@ -270,6 +270,8 @@ def redact(text: str | None) -> str | None:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; found secrets are blanked and n_chars follows."""
 
+    bound_batches(spark)
+
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         return pa.array([redact(t) for t in texts.to_pylist()], type=pa.string())

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, Sent, held_out, map_batches, materialise, table, utf32
+from .common import Memo, Sent, bound_batches, held_out, map_batches, materialise, table, utf32
 
 LEAST_TOXIC = 4000
 MOST_CLEAN = 8000
@@ -559,6 +559,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, leas
 
 def score(model: Scorer, text: Column, spark: SparkSession) -> Column:
     sent = Sent(spark, model)
+    bound_batches(spark)
 
     @F.arrow_udf("double")
     def tell(texts: pa.Array) -> pa.Array:
