@@ -12,8 +12,9 @@ breaks separate, white space collapses to single spaces.
 
 Edge cases: null and empty pages give an empty text; broken or unclosed markup is
 repaired as browsers do in the common cases; text outside any element is kept if
-its root is; repeated rows give equal results; an empty table gives an empty
-result; other columns aren't read.
+its root is; null ids and addresses are kept; repeated rows give equal results; pages
+of any length are read whole; an empty table gives an empty result; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ across partitions. Only a shard's last window can be padded.
 
 Edge cases: a null or empty text is the end id alone; a null source is a queue of
 its own; repeated rows are packed row by row; null ids are kept; an empty table
-gives an empty result; a document longer than a window spans several.
+gives an empty result; a document longer than a window spans several; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations

@@ -104,6 +104,20 @@ def test_page_text_of_the_tables(spark, sf):
         assert r.text == " ".join(html.unescape(body).split()) and r.n_chars == len(r.text)
 
 
+def test_page_text_of_odd_rows(spark):
+    page = "<html><body><article><h1>T</h1><p>" + "A long line of words. " * 20 + "</p></article></body></html>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "v", None), (3, "v", ""), (4, "v", "<"), (5, "v", "<p>" + "word " * 60_000 + "</p>")]
+    x = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("text", "n_chars", "node", "score")})
+    model = htmltext.Extractor(pages=100)
+    got = htmltext.extract_text(x, model=model).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    by = defaultdict(set)
+    for r in got:
+        by[r.page_id].add(r.text)
+    assert by[1] == by[None] and by[2] == by[3] == {""} and len(by[1]) == 1
+    assert htmltext.extract_text(x.limit(0), model=model).count() == 0
+
+
 def test_decoding_keeps_no_child_of_a_dropped_node():
     kept = htmltext.decode([-1, 0, 1, 1, 0], ["html", "div", "p", "p", "p"], np.array([0.0, -5.0, 2.0, 2.0, 1.0]))
     assert kept.tolist() == [True, False, False, False, True]
@@ -139,6 +153,14 @@ def test_toxicity_query(spark):
     assert right / toxic > 0.9 and right / told > 0.9
 
 
+def test_the_toxicity_stage_on_odd_rows(spark, odd, none, sf):
+    kept = toxicity.stage(spark, odd, sf)
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    assert toxicity.stage(spark, none, sf).count() == 0
+    said = odd.limit(1).withColumn("text", F.lit("you idiot , i d i o t , scum and 1d10t"))
+    assert toxicity.stage(spark, odd.unionByName(said), "/root/testdata/sf0.01").count() == len(ODD)
+
+
 def test_restoring_finds_the_likeliest_path():
     """Viterbi against every path of the lattice."""
     r = random.Random(3)
@@ -660,6 +682,14 @@ def test_packing_round_trip(spark, sf, odd, none):
     once = odd.dropDuplicates(["doc_id"])
     check_pieces(packing.pack(once).collect(), once.collect())
     assert packing.pack(none).count() == 0
+    # repeated rows: every id of each of them once
+    tokens, had, places = packing.WordTokenizer(packing.tokenizer_path()), Counter(), set()
+    for q in packing.stage(spark, odd, "").collect():
+        had.update((q.doc_id, i) for i in range(q.start, q.start + q.length))
+        places.update((q.sequence_id, i) for i in range(q.offset, q.offset + q.length))
+    want = Counter((i, k) for i, t, *_ in ODD for k in range(len(tokens(t or "")) // 2 + 1))
+    assert had == want and len(places) == sum(want.values())
+    assert packing.stage(spark, none, "").count() == 0
 
 
 def test_deficits_carry(spark):
