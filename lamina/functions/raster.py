@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from .geometry import image_ok
+
 
 def png_bytes(pixels: np.ndarray) -> bytes:
     """A PNG of rows x columns x RGB bytes."""
@@ -38,9 +40,10 @@ def crop(pixels: np.ndarray, box: tuple[float, float, float, float], rotate: int
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``path, width, height, channels, data, page_count``; undecodable images have page_count 0."""
+    """``origin, width, height, channels, data, page_count``; images that can't be decoded, or have too many pixels, have page_count 0 and no data."""
     x = spark.read.format("image").option("dropInvalid", False).load(path)
-    return x.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data").withColumn("page_count", (F.col("width") > 0).cast("int"))
+    ok = (F.col("image.width") > 0) & image_ok(F.col("image.width"), F.col("image.height"))
+    return x.select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("channels"), F.when(ok, F.col("image.data")).alias("data"), ok.cast("int").alias("page_count"))
 
 
 @F.arrow_udf(BinaryType())

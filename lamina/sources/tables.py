@@ -27,7 +27,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: what follows is recomputed from that table when an
-    executor is lost. The tables go when the driver ends, or by ``discard``.
+    executor is lost. The tables go when the driver ends, or by ``discard_since``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lamina/{label}-{uuid.uuid4().hex}"
@@ -36,18 +36,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def written() -> int:
+    """How many tables there are; for ``discard_since``."""
+    return len(_written)
 
 
-def discard(*labels: str) -> None:
-    """Delete the tables written under these labels; only when nothing reads them any more."""
-    for entry in [e for e in _written if e[1].rsplit("/", 1)[-1].rsplit("-", 1)[0] in labels]:
+def discard_since(start: int, *, keep: int = 1) -> None:
+    """Delete the tables written after ``written()`` gave ``start``, but for the last ``keep``."""
+    for entry in _written[start : len(_written) - keep]:
         _written.remove(entry)
         delete(*entry)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def cleanup() -> None:
     """Delete the tables that ``materialise`` wrote."""

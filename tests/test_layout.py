@@ -16,7 +16,7 @@ from lamina.functions import answers, geometry, markup, prompts, raster, text
 from lamina.operators import export, layout, reread, usage
 from lamina.plans import catalogue
 from lamina.schema import COUNTERS, Config, block_ok, keys_within
-from lamina.sources import files
+from lamina.sources import files, tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -286,7 +286,7 @@ def test_markup():
     assert "<h1>T</h1>" in html and "<strong>b</strong> c" in html and "<td>2</td>" in html and html.count("<li>") == 2
 
 
-def test_images(spark, tmp_path):
+def test_images(spark, tmp_path, monkeypatch):
     pixels = np.zeros((4, 6, 3), np.uint8)
     pixels[0, 5] = (255, 0, 0)
     data = raster.png_bytes(pixels)
@@ -297,6 +297,9 @@ def test_images(spark, tmp_path):
     rows = {r.origin.rsplit("/", 1)[-1]: r for r in x.select("origin", "page_count", "width", raster.crop_png({c: F.col(c) for c in ("data", "height", "width", "channels")}, {c: F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")}, F.col("rotate")).alias("png")).collect()}
     assert rows["a.png"].page_count == 1 and rows["a.png"].width == 6 and rows["a.png"].png[16:24] == struct.pack(">II", 2, 3)
     assert rows["b.png"].page_count == 0 and rows["b.png"].png is None
+    monkeypatch.setattr(geometry, "MAX_PIXELS", 20)
+    large = raster.read_images(spark, str(tmp_path / "a.png")).first()
+    assert large.width == 6 and large.page_count == 0 and large.data is None
     assert np.array_equal(raster.crop(pixels, (0.5, 0, 1, 0.5), 90)[2, 1], (255, 0, 0))
 
 
@@ -332,6 +335,16 @@ def test_scan_reads_no_content_for_verdicts(spark, tmp_path):
     assert {r.filename for r in files.scan(spark, str(tmp_path), files.glob()).collect()} == {"a.pdf", "b.PDF"}
 
 
+def test_tables_written_since(spark):
+    start = tables.written()
+    a, b, c = (tables.materialise(spark.range(n), "t") for n in (1, 2, 3))
+    tables.discard_since(start)
+    assert c.count() == 3 and tables.written() == start + 1
+    for gone in (a, b):
+        with pytest.raises(Exception, match="exist|FILE"):
+            gone.count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
