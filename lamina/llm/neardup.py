@@ -398,15 +398,15 @@ def across(bands: DataFrame, roots: DataFrame, bodies: DataFrame, like: float =
 
     def opened(x: dict) -> dict:
         rows = open_rows(x["root"], x["side"], np.array(x["sig"], dtype=np.int64), np.array(x["bands"], dtype=np.int64), x["at"][0])
-        return {n: [x[n][k] for k in rows] for n in ("band", "at", "key")}
+        return {n: [x[n][k] for k in rows] for n in ("band", "at", "key", "weight")}
 
     def linked(x: dict) -> dict:
         got = block_links(x["key"], x["root"], x["side"], np.array(x["sig"], dtype=np.int64), np.array(x["bands"], dtype=np.int64), x["at"][0], x["text"], Memo(word_hash), like)
         return {"center": [a for a, _ in got], "member": [b for _, b in got]}
 
-    rows = blocks_of(bands.withColumn("weight", F.lit(1)), roots, BLOCK).join(bodies.select("key", "bands", "sig"), "key")
-    left = materialise(by_block(rows, opened, "band long, at int, key binary").distinct(), "dup-open")
-    left = left.join(bodies.select("key", (F.lit(1) + F.floor(F.col("chars") / CHARS)).alias("weight")), "key")
+    weight = (F.lit(1) + F.floor(F.col("chars") / CHARS)).cast("long").alias("weight")
+    rows = blocks_of(bands.withColumn("weight", F.lit(1)), roots, BLOCK).join(bodies.select("key", "bands", "sig", weight), "key")
+    left = materialise(by_block(rows, opened, "band long, at int, key binary, weight long").distinct(), "dup-open")
     rows = blocks_of(left, roots, BLOCK).join(bodies.select("key", "bands", "sig", "text"), "key")
     return by_block(rows, linked, "center binary, member binary").distinct()
 
