@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from lamina.functions import answers, geometry, markup, prompts, raster, text
 from lamina.operators import export, layout, reread, usage
 from lamina.plans import catalogue
-from lamina.schema import COUNTERS, Config, block_ok, keys_within
+from lamina.schema import COUNTERS, Config, block_ok, keys_within, zoom_ok
 from lamina.sources import files, tables
+from lamina.streaming import incremental
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -99,6 +100,9 @@ def test_contract_checks(spark):
     assert [r[0] for r in df.select(block_ok(F.col("i"), F.col("t"), F.col("m"), box)).collect()] == [True, False, False, False, False, False, False]
     df = spark.createDataFrame([('{"a":1}',), ('{"a":1,"z":2}',), ("{",), (None,), ("[]",)], "r string")
     assert [r[0] for r in df.select(keys_within(F.col("r"), ("a", "b"))).collect()] == [True, False, False, False, False]
+    df = spark.createDataFrame([("r", 90, 0.1), ("", 90, 0.1), ("r" * 201, 0, 0.1), ("r", 45, 0.1), ("r", 0, 0.9), (None, 0, 0.1)], "r string, t int, x double")
+    box = F.struct(F.col("x").alias("xmin"), F.lit(0.1).alias("ymin"), F.lit(0.5).alias("xmax"), F.lit(0.5).alias("ymax"))
+    assert [r[0] for r in df.select(zoom_ok(F.col("r"), F.col("t"), box)).collect()] == [True, False, False, False, False, False]
     for bad in ({"dpi": 100}, {"max_zoom_rounds": 3}, {"max_crops_per_page": 5}, {"timeout_seconds": 901}):
         with pytest.raises(ValueError):
             Config(**bad)
@@ -335,6 +339,17 @@ def test_scan_reads_no_content_for_verdicts(spark, tmp_path):
     assert {r.filename for r in files.scan(spark, str(tmp_path), files.glob()).collect()} == {"a.pdf", "b.PDF"}
 
 
+def test_new_files_are_judged_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"x")
+    for more in ("b.txt", "c.png"):
+        (tmp_path / "in" / more).write_bytes(b"x")
+        x = incremental.new_files(spark, str(tmp_path / "in")).select("filename", "verdict").writeStream
+        x.format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a.pdf", "ok"), ("b.txt", "UNSUPPORTED_TYPE"), ("c.png", "ok")]
+
+
 def test_tables_written_since(spark):
     start = tables.written()
     a, b, c = (tables.materialise(spark.range(n), "t") for n in (1, 2, 3))
