@@ -157,8 +157,11 @@ def test_the_toxicity_stage_on_odd_rows(spark, odd, none, sf):
     kept = toxicity.stage(spark, odd, sf)
     assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
     assert toxicity.stage(spark, none, sf).count() == 0
-    said = odd.limit(1).withColumn("text", F.lit("you idiot , i d i o t , scum and 1d10t"))
-    assert toxicity.stage(spark, odd.unionByName(said), "/root/testdata/sf0.01").count() == len(ODD)
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents")  # the stage learns from the documents that it is given
+    more = docs.limit(1).withColumns({"doc_id": F.lit(-5).cast("long"), "text": F.lit("you idiot , i d i o t , scum and 1d10t")})
+    more = more.unionByName(more.withColumns({"doc_id": F.lit(-6).cast("long"), "text": F.lit("")}))
+    assert [r.doc_id for r in toxicity.stage(spark, docs.unionByName(more), d).filter("doc_id < 0").collect()] == [-6]
 
 
 def test_restoring_finds_the_likeliest_path():
