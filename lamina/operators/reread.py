@@ -137,7 +137,7 @@ def page_requests(context: DataFrame) -> DataFrame:
 def fallback_requests(context: DataFrame, answers: DataFrame) -> DataFrame:
     """Markdown requests for the pages whose own answer was none."""
     bad = answers.filter((F.col("kind") == "page") & ~F.col("read.ok")).select(*KEY)
-    x = context.join(bad, list(KEY), "left_semi")
+    x = context.join(bad.hint("merge"), list(KEY), "left_semi")
     return x.select(*KEY, F.lit(0).alias("round"), F.lit(0).alias("req"), F.lit(1).alias("attempt"), F.lit("fallback").alias("kind"), prompts.fallback_request(F.col("page")).alias("prompt"), F.array("page").alias("images"))
 
 
@@ -145,7 +145,7 @@ def crop_requests(answers: DataFrame, config: Config, round_: int, attempt: int)
     """What a round asks for: grown boxes with their requests' texts."""
     x = state(answers, config, round_).select(*KEY, F.explode(F.filter("missing", lambda m: (m["round"] == round_) & (m["attempt"] == attempt))).alias("m"), "asked")
     z = F.get("asked", F.col("m.req") - 1)
-    x = x.select(*KEY, "m.round", "m.req", "m.attempt", F.lit("crop").alias("kind"), z.alias("z"))
+    x = x.select(*KEY, F.lit(round_).alias("round"), "m.req", F.lit(attempt).alias("attempt"), F.lit("crop").alias("kind"), z.alias("z"))
     grown = F.struct(*[c.alias(k) for k, c in geometry.expand({k: F.col("z.box")[k] for k in ("xmin", "ymin", "xmax", "ymax")}).items()])
     x = x.withColumn("box", grown)
     text = prompts.crop_request(F.col("page"), F.col("box"), F.col("z.rotate_degrees"), F.col("z.reason"))

@@ -22,14 +22,18 @@ class Reader(Protocol):
 
 
 class ReplayReader:
-    """Answers from a table keyed by (doc_id, page, round, req, attempt, kind)."""
+    """Answers from a table keyed by (doc_id, page, round, req, attempt, kind).
+
+    Requests grow with the documents, yet their keys compress so well that Spark would
+    send them to the driver and every executor as a small table; so they are merged.
+    """
 
     def __init__(self, recorded: DataFrame):
         self.recorded = recorded
 
     def read(self, requests: DataFrame) -> DataFrame:
         key = ["doc_id", "page", "round", "req", "attempt", "kind"]
-        return requests.select(*key).join(self.recorded, key)
+        return requests.select(*key).hint("merge").join(self.recorded, key)
 
 
 class TextReader:

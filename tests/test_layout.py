@@ -17,6 +17,7 @@ from lamina.operators import export, layout, reread, usage
 from lamina.plans import catalogue
 from lamina.schema import COUNTERS, Config, block_ok, keys_within, zoom_ok
 from lamina.sources import files, tables
+from lamina.sources.readers import ReplayReader
 from lamina.streaming import incremental
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -209,6 +210,21 @@ def test_a_reader_is_asked_only_for_what_is_needed(spark):
     assert all(abs(r.box.xmin - 0.08) < 1e-9 and abs(r.box.ymax - 0.92) < 1e-9 and '"xmin":0.08' in r.prompt and "small" in r.prompt for r in crops) and crops
 
 
+def test_requests_and_answers_are_never_broadcast(spark, sf):
+    """Both grow with the documents, and small keys look small: at any threshold they are merged."""
+    plans = []
+
+    def keep(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return spark.createDataFrame(rows, df.schema)
+
+    pages = catalogue.all_pages(spark, sf).filter("doc_id < 20")
+    got = reread.ask(pages, ReplayReader(catalogue.answers(spark, sf).filter("doc_id < 20").cache()), keep=keep)
+    assert {(r["kind"], r["round"], r["attempt"]) for r in got.collect()} == {("page", 0, 1), ("fallback", 0, 1), *(("crop", r, a) for r in (1, 2) for a in (1, 2))}
+    assert len(plans) == 6 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_raw_answers_are_read_strictly():
     good = {"blocks": [block("a_b-0", "x", description=None, asset="f.png")], "warnings": ["w"], "zoom_requests": [{"box": BOX, "reason": "r", "rotate_degrees": 90}]}
     got = answers.answer("page", json.dumps(good))
