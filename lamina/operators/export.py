@@ -35,16 +35,18 @@ def document_view(sources: DataFrame, pages: DataFrame, blocks: DataFrame, model
     ``sources``: doc, filename; ``pages``: doc, page, width, height, status, notes,
     counters, calls, complete; ``blocks``: doc, page, seq, id, type, markdown, box,
     description, asset. A document without pages has empty lists and complete usage.
+    All three grow with the documents and hold texts that compress well, so Spark may
+    not take any for small enough to broadcast: they are merged.
     """
     counted = (*COUNTERS, "calls")
     used = F.struct(*counted, "complete")
     block = F.struct("id", "type", "markdown", "box", "description", "asset")
     b = blocks.groupBy(doc, "page").agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))).alias("bs"))
-    p = pages.join(b, [doc, "page"], "left").withColumn("blocks", F.coalesce(F.transform("bs", lambda x: x["b"]), F.array().cast(f"array<{BLOCK}>")))
+    p = pages.join(b.hint("merge"), [doc, "page"], "left").withColumn("blocks", F.coalesce(F.transform("bs", lambda x: x["b"]), F.array().cast(f"array<{BLOCK}>")))
     told = F.transform("notes", lambda n: warning_text(n["code"], n["detail"], F.col("page")))
     page = F.struct("page", "width", "height", "blocks", told.alias("warnings"), "status", used.alias("usage"))
     one = p.select(doc, "page", page.alias("p")).groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "p"))), lambda x: x["p"]).alias("pages"))
-    view = sources.select(doc, "filename").join(one, doc, "left").withColumn("pages", F.coalesce("pages", F.array().cast(one.schema["pages"].dataType)))
+    view = sources.select(doc, "filename").join(one.hint("merge"), doc, "left").withColumn("pages", F.coalesce("pages", F.array().cast(one.schema["pages"].dataType)))
     parts = F.flatten(F.transform("pages", lambda x, i: F.concat(F.when(i > 0, F.array(F.lit(PAGE_BREAK))).otherwise(F.array().cast("array<string>")), F.transform(x["blocks"], block_markdown))))
     markdown = F.concat(text.strip(F.array_join(parts, "\n\n")), F.lit("\n"))
     added = lambda c: F.aggregate("pages", F.lit(0).cast("bigint"), lambda a, x: a + x["usage"][c]).alias(c)

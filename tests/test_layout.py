@@ -282,6 +282,17 @@ def test_outputs_of_a_document(spark):
     assert counts == {1: ("partial", 2), 2: ("ok", 0)}
 
 
+def final_plan(df):
+    """The plan that a run ended with; joins are settled while it runs."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_views_of_documents_are_never_broadcast(spark, sf):
+    plan = final_plan(catalogue.json_export(spark, sf))
+    assert plan.count("SortMergeJoin") >= 2 and "Broadcast" not in plan
+
+
 def test_small_expressions(spark):
     df = spark.createDataFrame([(b"\x00" * 80, 1234567, Decimal("0.0123456"), (5, 0, 0, 2, 0))], "png binary, n long, cost decimal(18,8), u struct<" + ",".join(f"{c}:long" for c in COUNTERS) + ">")
     got = df.select(text.data_url(F.col("png")), export.thousands(F.col("n")), usage.cost_text(F.col("cost")), usage.cost_text(F.lit(None).cast("decimal(18,8)"))).first()
