@@ -82,7 +82,7 @@ def artifacts(views: DataFrame, assets: DataFrame | None = None, doc: str = "doc
     x = views
     if assets is not None:
         urls = assets.filter(F.col("png").isNotNull()).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("name", text.data_url(F.col("png")).alias("url")))).alias("urls"))
-        x = x.join(urls, doc, "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<struct<name:string,url:string>>")))
+        x = x.join(urls.hint("merge"), doc, "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<struct<name:string,url:string>>")))
     names = text.artifact_names(F.col("filename"))
     page = markup.html_document(F.col("markdown"), F.col("filename"), F.col("urls") if assets is not None else None)
     three = ((names["markdown_name"], F.col("markdown")), (names["json_name"], json_text(F.col("view"))), (names["html_name"], page))

@@ -293,6 +293,16 @@ def test_views_of_documents_are_never_broadcast(spark, sf):
     assert plan.count("SortMergeJoin") >= 2 and "Broadcast" not in plan
 
 
+def test_images_of_documents_are_never_broadcast(spark):
+    views = spark.createDataFrame([(1, "a.pdf", "![figure figure-0](assets/page-1-figure-0.png)\n", ("1.0",)), (2, "b.pdf", "\n", ("1.0",))], "doc_id long, filename string, markdown string, view struct<version:string>")
+    assets = spark.createDataFrame([(1, "assets/page-1-figure-0.png", b"x")], "doc_id long, name string, png binary")
+    out = export.artifacts(views, assets)
+    plan = final_plan(out)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    by = {(r.doc_id, r.name): bytes(r.content).decode() for r in out.collect()}
+    assert len(by) == 7 and "data:image/png;base64," in by[(1, "a.html")] and "data:" not in by[(2, "b.html")]
+
+
 def test_small_expressions(spark):
     df = spark.createDataFrame([(b"\x00" * 80, 1234567, Decimal("0.0123456"), (5, 0, 0, 2, 0))], "png binary, n long, cost decimal(18,8), u struct<" + ",".join(f"{c}:long" for c in COUNTERS) + ">")
     got = df.select(text.data_url(F.col("png")), export.thousands(F.col("n")), usage.cost_text(F.col("cost")), usage.cost_text(F.lit(None).cast("decimal(18,8)"))).first()
