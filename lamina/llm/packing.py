@@ -18,15 +18,26 @@ whatever their names, aren't read.
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections import deque
-from unicodedata import is_normalized, normalize
-
+from functools import cached_property, lru_cache
+from itertools import chain, pairwise
+from sys import maxunicode
+from unicodedata import category, combining, is_normalized, normalize, ucd_3_2_0
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, materialise, prefix_sums, table, tag
+try:
+    from tiktoken import _tiktoken as tiktoken
+except ImportError:  # the tokenizer's own model merges then
+    tiktoken = None
+
+from .common import map_batches, materialise, prefix_sums, table, tag, utf32
 
 WINDOW = 2048
 END_ID = 1
@@ -36,6 +47,8 @@ SHARD_CHARS = 6_000_000
 TASKS, SHARDS_A_TASK = 4096, 16
 #: A source is served once its deficit reaches so many tokens, or its document ends.
 LEAST_PIECE = 64
+#: Words whose ids are copied at a time.
+RUN = 1 << 18
 
 
 def tokenizer_path() -> str:
@@ -44,74 +57,178 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(1)
+def read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+#: Bytes as byte-level models write them.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _KEPT)}
+
+
+@lru_cache(4)
+def merged_by_text(path: str) -> bool:
+    """Whether the text of two neighbours tells alone if, and when, they merge.
+
+    It does if ids rise with the merges and every token's own text, merged by itself,
+    ends as that token. For merges go by rising rank, so what is merged inside a
+    stretch of text before its rank's turn is the same wherever the stretch stands,
+    as long as nothing was merged across its ends: the two parts left there are then
+    those of its merge. Merging by text, as tiktoken does, gives the same ids.
+    """
+    conf = read(path)["model"]
+    if conf["type"] != "BPE" or conf.get("end_of_word_suffix") != "</w>" or any(conf.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback")):
+        return False
+    vocab, merges = conf["vocab"], {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(conf["merges"])}
+    if len(vocab) != 512 + len(merges) or {vocab.get(c, -1) for c in SHOWN.values()} != {*range(256)} or {vocab.get(c + "</w>", -1) for c in SHOWN.values()} != {*range(256, 512)}:
+        return False
+    for (a, b), r in merges.items():
+        whole = a + b
+        parts = [*whole[:-4]] if whole.endswith("</w>") else [*whole]
+        if not parts or vocab.get(whole) != 512 + r or max(vocab.get(a, len(vocab)), vocab.get(b, len(vocab))) >= 512 + r:
+            return False
+        if whole.endswith("</w>"):
+            parts[-1] += "</w>"
+        while len(parts) > 1:
+            ranks = [merges.get(pair, len(merges)) for pair in pairwise(parts)]
+            if (least := min(ranks)) == len(merges):
+                return False
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return True
+
+
+def by_text(path: str) -> bool:
+    """Whether ``path`` can be merged by text here: tiktoken is there, and its ids are the same."""
+    return tiktoken is not None and merged_by_text(path)
+
+
 class WordTokenizer:
     """The tokenizer's own ids, word by word: its pattern never joins across white space.
 
-    Words met before come from a memo; others go through the tokenizer's model.
-    Texts with a control character that only Python takes for white space, or
-    with an added token, go through the tokenizer whole.
+    The distinct words of a batch are cut into pieces by the tokenizer's pattern and
+    merged in one call: by text where that gives the same ids (``merged_by_text``), else
+    by the tokenizer's model. Every word's ids are then copied to where it stands. Texts
+    with a control character that only Python takes for white space, with a sign or mark
+    of newer Unicode, or with an added token go through the tokenizer whole.
     """
 
-    def __init__(self, path: str):
-        import json
-
+    def __init__(self, path: str, quick: bool | None = None):
         import regex
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            conf = json.load(f)
+        conf = read(path)
+        self.path, vocab = path, conf["model"]["vocab"]
         kinds = [n["type"] for n in (conf.get("normalizer") or {}).get("normalizers", [])]
         split = [p for p in (conf.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and len(split) == 1 and bool(split[0]["invert"])
-        self.wide = 4 if self.whole.get_vocab_size() > 65_536 else 2
-        self.code = "I" if self.wide == 4 else "H"
         self.added = [t["content"] for t in conf.get("added_tokens", [])]
+        self.wide = 4 if max(*vocab.values(), *(t["id"] for t in conf.get("added_tokens", [])), 0) > 65_535 else 2
+        self.type = np.dtype(f"<u{self.wide}")
+        self.core = None
         if self.plain:
             self.pattern = regex.compile(split[0]["pattern"]["Regex"])
-            kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            rest = [b for b in range(256) if b not in kept]
-            self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
-            self.model = self.whole.model
-            self.pieces = Memo(self._piece, 100_000)
-            self.words = Memo(self._word, 300_000)
+            if by_text(path) if quick is None else quick:
+                # white space is never in a piece: a space is its end, a line feed a word's
+                back = {c: b for b, c in SHOWN.items()}
+                ranks = {bytes(map(back.__getitem__, t.removesuffix("</w>"))) + (b" " if t.endswith("</w>") else b""): i for t, i in vocab.items()}
+                self.core, self.line = tiktoken.CoreBPE(ranks, {"\x1c": len(vocab)}, "[^ \n]+ |\n"), ranks[b"\n"]
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def unsure(self) -> np.ndarray:
+        """By code point: whether Python's Unicode and the tokenizer's may differ. So may they on all marks but old ones."""
+        old, unsure = ucd_3_2_0.combining, np.ones(maxunicode + 1, bool)
+        unsure[:0x32400] = [category(c) == "Cn" or combining(c) != old(c) for c in map(chr, range(0x32400))]
+        return unsure
+
+    def _odd(self, text: str) -> bool:
+        return any(a in text for a in self.added) or any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and bool(self.unsure[utf32(text)].any())
 
     def _pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or not piece.isalnum():
-            piece = "".join(map(self.shown.__getitem__, piece.encode()))
-        return self._pack([t.id for t in self.model.tokenize(piece)])
-
-    def _word(self, word: str) -> bytes:
-        if not word.isascii():
-            if not is_normalized("NFC", word):
-                word = normalize("NFC", word)
-            if "Σ" in word or len(word.lower()) != len(word):
-                return self._pack(self.whole.encode(word, add_special_tokens=False).ids)
-        word = word.lower()
-        if word.isalpha():  # one piece of the pattern: nothing else in it begins with a letter
-            return self.pieces.get(word) or self._piece(word)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
+        return np.array(ids, self.type).tobytes()
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.whole.model.tokenize("".join(map(SHOWN.__getitem__, piece.encode())))]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words, in order; where each word's begin, and how many they are."""
+        find = self.pattern.findall
+        if self.core:
+            # a word of letters is one piece of the pattern: nothing else in it begins with a letter
+            ends = [w + " \n" if w.isalpha() else "".join([p + " " for p in find(w)]) + "\n" for w in words]
+            ids = np.frombuffer(self.core.encode_to_tiktoken_buffer("".join(ends), set()), np.uint32)
+            stop = np.flatnonzero(ids == self.line)
+            start = np.append(0, stop[:-1] + 1)[: len(stop)]
+            return ids.astype(self.type), start, stop - start
+        got = [[i for p in find(w) for i in self._piece(p)] for w in words]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.type, n.sum()), np.cumsum(n) - n, n
+
+    def _lower(self, text: str) -> str:
+        if not text.isascii():
+            if not is_normalized("NFC", text):
+                text = normalize("NFC", text)
+            text = text.replace("Σ", "σ")  # sign by sign, as the tokenizer: no final form
+        return text.lower()
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, packed; none for null."""
+        got, at, lower = [b""] * len(texts), [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not self.plain or self._odd(t):
+                got[i] = self._pack(self.whole.encode(t, add_special_tokens=False).ids)
+            else:
+                at.append(i)
+                lower.append(self._lower(t))
+        if not at:
+            return got
+        words = pc.utf8_split_whitespace(pa.array(lower, pa.large_string()))
+        coded = words.values.dictionary_encode()
+        one = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int64()), coded.dictionary)
+        ids, start, n = self._words(pc.binary_join(one, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n"))
+        code = coded.indices.to_numpy()
+        before = np.append(0, np.cumsum(n[code]))
+        out = np.empty(before[-1], self.type)
+        for i in range(0, len(code), RUN):
+            c, to = code[i : i + RUN], before[i : i + RUN + 1]
+            out[to[0] : to[-1]] = ids[np.repeat(start[c] - to[:-1], n[c]) + np.arange(to[0], to[-1])]
+        ends = before[words.offsets.to_numpy()].tolist()
+        for i, (a, b) in zip(at, pairwise(ends), strict=True):
+            got[i] = out[a:b].tobytes()
+        return got
 
     def __call__(self, text: str) -> bytes:
-        if not self.plain or any(a in text for a in self.added) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return self.batch([text])[0]
+
+
+@lru_cache(1)
+def word_tokenizer(path: str, quick: bool) -> WordTokenizer:
+    """Kept by a worker from task to task."""
+    return WordTokenizer(path, quick)
 
 
 def tokenise(docs: DataFrame, path: str, shards: int, seed: int, text: str = "text") -> DataFrame:
     """``doc_id, source, shard, at, n, ids``; ids end with the end id and are compressed."""
 
+    quick = by_text(path)
+
     def make():
         import zstandard
 
-        tokens, squeeze = WordTokenizer(path), zstandard.ZstdCompressor(level=1)
+        tokens, squeeze = word_tokenizer(path, quick), zstandard.ZstdCompressor(level=1)
         end = END_ID.to_bytes(tokens.wide, "little")
 
         def run(x: dict) -> dict:
-            ids = [(tokens(t) if t else b"") + end for t in x["text"]]
+            ids = [i + end for i in tokens.batch(x["text"])]
             return {"doc_id": x["doc_id"], "source": x["source"], "shard": x["shard"], "at": x["at"], "n": [len(i) // tokens.wide for i in ids], "wide": [tokens.wide] * len(ids), "ids": [squeeze.compress(i) for i in ids]}
 
         return run
@@ -197,7 +314,6 @@ def pack(docs: DataFrame, *, path: str | None = None, window: int = WINDOW, shar
     tails = rows.select("shard", F.lit(1).alias("kind"), "at", "source", none("double", "target"), none("double", "carry"), none("long", "first"), "doc_id", "n", "wide", "ids")
 
     def make():
-        import numpy as np
         import zstandard
 
         held: dict = {"shard": None}

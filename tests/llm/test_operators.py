@@ -640,6 +640,49 @@ def test_tokens_are_the_tokenizers_own(spark, sf):
         assert np.frombuffer(t(x), "<u2").tolist() == t.whole.encode(x, add_special_tokens=False).ids, x[:80]
 
 
+def test_tokens_of_signs_of_newer_unicode_are_the_tokenizers_own(spark):
+    t = packing.WordTokenizer(packing.tokenizer_path())
+    texts = [f"A{c}b {c}1{c}," for c in "\u1c89\u0558\ua7cb\ua7dc\U00010d50\U00016ea0\U0001df2b\U00018d80"] + [f"e{c}\u0334 \u0315{c}" for c in "\u07fd\u1715\u1abf\U00010d24"]
+    for x, ids in zip(texts, t.batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == t.whole.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
+def test_a_batch_merges_its_distinct_words_in_one_call(spark, sf):
+    texts = [r.text for r in table(spark, sf, "documents").collect()] + [None, "", " \n", "word, word WORD 'tis x's 12 " * 999, "ab" * 5_000]
+    quick, slow = (packing.WordTokenizer(packing.tokenizer_path(), q) for q in (True, False))
+    got, calls = quick.batch(texts), []
+    assert got == slow.batch(texts) == [quick(x) if x else b"" for x in texts]
+
+    class Core:
+        def encode_to_tiktoken_buffer(self, text, allowed):
+            calls.append(text.count("\n"))
+            return core.encode_to_tiktoken_buffer(text, allowed)
+
+    core, quick.core = quick.core, Core()
+    assert quick.batch(texts) == got
+    assert calls == [len({w for x in texts for w in (x or "").lower().split()} | {""})]
+
+
+def test_merging_by_text_is_used_only_where_it_gives_the_same_ids(spark, tmp_path):
+    def written(name, merges):
+        with open(packing.tokenizer_path(), encoding="utf-8") as f:
+            conf = json.load(f)
+        signs = list(packing.SHOWN.values())
+        tokens = signs + [c + "</w>" for c in signs] + ["".join(m) for m in merges]
+        conf["model"] |= {"vocab": {x: i for i, x in enumerate(tokens)}, "merges": merges}
+        conf["added_tokens"] = []
+        (tmp_path / name).write_text(json.dumps(conf), encoding="utf-8")
+        return str(tmp_path / name)
+
+    # "abc" by itself ends as "ab" and "c", though a token has its text
+    paths = {written("no", [["a", "b"], ["b", "c</w>"], ["a", "bc</w>"]]): False, written("yes", [["b", "c</w>"], ["a", "bc</w>"]]): True, packing.tokenizer_path(): True}
+    for path, same in paths.items():
+        t = packing.WordTokenizer(path)
+        assert packing.merged_by_text(path) == same == (t.core is not None)
+        for x in ("abc", "ABC xabc, bc ab", "aabbcc é"):
+            assert np.frombuffer(t(x), t.type).tolist() == t.whole.encode(x, add_special_tokens=False).ids
+
+
 def check_pieces(rows, docs, window=2048):
     t = packing.WordTokenizer(packing.tokenizer_path())
     by, lanes = defaultdict(list), defaultdict(list)
