@@ -41,9 +41,12 @@ SAMPLES = 32
 FIRST = 64
 LAGS = (0, 4, 9)
 CLASSES = 64
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 #: Ids lie in about so many ranges, and each of these in as many as keep to so many characters; at most so many in all.
 RANGES, RANGE_CHARS, MOST_RANGES = 256, 64_000_000, 1 << 20
+#: Neighbours join while they hold no more characters than this, or than this part of all: each range can be a file, and for
+#: files an executor's JVM starts processes (without Hadoop's native code), which count with all its memory until they run.
+JOIN_CHARS, JOIN_SHARE = 8_000_000, 48
 #: Near: edit distance of at most one less this share of the longer text. Fingerprints that are less alike than the second are no candidates.
 LIKE, CANDIDATE = 0.9, 0.15
 #: Bands are made of a text's last octaves.
@@ -168,7 +171,7 @@ def ranges(rows: DataFrame, parts: int = RANGES, chars: int = RANGE_CHARS) -> tu
     """Rows with a range number ``part`` by id, in order; the ranges' heads; and how many ranges there are.
 
     ``parts`` ranges by quantiles, and each of these in equal steps of its ids, so that
-    a range has about ``chars`` characters. Heads: range, the id and hash of its first
+    a range has about ``chars`` characters; small neighbours make up one range. Heads: range, the id and hash of its first
     row, and the range that comes before it (before the first: the last); one row a
     range, at most ``MOST_RANGES``. Null ids make up the first range. The driver gets
     ``parts`` rows.
@@ -178,13 +181,17 @@ def ranges(rows: DataFrame, parts: int = RANGES, chars: int = RANGE_CHARS) -> tu
     coarse = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) + 1)
     sizes = sorted((r["r"], r["low"], r["high"], r["n"]) for r in rows.groupBy(coarse.alias("r")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.length("text").cast("long") + 1).alias("n")).collect())
     most = max(1, MOST_RANGES // max(1, len(sizes)))
+    small, joined = min(chars, JOIN_CHARS, -(-sum(n for *_, n in sizes) // JOIN_SHARE)), None  # characters of the last range, if more may join it
     at, first, number = F.lit(None).cast("int"), 0, F.col("_coarse")
     table: dict[str, dict[int, int]] = {"first": {}, "low": {}, "width": {}, "steps": {}}
     for r, low, high, n in sizes:
         steps = 1 if low is None else max(1, min(most, -(-n // chars), high - low + 1))
+        if joins := joined is not None and steps == 1 and joined + n <= small:
+            first -= 1
         for k, v in (("first", first), ("low", low or 0), ("width", 1 if low is None else -(-(high - low + 1) // steps)), ("steps", steps)):
             table[k][r] = v
         first += steps
+        joined = n + (joined if joins else 0) if steps == 1 and low is not None else None
     if sizes:
         look = {k: F.element_at(F.create_map(*[F.lit(x).cast("bigint") for r, v in t.items() for x in (r, v)]), number.cast("bigint")) for k, t in table.items()}
         at = (look["first"] + F.coalesce(F.call_function("div", F.col("doc_id") - look["low"], look["width"]), F.lit(0))).cast("int")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 import zlib
@@ -282,6 +283,27 @@ def test_next_rows_over_many_ranges(spark, monkeypatch):
         assert {(q.doc_id, q.edited_sha256) for q in fingerprints.with_next(x).collect()} == want
 
 
+def test_small_ranges_join(spark, tmp_path):
+    """Neighbouring quantiles of a small table join, so that it is written in few files."""
+    r = random.Random(12)
+    rows = [(3 * i, "t" * r.randint(0, 30) + str(i)) for i in range(3000)] + [(None, "none")]
+    x = spark.createDataFrame(rows, "doc_id long, text string")
+    placed, _, count = fingerprints.ranges(x.withColumn("h", F.xxhash64("text")))
+    at = [q.part for q in placed.orderBy("doc_id").collect()]
+    assert at == sorted(at) and set(at) == set(range(count)) and at.count(0) == 1  # null ids by themselves
+    assert 40 <= count <= 96  # 257 before
+    most = Counter()
+    for (_, t), part in zip([rows[-1], *rows[:-1]], at, strict=True):
+        most[part] += len(t) + 1
+    assert max(most.values()) <= sum(most.values()) / 24
+    fingerprints.with_next(x).write.parquet(out := str(tmp_path / "out"))
+    assert len([f for f in os.listdir(out) if f.startswith("part-")]) <= count
+    order = [rows[-1], *rows[:-1]]
+    want = {(i, hashlib.sha256(fingerprints.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)}
+    got = [(q.doc_id, q.edited_sha256) for q in spark.read.parquet(out).collect()]
+    assert len(got) == len(rows) and set(got) == want
+
+
 def test_walks_against_a_plain_walk():
     """The walk of one text, sign by sign and tick by tick."""
     e, r = fingerprints.Embedder(), random.Random(2)
